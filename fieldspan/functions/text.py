@@ -1,0 +1,72 @@
+"""Tokens and n-grams as SQL expressions, so that pipelines and operators share them."""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# What the published feature set-ups use.
+WORD = r"[\p{L}\p{N}_]{2,}"
+SEQUENCE_PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
+
+
+def _accent_table() -> tuple[str, str]:
+    """Characters that compatibility decomposition turns into one letter or digit, then
+    the combining marks, which have no counterpart and are therefore deleted."""
+    source, target, marks = [], [], []
+    for point in range(0x80, 0x10000):
+        char = chr(point)
+        if 0xD800 <= point < 0xE000:
+            continue
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        bare = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
+        if len(bare) == 1 and bare[0] != char and bare[0].isalnum():
+            source.append(char)
+            target.append(bare[0])
+    return "".join(source + marks), "".join(target)
+
+
+ACCENTED, BARE = _accent_table()
+
+
+def bare_text_sql(column: str) -> str:
+    """Lower case without accents, inside the JVM."""
+    return f"translate(lower({column}), '{ACCENTED}', '{BARE}')"
+
+
+def words_sql(column: str) -> str:
+    """Runs of two or more letters, digits or underscores of an already bare text."""
+    return f"regexp_extract_all({column}, r'{WORD}', 0)"
+
+
+def pairs_sql(words: str) -> str:
+    """Neighbouring words joined by a blank."""
+    length = f"greatest(size({words}) - 1, 0)"
+    return f"zip_with(slice({words}, 1, {length}), slice({words}, 2, {length}), (a, b) -> concat(a, ' ', b))"
+
+
+@F.pandas_udf(StringType())
+def bare_text_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Full decomposition, for text with ligatures or syllables that split into several letters."""
+
+    def strip(text: str | None) -> str | None:
+        if text is None or text.isascii():
+            return text
+        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+    for texts in batches:
+        yield texts.str.lower().map(strip, na_action="ignore")
+
+
+def sequence_words(text: Column) -> Column:
+    """Lower-cased words between blanks, punctuation read as a blank."""
+    blank = " " * len(SEQUENCE_PUNCTUATION)
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), SEQUENCE_PUNCTUATION, blank)
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
