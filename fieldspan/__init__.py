@@ -1,7 +1,7 @@
 """Topic delimitation over linked document corpora, expressed as Spark jobs.
 
-Operators take DataFrames and return one lazy DataFrame; nothing is written and
-nothing that grows with the data reaches the driver.
+Operators take DataFrames and return a lazy DataFrame. Nothing that grows with the
+data reaches the driver; stages used more than once are written to the shared folder.
 """
 
 __version__ = "0.1.0"

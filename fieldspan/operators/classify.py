@@ -24,6 +24,7 @@ from fieldspan.operators.features import (
     tfidf_terms,
     top_terms,
 )
+from fieldspan.session import materialise
 
 # A vocabulary travels to every executor with the model: what is larger is refused.
 MAX_VOCABULARY = 1 << 21
@@ -57,6 +58,7 @@ def fit_classifier(
     vocabulary, whose size is checked here; a larger one needs a higher ``min_df``.
     """
     rows = train.select(key, text, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull())
+    rows = materialise(rows)
     counts = term_counts(rows, key, text)
     idf = inverse_frequencies(counts, rows.agg(F.count(F.lit(1))).scalar(), min_df).persist()
     try:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions.draws import draw_exact, fresh_seed, unit_draw
 from fieldspan.functions.predicates import holds_code, in_countries, is_labelled
+from fieldspan.session import materialise
 
 # The level vocabulary.
 SEED, MANUAL, RANDOM_NEGATIVE, CLOSE_NEGATIVE = "SEED", "ANTISEED-manual", "ANTISEED-AF", "ANTISEED-AUG"
@@ -125,13 +126,18 @@ def class_odds(seed_freq: DataFrame, universe_freq: DataFrame) -> DataFrame:
     return seeds.join(universe, "code").withColumn("odds", F.col("seed_freq") / F.col("universe_freq"))
 
 
+def top_classes(odds: DataFrame, n_pc: int) -> DataFrame:
+    """The ``n_pc`` codes of highest odds; ties go by code."""
+    return odds.orderBy(F.col("odds").desc(), "code").limit(n_pc)
+
+
 def class_expansion(odds: DataFrame, codes: DataFrame, key: str, n_pc: int, keep_unmatched: bool = False) -> DataFrame:
-    """Distinct keys with one of the ``n_pc`` codes of highest odds (ties by code), level PC.
+    """Distinct keys with one of the ``n_pc`` codes of highest odds, level PC.
 
     With ``keep_unmatched`` a code nobody has yields one row without a key. The listed
     codes are broadcast: there are ``n_pc`` of them, whatever the corpus size.
     """
-    top = odds.orderBy(F.col("odds").desc(), "code").limit(n_pc).select("code")
+    top = top_classes(odds, n_pc).select("code")
     pairs = codes.select(key, "code")
     found = pairs.join(F.broadcast(top), "code").select(key)
     if keep_unmatched:
@@ -246,7 +252,13 @@ def expand_raw(
     included; antiseed members are never expanded.
     """
     block = seed_block(labelled, key, share, draw_seed)
-    classes = full_class_expansion(block, publications, codes, key, n_pc, odds)
+    if odds is None:
+        # The chosen codes are n_pc rows behind the longest part of the plan, and every
+        # round starts from them: they are written once and read from there.
+        window = seed_year_window(block, publications, key)
+        odds = class_odds(seed_class_freq(block, codes, key), universe_class_freq(codes, publications, window))
+        odds = materialise(top_classes(odds, n_pc))
+    classes = class_expansion(odds, codes, key, n_pc)
     raw = block.unionByName(classes)
     frontier = citation_frontier(raw)
     for level in range(1, depth + 1):

@@ -17,6 +17,7 @@ from fieldspan.functions.draws import unit_draw
 from fieldspan.functions.predicates import is_labelled
 from fieldspan.operators.expansion import SEED
 from fieldspan.operators.summary import describe
+from fieldspan.session import materialise
 
 _WORD = 62
 
@@ -172,7 +173,8 @@ def expand_runs(
     top = odds.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n_pc)
     top = top.select("code", *bits.bit(F.col("run_id"))).groupBy("code").agg(*bits.merged())
 
-    # At most n_pc codes per run, whatever the corpus size.
+    # At most n_pc codes per run, whatever the corpus size; written once, as every round starts from them.
+    top = materialise(top)
     classes = codes.select(key, "code").join(F.broadcast(top), "code").groupBy(key).agg(*bits.merged())
     classes = classes.filter(F.col(key).isNotNull())
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldspan.functions.draws import draw_exact, fresh_seed, mark_exact
 from fieldspan.functions.predicates import is_labelled
 from fieldspan.operators.expansion import MANUAL, RANDOM_NEGATIVE, SEED
+from fieldspan.session import materialise
 
 # The sizes between which shares move, and the shares.
 MIN_SEED, ENOUGH_SEED = 100, 250
@@ -106,11 +107,12 @@ def split_train_test(
 
     Balanced: ceil(seeds x seed_share) rows of each of the three strata; manual antiseeds
     are kept whole when too few, random ones too few fail. Other levels are dropped, see
-    :func:`unused_levels`. ``key`` should tell the rows of a stratum apart.
+    :func:`unused_levels`. A draw reads its input more than once, so the rows are staged
+    in the shared folder.
     """
     seed = fresh_seed(draw_seed)
     level = F.col("expansion_level")
-    rows = training.filter(level.isin(SEED, MANUAL, RANDOM_NEGATIVE))
+    rows = materialise(training.filter(level.isin(SEED, MANUAL, RANDOM_NEGATIVE)))
     if balanced:
         sizes = rows.agg(
             F.ceil(F.count_if(level == SEED) * F.lit(float(seed_share))).cast("bigint").alias("k"),
@@ -122,7 +124,7 @@ def split_train_test(
             F.when(F.col("n_random") < F.col("k"), short).otherwise(F.col("k")).alias("quota"),
             F.explode(strata).alias("expansion_level"),
         )
-        rows = draw_exact(rows, [key], quotas, f"{seed}-balance", strata=["expansion_level"])
+        rows = materialise(draw_exact(rows, [key], quotas, f"{seed}-balance", strata=["expansion_level"]))
     n_test = rows.agg(F.ceil(F.count(F.lit(1)) * F.lit(float(test_ratio))).cast("bigint").alias("quota"))
     marked = mark_exact(rows, [key], n_test, f"{seed}-test", "__test")
     return marked.withColumn("split", F.when(F.col("__test"), F.lit("test")).otherwise(F.lit("train"))).drop("__test")

@@ -228,9 +228,9 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_SQL = {
     "doc": """SELECT doc_id AS k, doc_id // 3 AS family_id, string_split(text, chr(10))[1] AS title, text AS abstract,
         source, lang FROM documents""",
-    "similar": f"""SELECT unnest([vec_id + label + 1, vec_id * 2]) AS k FROM embeddings
+    "near": f"""SELECT unnest([vec_id + label + 1, vec_id * 2]) AS k FROM embeddings
         WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND vec_id IN (SELECT doc_id FROM documents)""",
-    "c_similar": "SELECT k, title, abstract, 'patent' AS match FROM similar JOIN doc USING (k)",
+    "c_similar": "SELECT k, title, abstract, 'patent' AS match FROM near JOIN doc USING (k)",
     "c_class": f"""SELECT k, title, abstract, 'cpc' AS match FROM (
         SELECT k, title, abstract, unnest([source, source || '/' || lang]) AS code FROM doc)
         WHERE {' OR '.join(f"code LIKE '{p}%'" for p in PREFIXES)}""",

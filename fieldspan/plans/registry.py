@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.plans import graph
+from fieldspan.plans import analytics, graph, text
 
-_MODULES = (graph,)
+_MODULES = (graph, text, analytics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
