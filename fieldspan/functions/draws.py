@@ -22,15 +22,24 @@ def fresh_seed(seed: int | str | None) -> int | str:
     return secrets.randbits(31) if seed is None else seed
 
 
+def _hash_of(seed: Column, *cols: str | Column) -> Column:
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    return F.md5(F.concat_ws(":", seed, *parts))
+
+
 def draw_hash(seed: int | str, *cols: str | Column) -> Column:
     """md5 of ``seed:key`` as 32 hex digits; its order is the random order."""
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    return _hash_of(F.lit(str(seed)), *cols)
+
+
+def unit_draw_of(seed: Column, *cols: str | Column) -> Column:
+    """Uniform number in [0, 1) from the first 32 bits of the hash, with a seed per row."""
+    return F.conv(F.substring(_hash_of(seed, *cols), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def unit_draw(seed: int | str, *cols: str | Column) -> Column:
-    """Uniform number in [0, 1) taken from the first 32 bits of the hash."""
-    return F.conv(F.substring(draw_hash(seed, *cols), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform number in [0, 1) from the first 32 bits of the hash."""
+    return unit_draw_of(F.lit(str(seed)), *cols)
 
 
 def mark_exact(

@@ -8,23 +8,22 @@ from functools import reduce
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, VectorSlicer
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizer,
+    ElementwiseProduct,
+    Normalizer,
+    SQLTransformer,
+    UnivariateFeatureSelector,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspan.functions.text import bare_text_sql, pairs_sql, words_sql
-from fieldspan.operators.features import (
-    MIN_DF,
-    TOP_K,
-    anova_f,
-    inverse_frequencies,
-    term_counts,
-    tfidf_terms,
-    top_terms,
-)
-from fieldspan.session import materialise
+from fieldspan.operators.features import MIN_DF, TOP_K
+from fieldspan.session import materialise, spread
 
 # A vocabulary travels to every executor with the model: what is larger is refused.
 MAX_VOCABULARY = 1 << 21
@@ -53,47 +52,47 @@ def fit_classifier(
 ) -> PipelineModel:
     """TF-IDF, the ``top_k`` terms by F, then logistic regression (``layers=1``) or a perceptron.
 
-    Term statistics are Spark aggregations over the training texts. The fitted pipeline
-    is narrow: scoring a corpus needs no shuffle. The vectoriser holds the training
-    vocabulary, whose size is checked here; a larger one needs a higher ``min_df``.
+    The fitted pipeline is narrow: scoring a corpus needs no shuffle. Its vectoriser holds
+    the training vocabulary, which must fit in ``max_vocabulary``; a larger one fails, and
+    needs a higher ``min_df``.
     """
     rows = train.select(key, text, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull())
     rows = materialise(rows)
-    counts = term_counts(rows, key, text)
-    idf = inverse_frequencies(counts, rows.agg(F.count(F.lit(1))).scalar(), min_df).persist()
-    try:
-        n_terms = idf.count()
-        if n_terms > max_vocabulary:
-            raise ValueError(f"{n_terms} terms in the vocabulary, more than {max_vocabulary}: raise min_df")
-        scores = anova_f(tfidf_terms(counts, idf, key), rows.select(key, "label"), key)
-        vocabulary = idf.select("term", "idf").orderBy("term").toPandas()
-        chosen = {r.term for r in top_terms(scores, top_k).select("term").collect()}
-    finally:
-        idf.unpersist()
-    indices = [i for i, term in enumerate(vocabulary["term"]) if term in chosen]
-    counted = CountVectorizerModel.from_vocabulary(vocabulary["term"].tolist(), inputCol="terms", outputCol="tf")
-    features = [
-        *_text_stages(text),
-        counted,
-        ElementwiseProduct(scalingVec=Vectors.dense(vocabulary["idf"].tolist()), inputCol="tf", outputCol="tfidf"),
+    stages: list = _text_stages(text)
+    terms = PipelineModel(stages).transform(spread(rows)).select(key, "terms", "label").persist()
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_vocabulary + 1).fit(terms)
+    counted = counter.transform(terms).select("tf", "label")
+    frequencies = IDF(inputCol="tf", outputCol="unused").fit(counted)
+    if len(frequencies.idf) > max_vocabulary:
+        raise ValueError(f"more than {max_vocabulary} terms in the vocabulary: raise min_df")
+    # The built-in idf lacks the 1 that keeps terms found in every text.
+    weights = Vectors.dense(frequencies.idf.toArray() + 1.0)
+    stages += [
+        counter,
+        ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="tfidf"),
         Normalizer(p=2.0, inputCol="tfidf", outputCol="scaled"),
-        VectorSlicer(inputCol="scaled", outputCol="features", indices=indices),
     ]
-    vectors = PipelineModel(features).transform(rows).select("features", "label").persist()
+    scaled = PipelineModel(stages[3:]).transform(counted).select("scaled", "label")
+    selector = UnivariateFeatureSelector(featuresCol="scaled", labelCol="label", outputCol="features")
+    selector = selector.setFeatureType("continuous").setLabelType("categorical").setSelectionMode("numTopFeatures")
+    chosen = selector.setSelectionThreshold(min(top_k, len(frequencies.idf))).fit(scaled)
+    stages.append(chosen)
+    vectors = chosen.transform(scaled).select("features", "label").persist()
     try:
         if layers == 1:
             model = LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(vectors)
         else:
-            shape = [len(indices), *[units] * (layers - 1), 2]
+            shape = [len(chosen.selectedFeatures), *[units] * (layers - 1), 2]
             model = MultilayerPerceptronClassifier(layers=shape, maxIter=max_iter, seed=seed).fit(vectors)
     finally:
         vectors.unpersist()
-    return PipelineModel([*features, model])
+        terms.unpersist()
+    return PipelineModel([*stages, model])
 
 
 def score(model: PipelineModel, df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, score): probability of the seed class, by a narrow plan over (key, text)."""
-    scored = model.transform(df.select(key, text))
+    scored = model.transform(spread(df.select(key, text)))
     return scored.select(key, vector_to_array("probability")[1].alias("score"))
 
 

@@ -60,7 +60,7 @@ def model_performance(metas: DataFrame) -> DataFrame:
     models = metas.select("architecture", "model_id").distinct().agg(F.count(F.lit(1))).scalar()
     shared = metas.groupBy("metric").agg(F.count_distinct("architecture", "model_id").alias("n"))
     shared = shared.filter(F.col("n") == models).select("metric")
-    kept = metas.join(F.broadcast(shared), "metric")
+    kept = metas.join(F.broadcast(shared), "metric").select("architecture", "model_id", "metric", "value")
 
     def value(name: str) -> Column:
         return F.max(F.when(F.col("metric") == name, F.col("value")))

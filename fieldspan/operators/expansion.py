@@ -251,10 +251,10 @@ def expand_raw(
     A later round starts from every row of the round before, keys already found
     included; antiseed members are never expanded.
     """
-    block = seed_block(labelled, key, share, draw_seed)
+    # Every step reads the few labelled rows, and every round starts from the n_pc chosen
+    # codes at the end of the longest part of the plan: both are written once.
+    block = materialise(seed_block(labelled, key, share, draw_seed))
     if odds is None:
-        # The chosen codes are n_pc rows behind the longest part of the plan, and every
-        # round starts from them: they are written once and read from there.
         window = seed_year_window(block, publications, key)
         odds = class_odds(seed_class_freq(block, codes, key), universe_class_freq(codes, publications, window))
         odds = materialise(top_classes(odds, n_pc))
@@ -262,8 +262,10 @@ def expand_raw(
     raw = block.unionByName(classes)
     frontier = citation_frontier(raw)
     for level in range(1, depth + 1):
-        frontier = _neighbours(frontier, links, key)
-        raw = raw.unionByName(_as_levels(frontier, key, f"L{level}"))
+        # The next round starts from the very rows this one adds: the same plan in both
+        # places, so the shuffles below it are done once.
+        frontier = _as_levels(_neighbours(frontier, links, key), key, f"L{level}")
+        raw = raw.unionByName(frontier)
     return raw
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspan.functions.draws import unit_draw
+from fieldspan.functions.draws import unit_draw_of
 from fieldspan.functions.predicates import is_labelled
 from fieldspan.operators.expansion import SEED
 from fieldspan.operators.summary import describe
@@ -49,60 +49,39 @@ class _Bits:
     """Sets of runs as long columns m0, m1, ..."""
 
     def __init__(self, runs: Sequence[Run]):
-        self.runs = list(runs)
+        self.runs = sorted(runs, key=lambda r: r.run_id)
         self.words = [f"m{i}" for i in range(-(-len(self.runs) // _WORD))]
 
-    def of(self, test) -> list[Column]:
-        """Bits of the runs that pass ``test(run)``."""
-        words = []
-        for w, name in enumerate(self.words):
-            word = F.lit(0).cast("bigint")
-            for bit, run in enumerate(self.runs[w * _WORD : (w + 1) * _WORD]):
-                word = word.bitwiseOR(F.when(test(run), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-            words.append(word.alias(name))
-        return words
+    def literal(self) -> Column:
+        """The runs as a constant array of structs, ordered by id."""
 
-    def merged(self) -> list[Column]:
-        return [F.bit_or(w).alias(w) for w in self.words]
+        def text(value: str) -> str:
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def any_set(self) -> Column:
-        test = F.lit(False)
-        for w in self.words:
-            test = test | (F.col(w) != 0)
-        return test
-
-    def masked(self, keep) -> list[Column]:
-        """The words with only the bits of runs that pass ``keep(run)``."""
-        kept = []
-        for w, name in enumerate(self.words):
-            mask = sum(1 << b for b, r in enumerate(self.runs[w * _WORD : (w + 1) * _WORD]) if keep(r))
-            kept.append(F.col(name).bitwiseAND(F.lit(mask).cast("bigint")).alias(name))
-        return kept
-
-    def listed(self, keep=lambda run: True) -> Column:
-        """Run ids as a sorted array."""
-        present = [
-            F.when(F.col(self.words[i // _WORD]).bitwiseAND(F.lit(1 << (i % _WORD)).cast("bigint")) != 0, F.lit(r.run_id))
+        rows = [
+            f"named_struct('run_id', {text(r.run_id)}, 'run_technology', {text(r.technology)}, "
+            f"'seed_share', {float(r.share)!r}D, 'run_seed', {text(r.seed)}, "
+            f"'word', {i // _WORD}, 'bit', {1 << (i % _WORD)}L)"
             for i, r in enumerate(self.runs)
-            if keep(r)
-        ]
-        return F.array_sort(F.array_compact(F.array(*present)))
-
-    def bit(self, run_id: Column) -> list[Column]:
-        """The words of a single run given by its id."""
-        return [
-            F.coalesce(
-                F.create_map(
-                    *[
-                        x
-                        for b, r in enumerate(self.runs[w * _WORD : (w + 1) * _WORD])
-                        for x in (F.lit(r.run_id), F.lit(1 << b).cast("bigint"))
-                    ]
-                )[run_id],
-                F.lit(0).cast("bigint"),
-            ).alias(name)
-            for w, name in enumerate(self.words)
         ]
+        return F.expr(f"array({', '.join(rows)})")
+
+    def collected(self) -> list[Column]:
+        """Aggregates that turn rows with (word, bit) into sets."""
+        zero = F.lit(0).cast("bigint")
+        return [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(zero)).alias(w) for i, w in enumerate(self.words)]
+
+    def merged(self) -> list[Column]:
+        return [F.bit_or(w).alias(w) for w in self.words]
+
+    def members(self) -> Column:
+        """The runs in the set, as an array of structs ordered by id."""
+        words = F.array(*self.words)
+        return F.filter(self.literal(), lambda r: F.get(words, r["word"]).bitwiseAND(r["bit"]) != 0)
+
+    def listed(self) -> Column:
+        """Their ids."""
+        return F.transform(self.members(), lambda r: r["run_id"])
 
 
 def expand_runs(
@@ -121,15 +100,18 @@ def expand_runs(
     (code, year) for the codes the seeds have, and each run sums its own years.
     """
     bits = _Bits(runs)
-    drawn = bits.of(
-        lambda r: (F.col("technology") == r.technology) & (unit_draw(r.seed, key) < F.lit(float(r.share)))
+    labels = [key, "expansion_level", "technology", "copies"]
+    block = labelled.filter(is_labelled() & F.col(key).isNotNull())
+    block = block.groupBy(*labels[:3]).agg(F.count(F.lit(1)).alias("copies"))
+    drawn = block.select(*labels, F.inline(bits.literal())).filter(
+        (F.col("technology") == F.col("run_technology")) & (unit_draw_of(F.col("run_seed"), key) < F.col("seed_share"))
     )
-    block = labelled.filter(is_labelled() & F.col(key).isNotNull()).select(key, "expansion_level", *drawn)
-    block = block.filter(bits.any_set())
+    # The drawn seeds are few, and read by every step below.
+    block = materialise(drawn.groupBy(*labels).agg(*bits.collected()))
     seeds = block.filter(F.col("expansion_level") == SEED)
 
     # Seed side. Rows sharing a code and a set of runs are summed before runs are told apart.
-    members = seeds.groupBy(key, *bits.words).agg(F.count(F.lit(1)).alias("copies"))
+    members = seeds.select(key, "copies", *bits.words)
     n_patents = (
         members.groupBy(*bits.words).agg(F.sum("copies").alias("copies"))
         .select("copies", F.explode(bits.listed()).alias("run_id"))
@@ -171,7 +153,8 @@ def expand_runs(
     )
     best = Window.partitionBy("run_id").orderBy(F.col("odds").desc(), "code")
     top = odds.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n_pc)
-    top = top.select("code", *bits.bit(F.col("run_id"))).groupBy("code").agg(*bits.merged())
+    places = top.sparkSession.range(1).select(F.inline(bits.literal())).select("run_id", "word", "bit")
+    top = top.join(F.broadcast(places), "run_id").groupBy("code").agg(*bits.collected())
 
     # At most n_pc codes per run, whatever the corpus size; written once, as every round starts from them.
     top = materialise(top)
@@ -198,18 +181,12 @@ def members_by_run(members: DataFrame, key: str, runs: Sequence[Run]) -> DataFra
 def patterns_from_members(members: DataFrame, runs: Sequence[Run]) -> DataFrame:
     """(technology, seed_share, runs[], n): how many keys have exactly this set of runs."""
     bits = _Bits(runs)
-    groups = dict.fromkeys((r.technology, r.share) for r in runs)
     counted = members.groupBy(*bits.words).agg(F.count(F.lit(1)).alias("n"))
-    per_group = [
-        F.struct(
-            F.lit(t).alias("technology"),
-            F.lit(float(s)).alias("seed_share"),
-            bits.listed(lambda r, t=t, s=s: (r.technology, r.share) == (t, s)).alias("runs"),
-        )
-        for t, s in groups
-    ]
-    rows = counted.select("n", F.inline(F.array(*per_group))).filter(F.size("runs") > 0)
-    return rows.groupBy("technology", "seed_share", "runs").agg(F.sum("n").alias("n"))
+    sets = counted.select("n", *bits.words, F.inline(bits.members()))
+    sets = sets.groupBy(*bits.words, "n", F.col("run_technology").alias("technology"), "seed_share").agg(
+        F.array_sort(F.collect_list("run_id")).alias("runs")
+    )
+    return sets.groupBy("technology", "seed_share", "runs").agg(F.sum("n").alias("n"))
 
 
 def run_patterns(table: DataFrame, key: str, by: Sequence[str] = ("technology", "seed_share")) -> DataFrame:

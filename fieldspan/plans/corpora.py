@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldspan.functions.draws import unit_draw
 from fieldspan.operators.expansion import MANUAL, SEED, both_directions
@@ -25,8 +26,15 @@ PREFIXES = ["src1", "src7"]
 OPTIONS = ["Clean prose", "Mixed content", "Noise"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is looked up once, since every look-up is a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def u_sql(seed: int | str, key: str) -> str:
@@ -72,14 +80,14 @@ def class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str, cls: str = "cpc") -> DataFrame:
-    """(publication_number, publication_date, code), each pair once."""
-    pairs = class_lines(spark, sf_dir).select(PUB, F.col(cls).alias("code")).distinct()
+    """(publication_number, publication_date, code), a code as often as it is listed."""
+    pairs = class_lines(spark, sf_dir).select(PUB, F.col(cls).alias("code"))
     return pairs.join(publications(spark, sf_dir).select(PUB, "publication_date"), PUB)
 
 
 def undated_codes(spark: SparkSession, sf_dir: str, cls: str = "cpc") -> DataFrame:
     """The same pairs without the date, for operators that do not ask for it."""
-    pairs = class_lines(spark, sf_dir).select(PUB, F.col(cls).alias("code")).distinct()
+    pairs = class_lines(spark, sf_dir).select(PUB, F.col(cls).alias("code"))
     return pairs.withColumn("publication_date", F.lit(None).cast("bigint"))
 
 
@@ -141,9 +149,9 @@ GRAPH_SQL = {
         (year(o_orderdate)*10000 + month(o_orderdate)*100 + day(o_orderdate))::BIGINT AS d,
         n_name AS country_code, o_orderpriority AS title, o_orderstatus AS abstract
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
-    "cpc": """SELECT DISTINCT l_orderkey AS k, p_brand || '/' || p_size AS code
+    "cpc": """SELECT l_orderkey AS k, p_brand || '/' || p_size AS code
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "ipc": "SELECT DISTINCT l_orderkey AS k, p_type AS code FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "ipc": "SELECT l_orderkey AS k, p_type AS code FROM lineitem JOIN part ON l_partkey = p_partkey",
     "cit": """SELECT DISTINCT l_orderkey AS citing, l_partkey * 7 + l_suppkey % 7 AS cited
         FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <> l_partkey * 7 + l_suppkey % 7""",
     "seed": f"SELECT k, {_LEVEL_SQL} AS level FROM (SELECT o_orderkey AS k, {u_sql(42, 'o_orderkey')} AS u FROM orders)",

@@ -122,7 +122,7 @@ def crosswalk_number(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _graph("SELECT k AS publication_number, code FROM cpc", "cpc")
+    _graph("SELECT DISTINCT k AS publication_number, code FROM cpc", "cpc")
 )
 def flatten_nested(spark: SparkSession, d: str) -> DataFrame:
     nested = c.class_lines(spark, d).groupBy(PUB).agg(

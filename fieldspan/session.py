@@ -47,3 +47,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of a compute-heavy stage, over at least as many partitions as there are cores.
+
+    A few files that cannot be split would keep a few cores busy. An input with enough
+    partitions, which any large one has, is left as it is: nothing is shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
