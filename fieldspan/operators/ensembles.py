@@ -90,9 +90,10 @@ def model_correlations(
     pairs = [(i, j) for i in range(len(models)) for j in range(i, len(models))]
 
     def correlation(i: int, j: int) -> Column:
+        # Null, not an error, where a score never varies.
         both = F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull()
-        value = F.corr(F.when(both, F.col(f"m{i}")), F.when(both, F.col(f"m{j}")))
-        return F.when(F.isnan(value), None).otherwise(value).alias(f"c{i}_{j}")
+        x, y = F.when(both, F.col(f"m{i}")), F.when(both, F.col(f"m{j}"))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{i}_{j}")
 
     row = wide.groupBy(*by).agg(*[correlation(i, j) for i, j in pairs])
     cells = [

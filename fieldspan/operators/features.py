@@ -78,7 +78,10 @@ def anova_f(weights: DataFrame, labels: DataFrame, key: str, label: str = "label
     total = (F.col("s0") + F.col("s1")) * (F.col("s0") + F.col("s1")) / (F.col("n0") + F.col("n1"))
     between = F.col("s0") * F.col("s0") / F.col("n0") + F.col("s1") * F.col("s1") / F.col("n1") - total
     within = F.col("q") - total - between
-    return sums.select("term", (between / (within / (F.col("n0") + F.col("n1") - 2))).alias("f_score"))
+    ratio = F.try_divide(between * (F.col("n0") + F.col("n1") - 2), within)
+    # A term that tells the labels apart without any spread within them comes first.
+    score = F.when((within == 0) & (between > 0), F.lit(float("inf"))).otherwise(ratio)
+    return sums.select("term", score.alias("f_score"))
 
 
 def top_terms(scores: DataFrame, top_k: int = TOP_K, digits: int = 6) -> DataFrame:

@@ -45,7 +45,7 @@ def normalised_counts(
     base = F.sum("count") if norm_axis == 0 else F.max("count")
     bases = counts.groupBy(axis).agg(base.alias("__base"))
     return counts.join(bases, axis).select(
-        *groups, "count", (F.col("count") / F.col("__base")).alias("normalized_count")
+        *groups, "count", F.try_divide(F.col("count"), F.col("__base")).alias("normalized_count")
     )
 
 

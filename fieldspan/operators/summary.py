@@ -61,18 +61,23 @@ def describe_large(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     moments = rows.groupBy(*groups).agg(*_moments(v), F.array(*bounds).alias("brackets"))
     brackets = F.broadcast(moments.select(*groups, "count", F.explode("brackets").alias("b")).select(*groups, "count", "b.*"))
 
-    # Values below a bracket are only counted; values inside it are counted one by one.
-    placed = rows.join(brackets, groups).filter(v <= F.col("hi"))
-    counted = placed.groupBy(*groups, "q", "share", "count", F.when(v >= F.col("lo"), v).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
+    # Values inside a bracket are counted one by one; of the rest the number and the nearest value are kept.
+    placed = rows.join(brackets, groups)
+    zone = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
+    placed = placed.withColumn("zone", zone).withColumn("inner", F.when(F.col("zone") == 0, v))
+    counted = placed.groupBy(*groups, "q", "share", "count", "zone", "inner").agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most")
     )
-    order = Window.partitionBy(*groups, "q").orderBy(F.col("v").asc_nulls_first())
+    order = Window.partitionBy(*groups, "q").orderBy("zone", "inner")
     ranked = counted.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spot = F.col("share") * (F.col("count") - 1)
-    first = F.col("upto") - F.col("n")  # ranks first .. upto-1 hold this value
+    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1  # ranks of this value
 
     def at(rank: Column) -> Column:
-        return F.max(F.when(F.col("v").isNotNull() & (rank >= first) & (rank < F.col("upto")), F.col("v")))
+        inside = (F.col("zone") == 0) & rank.between(first, last)
+        below = (F.col("zone") == -1) & (rank == last)
+        above = (F.col("zone") == 1) & (rank == first)
+        return F.max(F.when(inside, F.col("inner")).when(below, F.col("most")).when(above, F.col("least")))
 
     low_rank = F.floor(spot)
     high_rank = F.least(low_rank + 1, F.col("count") - 1)

@@ -55,5 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     A few files that cannot be split would keep a few cores busy. An input with enough
     partitions, which any large one has, is left as it is: nothing is shuffled.
     """
+    if df.isStreaming:
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
