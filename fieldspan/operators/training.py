@@ -23,14 +23,15 @@ def training_table(
     labelled: DataFrame,
     corpus: DataFrame,
     expansion: DataFrame,
-    size: int,
+    size: int | DataFrame,
     key: str,
     draw_seed: int | str | None = None,
     exclude_expansion: bool = True,
 ) -> DataFrame:
     """Labelled rows and ``size`` random corpus rows with a text, as ANTISEED-AF.
 
-    The random rows come from outside the expansion unless told otherwise.
+    ``size`` is a number, or a one-row table (quota) when it follows from the data. The
+    random rows come from outside the expansion unless told otherwise.
     """
     is_seed = (F.col("expansion_level") == SEED).cast("int")
     negative = F.col("expansion_level").like("ANTISEED%").cast("int")

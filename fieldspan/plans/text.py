@@ -169,11 +169,19 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
     return training.training_table(labelled, c.document_corpus(spark, d), labelled, 400, "family_id", draw_seed=21)
 
 
+def _even_training(spark: SparkSession, d: str) -> DataFrame:
+    """As many random negatives as there are seeds, so that the strata can be balanced at any size."""
+    labelled = c.labelled_documents(spark, d)
+    wanted = labelled.agg(F.count_if(F.col("expansion_level") == SEED).alias("quota"))
+    return training.training_table(labelled, c.document_corpus(spark, d), labelled, wanted, "family_id", draw_seed=21)
+
+
+_RANDOM = f"ORDER BY {c.h_sql(21, 'doc_id')} LIMIT"
 TRAIN_SQL = {
     "lab": TEXT_SQL["lab"],
     "train": f"""SELECT family_id, expansion_level, (expansion_level = '{SEED}')::INT AS is_seed, text FROM lab
         UNION ALL SELECT * FROM (SELECT doc_id AS family_id, 'ANTISEED-AF' AS expansion_level, 0 AS is_seed, text FROM documents
-        WHERE text <> '' AND doc_id NOT IN (SELECT family_id FROM lab) ORDER BY {c.h_sql(21, 'doc_id')} LIMIT 400)""",
+        WHERE text <> '' AND doc_id NOT IN (SELECT family_id FROM lab) {_RANDOM} 400)""",
     "k": f"SELECT count(*) AS k FROM train WHERE expansion_level = '{SEED}'",
     "drawn": """SELECT * FROM train, (SELECT ceil(0.5::DOUBLE * k)::BIGINT AS k FROM k)
         QUALIFY row_number() OVER (PARTITION BY expansion_level ORDER BY md5('3-balance:' || family_id)) <= k""",
@@ -212,9 +220,14 @@ def expansion_extract(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(with_ctes(TRAIN_SQL, "SELECT family_id, expansion_level, is_seed, split FROM split"))
+_EVEN = {**TRAIN_SQL, "train": TRAIN_SQL["train"].replace(
+    f"{_RANDOM} 400", f"{_RANDOM} (SELECT count(*) FROM lab WHERE expansion_level = '{SEED}')"
+)}
+
+
+@query(with_ctes(_EVEN, "SELECT family_id, expansion_level, is_seed, split FROM split"))
 def split_balanced(spark: SparkSession, d: str) -> DataFrame:
-    parts = training.split_train_test(_training(spark, d), "family_id", 0.2, seed_share=0.5, draw_seed=3)
+    parts = training.split_train_test(_even_training(spark, d), "family_id", 0.2, seed_share=0.5, draw_seed=3)
     return parts.select("family_id", "expansion_level", "is_seed", "split")
 
 
