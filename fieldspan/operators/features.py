@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspan.functions.text import bare_text_exact, bare_text_sql, pairs_sql, sequence_words, words_sql
-from fieldspan.session import spread
 
 # Defaults of the published feature set-ups.
 MIN_DF, TOP_K, MAX_LENGTH = 2, 5000, 250
@@ -29,7 +28,7 @@ def term_counts(df: DataFrame, key: str, text: str = "text", exact: bool = False
     The outer explode is on purpose: for an inner one the optimizer adds a test of the
     array's size, and pushed to the scan that test cuts the text into terms again.
     """
-    terms = with_ngrams(spread(df.select(key, text)), text, exact).select(key, F.explode_outer("terms").alias("term"))
+    terms = with_ngrams(df.select(key, text), text, exact).select(key, F.explode_outer("terms").alias("term"))
     terms = terms.filter(F.col("term").isNotNull() & F.col(key).isNotNull())
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -95,7 +94,7 @@ def fit_vocabulary(train: DataFrame, text: str = "text", top_k: int = TOP_K) ->
 
     The ranking window sees the ``top_k`` rows the top-k has left over, no more.
     """
-    words = spread(train.select(text)).select(F.explode_outer(sequence_words(F.col(text))).alias("word"))
+    words = train.select(F.explode_outer(sequence_words(F.col(text))).alias("word"))
     counted = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.col("n").desc(), "word").limit(top_k - 1)
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "word"))
@@ -108,7 +107,7 @@ def word_sequences(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "
     The vocabulary is bounded by its ``top_k`` and broadcast. The words of a text are
     gathered again on the map side, so what is shuffled is one array per text.
     """
-    words = spread(df.select(key, text)).select(key, F.posexplode_outer(sequence_words(F.col(text))).alias("pos", "word"))
+    words = df.select(key, F.posexplode_outer(sequence_words(F.col(text))).alias("pos", "word"))
     known = words.join(F.broadcast(vocabulary), "word", "left")
     pairs = F.collect_list(F.when(F.col("index").isNotNull(), F.struct("pos", "index")))
     return known.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["index"]).alias("sequence"))

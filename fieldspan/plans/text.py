@@ -9,6 +9,7 @@ from fieldspan.operators import annotations, candidates, classify, corpus, featu
 from fieldspan.operators.expansion import MANUAL, SEED
 from fieldspan.plans import corpora as c
 from fieldspan.plans.corpora import KEYWORDS, OPTIONS, PREFIXES, PUB, TEXT_SQL, table, u_sql, with_ctes
+from fieldspan.session import spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -282,8 +283,12 @@ FEATURE_SQL = {
 }
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return features.term_counts(table(spark, d, "documents"), "doc_id")
+    return features.term_counts(_texts(spark, d), "doc_id")
 
 
 def _idf(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
@@ -349,7 +354,7 @@ _SEQ_SQL = {
     )
 )
 def sequence_encode(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _texts(spark, d)
     sequences = features.word_sequences(docs, features.fit_vocabulary(docs, top_k=1000), "doc_id")
     padded = features.pad_sequences(sequences, features.sequence_length(sequences))
     return padded.select("doc_id", F.array_join("sequence", ",").alias("sequence"))
@@ -366,5 +371,5 @@ def _seed_rows(spark: SparkSession, d: str) -> DataFrame:
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """A model fitted on the training table scores every document."""
     model = classify.fit_classifier(_seed_rows(spark, d), "family_id")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("family_id"), "text")
+    docs = _texts(spark, d).withColumnRenamed("doc_id", "family_id")
     return classify.score(model, docs, "family_id").withColumn("score", F.round("score", 4))

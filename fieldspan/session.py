@@ -49,13 +49,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input of a compute-heavy stage, over at least as many partitions as there are cores.
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table for a compute-heavy stage, over at least as many partitions as there are cores.
 
-    A few files that cannot be split would keep a few cores busy. An input with enough
-    partitions, which any large one has, is left as it is: nothing is shuffled.
+    A few files that cannot be split would keep a few cores busy. A table with enough
+    partitions, which any large one has, is left as it is: nothing is shuffled. For
+    plain reads only: asking a plan with shuffles for its partitions would run them.
     """
-    if df.isStreaming:
-        return df
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    wanted = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted)
