@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="fieldspan-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,13 +28,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it; one of our own only where it names none."""
+    """The folder that all executors see, as the session names it.
+
+    On one machine a temporary folder serves where none is named; on a cluster that
+    is an error, since each executor would write to a disk of its own.
+    """
     configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="fieldspan-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -44,9 +52,20 @@ def materialise(df: DataFrame) -> DataFrame:
     For a result used several times or behind a long lineage: it outlives executors, and
     its file sizes let Spark choose joins by size.
     """
+    return stage(df)[0]
+
+
+def stage(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same, with the path of the written table for ``discard``."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that no later plan reads."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def spread(table: DataFrame) -> DataFrame:
