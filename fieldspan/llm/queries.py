@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldspan.llm import bpe, decontaminate, minmax, quality
+from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, slots, topk, url_trust
 from fieldspan.llm.common import read
 
 #: Where the ranks of the tokenizer lie; a parameter of the operator.
@@ -15,6 +18,55 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = f"translate(text, '{_UPPER}', '{_LOWER}')"
 
 
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_urls(read(spark, sf_dir, "pages"))
+
+
+def _op1_sql() -> str:
+    rules = sorted(url_trust.RULES, key=lambda r: -len(r.site))
+    fits = [f"WHEN ends_with('.' || host, '.{r.host}') AND starts_with(path, '{r.path}') THEN" for r in rules]
+    rule, verdict = (" ".join(f"{f} '{x}'" for f, x in zip(fits, xs)) for xs in ([r.site for r in rules], [r.verdict for r in rules]))
+    steps = math.ceil(math.log(url_trust.REST) / math.log(url_trust.DAMPING))
+    walk = "".join(
+        f""", m{i + 1} AS MATERIALIZED (
+    SELECT kind, dst AS host, CAST(sum(moved) AS BIGINT) AS mass
+    FROM (SELECT kind, dst, CAST(floor(mass * share) AS BIGINT) AS moved FROM m{i} JOIN ways USING (kind, host)) WHERE moved > 0 GROUP BY ALL
+)"""
+        for i in range(steps)
+    )
+    every = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(steps + 1))
+    return f"""
+WITH urls AS (
+    SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), judged AS (
+    SELECT page_id, html, host, path, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM urls
+), targets AS (
+    SELECT host AS src, unnest(regexp_extract_all(html, '{url_trust.LINK.replace("'", "''")}', 1)) AS target FROM judged WHERE host <> ''
+), links AS (
+    SELECT src, dst, count(*) AS n FROM (
+        SELECT src, translate(regexp_extract(target, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM targets
+        WHERE regexp_matches(target, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]')
+        UNION ALL SELECT host, regexp_extract(host, '^[^.]*\\.(.*)$', 1) FROM judged WHERE len(string_split(host, '.')) >= 3
+    ) WHERE src <> dst AND dst <> '' GROUP BY ALL
+), sides AS (
+    SELECT 'trust' AS kind, src AS host, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links
+), ways AS (
+    SELECT kind, host, dst, CAST({url_trust.DAMPING} AS DOUBLE) * n / sum(n) OVER (PARTITION BY kind, host) AS share FROM sides
+), hosts AS (
+    SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS trust, count(*) FILTER (ruled = 'block') AS distrust FROM judged WHERE host <> '' GROUP BY host
+), m0 AS (
+    SELECT 'trust' AS kind, host, trust * {url_trust.UNIT} AS mass FROM hosts WHERE trust > 0
+    UNION ALL SELECT 'distrust', host, distrust * {url_trust.UNIT} FROM hosts WHERE distrust > 0
+){walk}, scores AS (
+    SELECT host, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS over FROM ({every}) GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, blocked AS host_blocked
+FROM (SELECT j.*, coalesce(s.over >= {url_trust.THRESHOLD} * {url_trust.UNIT} * h.pages, false) AS blocked
+    FROM judged j LEFT JOIN hosts h USING (host) LEFT JOIN scores s USING (host))
+"""
+
+
 def op2_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
@@ -84,10 +136,90 @@ SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hi
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source, language, hundreds of the id, id."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
+
+
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, pseudo_lm.fit(docs))
+
+
+def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = slots.shard_rows(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], given.schema)
+    return chat.read_back(chat.windows(given.union(more)))
+
+
+OP9_SQL = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, (length(text) + 3) // 4 + 1 AS tokens, {len(chat.OPEN + chat.MIDDLE + chat.CLOSE)}
+        + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS chars FROM rows
+), starts AS (
+    SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), placed AS (
+    SELECT *, start // {chat.SPAN_TOKENS} AS span FROM starts
+), spans AS (
+    SELECT conv_id, span, lead(start) OVER (PARTITION BY conv_id ORDER BY span) AS next FROM (SELECT conv_id, span, min(start) AS start FROM placed GROUP BY ALL)
+), again AS (
+    SELECT p.conv_id, p.number, p.chars, s.next FROM placed p JOIN spans s USING (conv_id, span) WHERE s.next - p.start <= {chat.HISTORY_TOKENS}
+), repeated AS (
+    SELECT conv_id, sum(chars) AS chars FROM again GROUP BY conv_id
+), system AS (
+    SELECT p.conv_id, p.chars * (count(s.next) - (SELECT count(*) FROM again a WHERE a.conv_id = p.conv_id AND a.number = 0)) AS chars
+    FROM placed p JOIN spans s USING (conv_id) WHERE p.number = 0 AND p.role = 'system' GROUP BY p.conv_id, p.chars
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY number) AS turns,
+        coalesce(string_agg(text, '' ORDER BY number) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM placed GROUP BY conv_id
+)
+SELECT w.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(w.chars + coalesce(r.chars, 0) + coalesce(s.chars, 0) AS BIGINT) AS formatted_chars
+FROM whole w LEFT JOIN repeated r USING (conv_id) LEFT JOIN system s USING (conv_id)
+"""
+
+
+def op10_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), placed AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
+"""
+
 QUERIES = {
+    "op1_link_trust": op1_link_trust,
     "op2_minmax": op2_minmax,
+    "op3_licences": op3_licences,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
+    "op6_slots": op6_slots,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_chat": op9_chat,
+    "op10_threshold": op10_threshold,
 }
-ORACLES = {"op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL}
