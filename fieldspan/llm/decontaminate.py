@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspan.llm.common import Stages, WordHashes, map_arrow, run_hashes, utf8
+from fieldspan.llm.common import Stages, map_arrow, utf8
 
 #: Words of benchmark items that one pass over the documents carries along; more are taken in blocks.
 BLOCK_WORDS = 2_000_000
@@ -28,90 +29,98 @@ def letter_words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class Window(NamedTuple):
-    """Windows of one length in a block, sorted by the hash of their rarest shingle."""
+class Windows(NamedTuple):
+    """Windows of one length, sorted by the code of their rarest shingle."""
 
     length: int
-    shingle: np.ndarray  # hash of the rarest shingle
+    shingle: np.ndarray  # code of the rarest shingle
     offset: np.ndarray  # its place in the window
-    whole: np.ndarray  # hash of all words
-    words: list[bytes]  # the words, joined by spaces
+    words: np.ndarray  # numbers of the words, a row for each window
     items: list[list[str]]  # items that hold the window
 
 
-def _parts(length: int) -> int:
-    return min(SHINGLE, length)
+def _numbers(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the words in a block's vocabulary, from 1; 0 for words of no item."""
+    return np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words))
 
 
-def _item_shingles(texts: list[bytes], window: int) -> dict[int, np.ndarray]:
-    """Sorted hashes of the shingles of all windows, by the number of words of a shingle."""
-    known, found = WordHashes(), {}
-    for hashes in (known.of(letter_words(t)) for t in texts):
-        if len(hashes):
-            length = _parts(min(window, len(hashes)))
-            found.setdefault(length, []).append(run_hashes(hashes, length))
+def _shingles(numbers: np.ndarray, length: int, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and codes of the shingles of one or two words, all of them in the vocabulary."""
+    if length == 1:
+        places = np.flatnonzero(numbers)
+        return places, numbers[places]
+    places = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+    return places, numbers[places] * (len(vocabulary) + 1) + numbers[places + 1]
+
+
+def _item_shingles(items: list[list[bytes]], vocabulary: dict[bytes, int], window: int) -> dict[int, np.ndarray]:
+    """Sorted codes of the shingles of all windows, by the number of words of a shingle."""
+    found: dict[int, list[np.ndarray]] = {}
+    for words in items:
+        if words:
+            length = min(SHINGLE, window, len(words))
+            found.setdefault(length, []).append(_shingles(_numbers(words, vocabulary), length, vocabulary)[1])
     return {length: np.unique(np.concatenate(own)) for length, own in found.items()}
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     """How often each of the block's shingles occurs in the texts of a task."""
-    known, sought = WordHashes(), block.value
+    vocabulary, sought = block.value
     counts = {length: np.zeros(len(own), np.int64) for length, own in sought.items()}
     for batch in batches:
         for text in utf8(batch.column(0)):
-            hashes = known.of(letter_words(text)) if text else ()
+            numbers = _numbers(letter_words(text), vocabulary) if text else ()
             for length, own in sought.items():
-                if len(hashes) >= length:
-                    values = run_hashes(hashes, length)
-                    at = np.searchsorted(own, values)
+                if len(numbers) >= length:
+                    _, codes = _shingles(numbers, length, vocabulary)
+                    at = np.searchsorted(own, codes)
                     at[at == len(own)] = 0
-                    np.add.at(counts[length], at[own[at] == values], 1)
+                    np.add.at(counts[length], at[own[at] == codes], 1)
     for length, own in sought.items():
         full = counts[length] > 0
-        yield pa.RecordBatch.from_arrays([pa.array(own[full].view(np.int64)), pa.array(counts[length][full])], ["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(full.sum(), length)), pa.array(own[full]), pa.array(counts[length][full])], ["length", "code", "n"])
 
 
-def _index(rows: list[tuple[str, bytes]], counts: dict[int, int], window: int) -> list[Window]:
+def _index(items: list[tuple[str, list[bytes]]], vocabulary: dict[bytes, int], counts: dict[tuple[int, int], int], window: int) -> list[Windows]:
     """The windows of a block of items, each under its rarest shingle; ties go to the earlier one."""
-    known, found = WordHashes(), {}
-    for item, text in rows:
-        words = letter_words(text)
+    found: dict[tuple[int, tuple], tuple[int, int, set[str]]] = {}
+    for item, words in items:
         if not words:
             continue
-        length, hashes = min(window, len(words)), known.of(words)
-        parts, whole = run_hashes(hashes, _parts(length)), run_hashes(hashes, length)
-        rarity = np.array([counts.get(int(v), 0) for v in parts.view(np.int64)])
-        span = length - _parts(length) + 1
+        length, numbers = min(window, len(words)), _numbers(words, vocabulary)
+        part = min(SHINGLE, length)
+        _, codes = _shingles(numbers, part, vocabulary)
+        rarity = np.array([counts.get((part, int(c)), 0) for c in codes])
         for start in range(len(words) - length + 1):
-            offset = int(np.argmin(rarity[start : start + span]))
-            entry = found.setdefault((length, b" ".join(words[start : start + length])), (parts[start + offset], offset, whole[start], set()))
-            entry[3].add(item)
+            offset = int(np.argmin(rarity[start : start + length - part + 1]))
+            own = found.setdefault((length, tuple(numbers[start : start + length].tolist())), (int(codes[start + offset]), offset, set()))
+            own[2].add(item)
     index = []
-    for length in sorted({k[0] for k in found}):
-        own = sorted(((e[0], e[1], e[2], k[1], sorted(e[3])) for k, e in found.items() if k[0] == length), key=lambda e: (e[0], e[3]))
-        index.append(Window(length, np.array([e[0] for e in own], np.uint64), np.array([e[1] for e in own]), np.array([e[2] for e in own], np.uint64), [e[3] for e in own], [e[4] for e in own]))
+    for length in sorted({n for n, _ in found}):
+        own = sorted((code, words, offset, sorted(names)) for (n, words), (code, offset, names) in found.items() if n == length)
+        index.append(Windows(length, np.array([w[0] for w in own]), np.array([w[2] for w in own]), np.array([w[1] for w in own]), [w[3] for w in own]))
     return index
 
 
-def _hits(words: list[bytes], hashes: np.ndarray, index: list[Window]) -> tuple[list[tuple[int, int]], set[str]]:
+def _hits(numbers: np.ndarray, index: list[Windows], vocabulary: dict[bytes, int]) -> tuple[list[tuple[int, int]], set[str]]:
     """Spans of words under occurrences of windows, and the items that have one."""
     spans, items = [], set()
     for w in index:
-        if len(words) < w.length:  # length bound
+        if len(numbers) < w.length:  # length bound
+            continue
+        places, codes = _shingles(numbers, min(SHINGLE, w.length), vocabulary)
+        first, last = np.searchsorted(w.shingle, codes, "left"), np.searchsorted(w.shingle, codes, "right")
+        n = last - first
+        if not n.any():
             continue
-        parts, whole = run_hashes(hashes, _parts(w.length)), run_hashes(hashes, w.length)
-        first = np.searchsorted(w.shingle, parts, "left")
-        last = np.searchsorted(w.shingle, parts, "right")
-        for place in np.flatnonzero(last > first):
-            entry = np.arange(first[place], last[place])
-            start = place - w.offset[entry]
-            fits = (start >= 0) & (start + w.length <= len(words))  # positional bound
-            entry, start = entry[fits], start[fits]
-            same = whole[start] == w.whole[entry]
-            for e, s in zip(entry[same], start[same]):
-                if b" ".join(words[s : s + w.length]) == w.words[e]:
-                    spans.append((int(s), int(s) + w.length))
-                    items.update(w.items[e])
+        entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(places, n) - w.offset[entry]
+        fits = (start >= 0) & (start + w.length <= len(numbers))  # positional bound
+        entry, start = entry[fits], start[fits]
+        same = (numbers[start[:, None] + np.arange(w.length)] == w.words[entry]).all(1)
+        for e, s in zip(entry[same].tolist(), start[same].tolist()):
+            spans.append((s, s + w.length))
+            items.update(w.items[e])
     return spans, items
 
 
@@ -130,13 +139,13 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _match(batches: Iterator[pa.RecordBatch], at: int, block) -> Iterator[pa.RecordBatch]:
     """Adds the number of words, the hit spans and the items to every row; earlier blocks' findings stand in the last three columns."""
-    known, index = WordHashes(), block.value
+    vocabulary, index = block.value
     for batch in batches:
         n, spans, items = [], [], []
         before = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
         for text, (old_spans, old_items) in zip(utf8(batch.column(at)), before):
             words = letter_words(text) if text else []
-            new_spans, new_items = _hits(words, known.of(words), index) if words else ([], set())
+            new_spans, new_items = _hits(_numbers(words, vocabulary), index, vocabulary) if words else ([], set())
             n.append(len(words))
             spans.append([{"start": s, "end": e} for s, e in _merged(new_spans + [(x["start"], x["end"]) for x in old_spans or ()])])
             items.append(sorted(new_items | set(old_items or ())))
@@ -179,14 +188,15 @@ def mark_contaminated(
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in marked.schema])
     for k in range(blocks):
-        own = [(r.item, r.text.encode()) for r in dealt.where(F.col("block") == k).collect()]
-        sought = _item_shingles([t for _, t in own], window)
-        counts: dict[int, int] = {}
+        own = [(r.item, letter_words(r.text.encode())) for r in dealt.where(F.col("block") == k).collect()]
+        vocabulary = {w: n for n, w in enumerate(sorted({w for _, words in own for w in words}), 1)}
+        sought = _item_shingles([words for _, words in own], vocabulary, window)
+        counts: dict[tuple[int, int], int] = {}
         if sought:
-            counted = map_arrow(docs.select(text), partial(_count_shingles, block=spark.sparkContext.broadcast(sought)), "shingle long, n long")
-            counts = {r.shingle: r.n for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-        index = _index(own, counts, window)
-        marked = map_arrow(marked, partial(_match, at=docs.columns.index(text), block=spark.sparkContext.broadcast(index)), schema)
+            counted = map_arrow(docs.select(text), partial(_count_shingles, block=spark.sparkContext.broadcast((vocabulary, sought))), "length long, code long, n long")
+            counts = {(r.length, r.code): r.n for r in counted.groupBy("length", "code").agg(F.sum("n").alias("n")).collect()}
+        index = _index(own, vocabulary, counts, window)
+        marked = map_arrow(marked, partial(_match, at=docs.columns.index(text), block=spark.sparkContext.broadcast((vocabulary, index))), schema)
     return marked
 
 
