@@ -231,7 +231,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = encoder(path, pattern)
     for batch in batches:
-        ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+        ids = [own.encode(t.decode() if t else "") for t in utf8(batch.column(1))]
         offsets = array("i", [0])
         for x in ids:
             offsets.append(offsets[-1] + len(x))
@@ -268,8 +268,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> I
     little = array("I", [1]).tobytes()[0] == 1
     for batch in batches:
         counts, id_digests, digests = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = own.encode(text or "")
+        for text in utf8(batch.column(1)):
+            ids = own.encode(text.decode() if text else "")
             decoded = own.decode(ids)
             if not little:
                 ids.byteswap()

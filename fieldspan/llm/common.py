@@ -16,7 +16,9 @@ from fieldspan import session
 #: Rows of a list of ids that may be broadcast: 2 million longs are 16 MB, about 64 MB as a hash table.
 BROADCAST_IDS = 2_000_000
 #: Distinct words whose hashes a task remembers before it starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
+#: Rows of an Arrow batch that become Python values at once.
+ROWS = 128
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,9 +35,11 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of a string column, without decoding."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a string column, without decoding and a few rows at a time."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for start in range(0, len(column), ROWS):
+        yield from column.slice(start, ROWS).cast(kind).to_pylist()
 
 
 class WordHashes(dict):

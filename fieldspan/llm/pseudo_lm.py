@@ -22,7 +22,9 @@ CLASSES = 48
 #: Size of an embedding and of the hidden layer, passes of gradient descent over the counted windows, seed of the weights.
 WIDTH, PASSES, SEED = 32, 100, 7
 #: Distinct words that a task counts before it hands the counts on.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
+#: Windows that a task gathers before it adds them to its counts.
+HELD_WINDOWS = 200_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -73,11 +75,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch], frequent: list[bytes], kinds: int, classes: int) -> Iterator[pa.RecordBatch]:
-    known = Kinds(frequent, kinds, classes)
+    known, counts, held, n = Kinds(frequent, kinds, classes), np.zeros(kinds**3, np.int64), [], 0
     for batch in batches:
-        found = [known.windows(words_of(t)) for t in utf8(batch.column(0)) if t]
-        values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["window", "n"])
+        for text in utf8(batch.column(0)):
+            if text:
+                held.append(known.windows(words_of(text)))
+                n += len(held[-1])
+            if n >= HELD_WINDOWS:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held, n = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=len(counts))
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["window", "n"])
 
 
 class WindowNetwork(NamedTuple):
