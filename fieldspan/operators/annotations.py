@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fieldspan.operators.expansion import MANUAL, SEED
 
 _FIELDS = "map<string,string>"
+_BROKEN = "__broken"
+# JSON to the letter, without the parser's limit on the length of a string.
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "maxStringLen": str((1 << 31) - 1)}
 
 
 def with_practical_fields(records: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def with_practical_fields(records: DataFrame) -> DataFrame:
 
 def parse_fields(lines: DataFrame, line: str = "value") -> Column:
     """A JSON line as a map of its fields; a null field is present, a missing one is not."""
-    return F.from_json(F.col(line), _FIELDS)
+    return F.from_json(F.col(line), _FIELDS, {"maxStringLen": _STRICT["maxStringLen"]})
 
 
 def correct_annotations(
@@ -40,7 +43,7 @@ def correct_annotations(
 
     The last correction is found by an aggregate (``max_by``), which a key corrected
     very often cannot overload as it would a sorted window. Corrections of unknown keys
-    change nothing.
+    change nothing. For lines of several files ``order`` is ``files.ORDER``.
     """
     fixes = corrections.select(parse_fields(corrections, line).alias("fix"), *order)
     fixes = fixes.withColumn("__key", F.col("fix")[key]).filter(F.col("__key").isNotNull())
@@ -58,15 +61,22 @@ def json_defects(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def is_json(line: Column) -> Column:
-    """Whether a line decodes; the parser checks it to the end without building a value."""
-    return F.coalesce(F.try_parse_json(line).isNotNull(), F.lit(False))
+    """Whether a line is one JSON value, of any length.
+
+    The parser stops behind a value, so the line is read as the only item of a list and as
+    the only field of an object: what follows the value breaks one or the other.
+    """
+    items = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>", _STRICT)
+    field = F.from_json(F.concat(F.lit('{"v":'), line, F.lit("}")), f"v string, {_BROKEN} string", {**_STRICT, "columnNameOfCorruptRecord": _BROKEN})
+    return F.coalesce((F.size(items) == 1) & field[_BROKEN].isNull(), F.lit(False))
 
 
 def classifier_input(lines: DataFrame, line: str = "value") -> DataFrame:
     """(text, is_seed) from JSON lines: undecodable ones are skipped, a missing text is empty.
 
-    A missing label stays null and the label 0 is a label.
+    Values that are no objects are skipped too. A missing label stays null and the label 0 is a label.
     """
     schema = "text string, is_seed int"
-    good = lines.filter(is_json(F.col(line))).select(F.from_json(line, schema).alias("r"))
+    objects = is_json(F.col(line)) & F.ltrim(F.col(line)).startswith("{")
+    good = lines.filter(objects).select(F.from_json(line, schema, _STRICT).alias("r"))
     return good.select(F.coalesce("r.text", F.lit("")).alias("text"), F.col("r.is_seed").alias("is_seed"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions.text import bare_text_sql, pairs_sql, words_sql
 from fieldspan.operators.features import MIN_DF, TOP_K
-from fieldspan.session import materialise, spread
+from fieldspan.session import materialise
 
 # A vocabulary travels to every executor with the model: what is larger is refused.
 MAX_VOCABULARY = 1 << 21
@@ -59,7 +59,7 @@ def fit_classifier(
     rows = train.select(key, text, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull())
     rows = materialise(rows)
     stages: list = _text_stages(text)
-    terms = PipelineModel(stages).transform(spread(rows)).select(key, "terms", "label").persist()
+    terms = PipelineModel(stages).transform(rows).select(key, "terms", "label").persist()
     counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_vocabulary + 1).fit(terms)
     counted = counter.transform(terms).select("tf", "label")
     frequencies = IDF(inputCol="tf", outputCol="unused").fit(counted)
@@ -99,7 +99,10 @@ def score(model: PipelineModel, df: DataFrame, key: str, text: str = "text") ->
 def score_with(
     df: DataFrame, key: str, load: Callable[[], Callable[[pd.Series], pd.Series]], text: str = "text"
 ) -> DataFrame:
-    """Scores of a model from elsewhere: ``load`` runs once per task and returns a batch function."""
+    """Scores of a model from elsewhere: ``load`` runs once per task and returns a batch function.
+
+    A loader that is costly keeps its model in a module of its own, so that a worker loads it once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
@@ -116,9 +119,9 @@ def ensemble_scores(models: dict[str, PipelineModel], df: DataFrame, key: str, t
     return reduce(DataFrame.unionByName, parts)
 
 
-def wide_scores(scores: DataFrame, key: str, models: list[str] | None = None) -> DataFrame:
+def wide_scores(scores: DataFrame, key: str | list[str], models: list[str] | None = None) -> DataFrame:
     """One column per model. The models are a parameter list, or looked up."""
-    return scores.groupBy(key).pivot("model_id", models).agg(F.first("score"))
+    return scores.groupBy(*([key] if isinstance(key, str) else key)).pivot("model_id", models).agg(F.first("score"))
 
 
 def class_metrics(
@@ -141,10 +144,12 @@ def class_metrics(
     )
 
 
-def error_report(scored: DataFrame, threshold: float = 0.5, label: str = "label", text: str = "text") -> DataFrame:
+def error_report(
+    scored: DataFrame, threshold: float = 0.5, label: str = "label", text: str = "text", by: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
     """False positives and negatives with score and text; positive means score above the threshold."""
     positive = F.col("score") > F.lit(threshold)
     kind = F.when(positive & (F.col(label) == 0), F.lit("false_positive")).when(
         ~positive & (F.col(label) == 1), F.lit("false_negative")
     )
-    return scored.withColumn("error", kind).filter(F.col("error").isNotNull()).select("error", "score", text)
+    return scored.withColumn("error", kind).filter(F.col("error").isNotNull()).select(*by, "error", "score", text)

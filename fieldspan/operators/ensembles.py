@@ -76,14 +76,16 @@ def model_performance(metas: DataFrame) -> DataFrame:
 
 
 def model_correlations(
-    scores: DataFrame, key: str, models: list[str], by: Sequence[str] = ("architecture",)
+    scores: DataFrame, key: str, models: list[str] | None = None, by: Sequence[str] = ("architecture",)
 ) -> DataFrame:
-    """(by..., model_a, model_b, corr) of every ordered pair of models, itself included.
+    """(by..., model_a, model_b, corr) of every ordered pair of a group's models, itself included.
 
     Scores are set side by side per item, then all pairs are correlated in one
-    aggregation: no row is multiplied by the number of pairs. ``models`` is the list of
-    model names, which are few.
+    aggregation: no row is multiplied by the number of pairs. Models are few; without a
+    list of names they are looked up. Pairs with a model that has no score in the group are left out.
     """
+    if models is None:
+        models = [r.model_id for r in scores.select("model_id").distinct().orderBy("model_id").collect()]
     wide = scores.groupBy(*by, key).agg(
         *[F.max(F.when(F.col("model_id") == m, F.col("score"))).alias(f"m{i}") for i, m in enumerate(models)]
     )
@@ -95,17 +97,21 @@ def model_correlations(
         x, y = F.when(both, F.col(f"m{i}")), F.when(both, F.col(f"m{j}"))
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{i}_{j}")
 
-    row = wide.groupBy(*by).agg(*[correlation(i, j) for i, j in pairs])
+    present = [F.count(f"m{i}").alias(f"n{i}") for i in range(len(models))]
+    row = wide.groupBy(*by).agg(*[correlation(i, j) for i, j in pairs], *present)
     cells = [
-        F.struct(F.lit(models[a]).alias("model_a"), F.lit(models[b]).alias("model_b"), F.col(f"c{i}_{j}").alias("corr"))
+        F.when(
+            (F.col(f"n{i}") > 0) & (F.col(f"n{j}") > 0),
+            F.struct(F.lit(models[a]).alias("model_a"), F.lit(models[b]).alias("model_b"), F.col(f"c{i}_{j}").alias("corr")),
+        )
         for i, j in pairs
         for a, b in dict.fromkeys([(i, j), (j, i)])
     ]
-    return row.select(*by, F.inline(F.array(*cells)))
+    return row.select(*by, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
 def representativeness(
-    scores: DataFrame, key: str, models: list[str], by: Sequence[str] = ("architecture",)
+    scores: DataFrame, key: str, models: list[str] | None = None, by: Sequence[str] = ("architecture",)
 ) -> DataFrame:
     """(by..., model_id, mean_corr): mean correlation with all models, itself included."""
     pairs = model_correlations(scores, key, models, by)
@@ -113,7 +119,7 @@ def representativeness(
 
 
 def most_representative(
-    scores: DataFrame, key: str, models: list[str], by: Sequence[str] = ("architecture",), digits: int = 10
+    scores: DataFrame, key: str, models: list[str] | None = None, by: Sequence[str] = ("architecture",), digits: int = 10
 ) -> DataFrame:
     """The model of highest mean correlation per group (ties after rounding go by name)."""
     means = representativeness(scores, key, models, by).filter(F.col("mean_corr").isNotNull())

@@ -208,27 +208,25 @@ def full_citation_expansion(raw: DataFrame, links: DataFrame, key: str, level: i
 def reduce_expansion(raw: DataFrame, key: str, depth: int = 2) -> DataFrame:
     """One row per key: its strongest level, all its levels (sorted) and their number.
 
-    Every level has a counter, so rows are summed before the shuffle and no list of
-    rows is ever built for a key.
+    Levels rank by what they contain: ``ANTISEED``, ``SEED``, ``PC``, then the citation rounds
+    up to ``depth``; a key with none of these has no strongest level. Rows are summed per
+    (key, level) before they move, so a key's list is as long as it has distinct levels;
+    a level is written out as often as it occurs.
     """
-    labels = sorted([RANDOM_NEGATIVE, CLOSE_NEGATIVE, MANUAL, "ANTISEED", SEED, PC, *citation_levels(depth)])
-    counts = {level: f"__n{i}" for i, level in enumerate(labels)}
     level = F.col("expansion_level")
-    grouped = raw.groupBy(key).agg(
-        *[F.count_if(level == name).alias(column) for name, column in counts.items()],
-        F.count(level).alias("nb_match"),
-    )
-
-    def seen(*names: str) -> Column:
-        return F.greatest(F.lit(0), *[F.col(counts[n]) for n in names]) > 0
-
-    strongest = F.when(seen(*[n for n in labels if n.startswith("ANTISEED")]), F.lit("ANTISEED"))
-    for name in (SEED, PC, *citation_levels(depth)):
-        strongest = strongest.when(seen(name), F.lit(name))
-    listed = F.concat(*[F.array_repeat(F.lit(n), F.col(c).cast("int")) for n, c in counts.items()])
+    summed = raw.groupBy(key, "expansion_level").agg(F.count(level).alias("n"))
+    ranked = ["ANTISEED", SEED, PC, *citation_levels(depth)]
+    contained = [F.max(level.contains(name)) for name in ranked]
+    strongest = F.when(contained[0], F.lit(ranked[0]))
+    for name, seen in zip(ranked[1:], contained[1:]):
+        strongest = strongest.when(seen, F.lit(name))
+    # A null level is counted zero times and collected by nobody.
+    entries = F.collect_list(F.when(level.isNotNull(), F.struct("expansion_level", "n")))
+    grouped = summed.groupBy(key).agg(strongest.alias("expansion_level"), F.array_sort(entries).alias("entries"), F.sum("n").alias("nb_match"))
+    listed = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["expansion_level"], e["n"].cast("int"))))
     return grouped.select(
         key,
-        strongest.alias("expansion_level"),
+        "expansion_level",
         F.when(F.col("nb_match") > 0, F.array_join(listed, ",")).alias("expansion_level_"),
         "nb_match",
     )

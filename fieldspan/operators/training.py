@@ -18,6 +18,8 @@ SEED_SHARE_LOW, SEED_SHARE_HIGH = 0.1, 0.2
 TEST_SHARE_HIGH, TEST_SHARE_LOW = 0.5, 0.2
 EMPTY_TEXTS = ["", "\n", "\n\n"]
 
+_MEMBER, _TEXT, _TIMES = "__member", "__text", "__times"
+
 
 def training_table(
     labelled: DataFrame,
@@ -45,9 +47,12 @@ def training_table(
     pool = corpus.filter(F.col("abstract").isNotNull() & (F.col("abstract") != "")).select(key, "abstract")
     if exclude_expansion:
         pool = pool.join(expansion.select(key), key, "left_anti")
-    # Keys are drawn first and the texts fetched for the drawn ones: a sort never carries text.
-    drawn = draw_exact(pool.select(key), [key], size, draw_seed)
-    random = pool.join(drawn.distinct(), key, "left_semi").select(
+    # Rows are drawn by key and a hash of their text, and texts fetched for those drawn: equal
+    # rows of a repeated key are written out as often as they were drawn.
+    pool = pool.withColumn(_TEXT, F.xxhash64("abstract"))
+    drawn = draw_exact(pool.select(key, _TEXT), [key], size, draw_seed).groupBy(key, _TEXT).agg(F.count("*").alias(_TIMES))
+    fetched = pool.join(drawn, [key, _TEXT]).dropDuplicates([key, _TEXT])
+    random = _repeated(fetched).select(
         key,
         F.lit(RANDOM_NEGATIVE).alias("expansion_level"),
         F.lit(0).alias("is_seed"),
@@ -71,8 +76,18 @@ def expansion_texts(
     )
     if sample_size is None:
         return members.join(texts, key)
-    drawn = draw_exact(members.join(texts.select(key), key, "left_semi"), [key], sample_size, draw_seed)
-    return drawn.join(texts, key)
+    # The sample is one of the joined rows, so the pair of rows is what is drawn.
+    members, texts = members.withColumn(_MEMBER, F.xxhash64(*members.columns)), texts.withColumn(_TEXT, F.xxhash64("text"))
+    pairs = members.select(key, _MEMBER).join(texts.select(key, _TEXT), key)
+    drawn = draw_exact(pairs, [key], sample_size, draw_seed).groupBy(key, _MEMBER, _TEXT).agg(F.count("*").alias(_TIMES))
+    drawn = drawn.join(members.join(drawn.select(key).distinct(), key, "left_semi").dropDuplicates([key, _MEMBER]), [key, _MEMBER])
+    fetched = texts.join(drawn.select(key, _TEXT).distinct(), [key, _TEXT], "left_semi").dropDuplicates([key, _TEXT])
+    return _repeated(drawn.join(fetched, [key, _TEXT])).drop(_MEMBER, _TEXT, _TIMES)
+
+
+def _repeated(drawn: DataFrame) -> DataFrame:
+    """Every row as often as it was drawn."""
+    return drawn.withColumn(_TIMES, F.explode(F.sequence(F.lit(1), F.col(_TIMES).cast("int"))))
 
 
 def join_tables(

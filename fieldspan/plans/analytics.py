@@ -38,10 +38,9 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 _WIDE = ", ".join(f"round(max(score) FILTER (model_id = '{m}'), 6) AS {m}" for m in MODELS)
 
 
-@query(_scores(f"SELECT doc_id, {_WIDE} FROM score WHERE architecture = 'mlp' GROUP BY doc_id"))
+@query(_scores(f"SELECT architecture, doc_id, {_WIDE} FROM score GROUP BY architecture, doc_id"))
 def ensemble_scores(spark: SparkSession, d: str) -> DataFrame:
-    one = c.scores(spark, d).filter(F.col("architecture") == "mlp")
-    return _rounded(classify.wide_scores(one, "doc_id", MODELS), *MODELS)
+    return _rounded(classify.wide_scores(c.scores(spark, d), ["architecture", "doc_id"], MODELS), *MODELS)
 
 
 _METRICS = """SELECT {by}, round(avg(((score >= 0.5)::INT = label)::INT), 6) AS binary_accuracy,
@@ -57,23 +56,23 @@ def fit_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found, "binary_accuracy", "precision", "recall", "loss")
 
 
-@query(_scores(f"SELECT architecture, binary_accuracy, precision, recall FROM ({_METRICS.format(by='architecture')})"))
+@query(_scores(_METRICS.format(by="architecture")))
 def class_metrics(spark: SparkSession, d: str) -> DataFrame:
-    found = classify.class_metrics(c.labelled_scores(spark, d), ["architecture"]).drop("loss")
-    return _rounded(found, "binary_accuracy", "precision", "recall")
+    found = classify.class_metrics(c.labelled_scores(spark, d), ["architecture"])
+    return _rounded(found, "binary_accuracy", "precision", "recall", "loss")
 
 
 @query(
     _scores(
-        """SELECT CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error, round(score, 6) AS score, text
-        FROM labelled JOIN documents USING (doc_id) WHERE architecture = 'cnn' AND model_id = 's0'
-        AND ((score > 0.5 AND label = 0) OR (score <= 0.5 AND label = 1))"""
+        """SELECT architecture, model_id, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error,
+        round(score, 6) AS score, text FROM labelled JOIN documents USING (doc_id)
+        WHERE (score > 0.5 AND label = 0) OR (score <= 0.5 AND label = 1)"""
     )
 )
 def error_report(spark: SparkSession, d: str) -> DataFrame:
-    one = c.labelled_scores(spark, d).filter("architecture = 'cnn' AND model_id = 's0'")
     texts = table(spark, d, "documents").select("doc_id", "text")
-    return _rounded(classify.error_report(one.join(texts, "doc_id")), "score")
+    scored = c.labelled_scores(spark, d).join(texts, "doc_id")
+    return _rounded(classify.error_report(scored, by=["architecture", "model_id"]), "score")
 
 
 _STD = "SELECT architecture, doc_id, stddev_samp(score) AS std_score FROM score GROUP BY architecture, doc_id"

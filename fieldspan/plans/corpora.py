@@ -92,10 +92,9 @@ def undated_codes(spark: SparkSession, sf_dir: str, cls: str = "cpc") -> DataFra
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(citing, cited): first lines cite the order their part and supplier point to."""
+    """(citing, cited): every line cites the order its part and supplier point to; repeats are repeated citations."""
     cited = F.col("l_partkey") * 7 + F.col("l_suppkey") % 7
-    pairs = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
-    return pairs.select(F.col("l_orderkey").alias("citing"), cited.alias("cited")).filter(F.col("citing") != F.col("cited"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing"), cited.alias("cited")).filter(F.col("citing") != F.col("cited"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +152,7 @@ GRAPH_SQL = {
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "ipc": "SELECT l_orderkey AS k, p_type AS code FROM lineitem JOIN part ON l_partkey = p_partkey",
     "cit": """SELECT DISTINCT l_orderkey AS citing, l_partkey * 7 + l_suppkey % 7 AS cited
-        FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <> l_partkey * 7 + l_suppkey % 7""",
+        FROM lineitem WHERE l_orderkey <> l_partkey * 7 + l_suppkey % 7""",
     "seed": f"SELECT k, {_LEVEL_SQL} AS level FROM (SELECT o_orderkey AS k, {u_sql(42, 'o_orderkey')} AS u FROM orders)",
     "seedf": f"""SELECT code, n, n_patents, n::DOUBLE / n_patents AS freq FROM (
         SELECT code, count(*) AS n, (SELECT count(*) FROM seed WHERE level = '{SEED}') AS n_patents

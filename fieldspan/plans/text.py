@@ -9,7 +9,6 @@ from fieldspan.operators import annotations, candidates, classify, corpus, featu
 from fieldspan.operators.expansion import MANUAL, SEED
 from fieldspan.plans import corpora as c
 from fieldspan.plans.corpora import KEYWORDS, OPTIONS, PREFIXES, PUB, TEXT_SQL, table, u_sql, with_ctes
-from fieldspan.session import spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -284,7 +283,7 @@ FEATURE_SQL = {
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:

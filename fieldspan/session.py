@@ -67,13 +67,3 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
-
-def spread(table: DataFrame) -> DataFrame:
-    """A stored table for a compute-heavy stage, over at least as many partitions as there are cores.
-
-    A few files that cannot be split would keep a few cores busy. A table with enough
-    partitions, which any large one has, is left as it is: nothing is shuffled. For
-    plain reads only: asking a plan with shuffles for its partitions would run them.
-    """
-    wanted = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted)

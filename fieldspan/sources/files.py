@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -10,6 +12,8 @@ from fieldspan.operators.annotations import json_defects
 from fieldspan.sources.schemas import SEED
 
 _CORRUPT = "_corrupt_record"
+#: What orders lines of one or several files.
+ORDER = ("file", "block", "position")
 
 
 class TooManyBadRecords(ValueError):
@@ -17,27 +21,35 @@ class TooManyBadRecords(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, file, position): lines with their file and an order that follows the files' own.
+    """(value, file, block, position): lines with their file and their order in it.
 
-    The position is the partition and row number Spark reads a line at; it orders lines
-    of one read, it is not a line number.
+    ``ORDER`` sorts lines by the files' paths, then as they stand in the file: ``block`` is where
+    the part of the file begins that a task reads, ``position`` rises within such a
+    part. Spark packs parts of several files into a task by size, so the position alone is no order.
     """
-    lines = spark.read.text(path)
-    return lines.select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position")
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"),
     )
 
 
 def inspect_jsonl(spark: SparkSession, path: str | list[str], numbered: bool = False) -> DataFrame:
-    """Undecodable lines with their file; ``numbered`` adds the line number.
+    """Undecodable lines with their file; ``numbered`` adds the line number, from 0.
 
-    Numbers need each file read by one task, so they are for files of a size that suits.
+    Lines are numbered within the part of a file that a task reads, and counts of the parts
+    before it are added, so no file is read in one piece.
     """
+    lines = read_lines(spark, path)
     if not numbered:
-        return json_defects(read_lines(spark, path)).select("file", "value")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "value"))
-    return json_defects(lines).select("file", "line", "value")
+        return json_defects(lines).select("file", "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    parts = parts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("file", "block").orderBy("position")
+    numbers = lines.withColumn("line", F.row_number().over(within) - 1).join(parts, ["file", "block"])
+    return json_defects(numbers).select("file", (F.col("first") + F.col("line")).alias("line"), "value")
 
 
 def load_annotated(
@@ -84,11 +96,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", gzip: boo
 
 
 def read_wide_scores(spark: SparkSession, path: str | list[str], key: str = "position") -> DataFrame:
-    """(key, model_id, score) from CSV files with a row number and one score column per model."""
-    wide = spark.read.csv(path, header=True)
-    index, *models = wide.columns
-    cells = F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"`{m}`").cast("double").alias("score")) for m in models])
-    return wide.select(F.col(f"`{index}`").alias(key), F.inline(cells))
+    """(technology, architecture, key, model_id, score) from CSV files with a row number and a score column per model.
+
+    Every file is read with a header of its own. A name ``<kind>_<technology>_..._<architecture>.csv``
+    tells technology and architecture; other names leave them null. Files are few: their
+    paths are looked up, and each becomes a part of the plan.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()
+    parts = []
+    for name in (r.path for r in files):
+        wide = spark.read.csv(name, header=True)
+        index, *models = wide.columns
+        words = name.rsplit("/", 1)[-1].split(".")[0].split("_")
+        technology, architecture = (words[1], words[-1]) if len(words) > 2 else (None, None)
+        score = [F.struct(F.lit(m).alias("model_id"), F.col("`" + m.replace("`", "``") + "`").cast("double").alias("score")) for m in models]
+        cells = F.array(*score).cast("array<struct<model_id:string,score:double>>")
+        tags = (F.lit(technology).cast("string").alias("technology"), F.lit(architecture).cast("string").alias("architecture"))
+        parts.append(wide.select(*tags, F.col("`" + index.replace("`", "``") + "`").alias(key), F.inline(cells)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -147,6 +147,18 @@ def test_seed_share(spark):
     assert half.exceptAll(x.seed_block(labelled, K, share=0.7, draw_seed=1)).count() == 0
 
 
+def test_levels_beyond_the_known_ones_are_ranked_and_listed(spark, rows):
+    raw = [(1, "SEED-2"), (1, "L3-FOR"), (2, "ANTISEED-other"), (2, "SEED"), (3, "L3-FOR"), (3, "L3-FOR"), (4, None), (5, "L2-BACK"), (5, "x")]
+    found = x.reduce_expansion(spark.createDataFrame(raw, "k int, expansion_level string"), "k")
+    assert rows(found, "k", "expansion_level", "expansion_level_", "nb_match") == [
+        (1, "SEED", "L3-FOR,SEED-2", 2),
+        (2, "ANTISEED", "ANTISEED-other,SEED", 2),
+        (3, None, "L3-FOR,L3-FOR", 2),
+        (4, None, None, 0),
+        (5, "L2-BACK", "L2-BACK,x", 2),
+    ]
+
+
 def test_reduced_levels(spark, rows):
     raw = table(
         spark,

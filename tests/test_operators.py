@@ -191,7 +191,65 @@ def test_metas_and_wide_scores(spark, tmp_path, rows):
     assert got["mlp", "f1-score"]["mean"] == pytest.approx(0.6) and got["mlp", "f1-score"]["count"] == 2
     (tmp_path / "wide.csv").write_text(",m1,m2\n0,0.1,0.9\n1,0.2,0.8\n")
     long = files.read_wide_scores(spark, str(tmp_path / "wide.csv"))
-    assert rows(long) == [("0", "m1", 0.1), ("0", "m2", 0.9), ("1", "m1", 0.2), ("1", "m2", 0.8)]
+    assert rows(long, "position", "model_id", "score") == [("0", "m1", 0.1), ("0", "m2", 0.9), ("1", "m1", 0.2), ("1", "m2", 0.8)]
+
+
+def test_wide_scores_of_files_with_other_models(spark, tmp_path, rows):
+    (tmp_path / "classification_steel_robustness_cnn.csv").write_text(",m1,m2\n0,0.1,0.2\n")
+    (tmp_path / "classification_steel_robustness_mlp.csv").write_text(",m3,m4,m5\n0,0.3,0.4,0.5\n")
+    long = files.read_wide_scores(spark, str(tmp_path / "*.csv"))
+    expected = [("cnn", "m1", 0.1), ("cnn", "m2", 0.2), ("mlp", "m3", 0.3), ("mlp", "m4", 0.4), ("mlp", "m5", 0.5)]
+    assert rows(long, "architecture", "model_id", "score") == expected and {r.technology for r in long.collect()} == {"steel"}
+
+
+@pytest.mark.parametrize("larger", [0, 1])
+def test_last_correction_follows_the_files_whatever_their_size(spark, tmp_path, larger):
+    for i in range(2):
+        padding = [json.dumps({"family_id": "other", "a": "x" * 200})] * (500 if i == larger else 1)
+        (tmp_path / f"{i + 1}.jsonl").write_text("\n".join([json.dumps({"family_id": "1", "a": f"file {i + 1}"}), *padding]) + "\n")
+    base = _lines(spark, [{"family_id": "1", "a": "base"}])
+    fixed = annotations.correct_annotations(base, files.read_lines(spark, str(tmp_path / "*.jsonl")), order=files.ORDER)
+    assert fixed.first().fields["a"] == "file 2"
+
+
+def test_json_lines_of_any_size_and_kind(spark, rows):
+    huge = json.dumps({"text": "x" * (20 << 20), "is_seed": 1})
+    good = [huge, '{"text":"a"} ', "[1,2]", "5", "null", '"]"', '{"a":{"b":[1,"]"]}}', '[{"a":1}]']
+    bad = ['{"text":', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1}] [2', '1} {"x":2', "{'a':1}", "", "nothing"]
+    lines = spark.createDataFrame([(x,) for x in good + bad], "value string")
+    assert sorted(r.value for r in annotations.json_defects(lines).collect()) == sorted(bad)
+    kept = annotations.classifier_input(lines).selectExpr("length(text) AS n", "is_seed")
+    assert rows(kept) == sorted([(20 << 20, 1), (1, None), (0, None)], key=repr)
+
+
+def test_lines_are_numbered_across_the_parts_of_a_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join("{bad\n" if i % 997 == 0 else '{"a":"%s"}\n' % ("y" * 90) for i in range(6000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = files.inspect_jsonl(spark, str(tmp_path / "a.jsonl"), numbered=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.line for r in found) == list(range(0, 6000, 997))
+
+
+def test_representativeness_of_models_of_their_own_group(spark, rows):
+    scores = [("cnn", m, k, float(k * s)) for m, s in (("c1", 1), ("c2", -1)) for k in range(4)] + [("mlp", "x1", k, float(k)) for k in range(4)]
+    df = spark.createDataFrame(scores, "architecture string, model_id string, k int, score double")
+    expected = [("cnn", "c1", 0.0), ("cnn", "c2", 0.0), ("mlp", "x1", 1.0)]
+    for models in (None, ["c1", "c2", "x1"]):
+        assert rows(ensembles.representativeness(df, "k", models).selectExpr("architecture", "model_id", "round(mean_corr, 6) AS c")) == expected
+
+
+@pytest.mark.parametrize("size", [1, 4, 10])
+def test_drawn_tables_have_their_size_with_repeated_keys(spark, size):
+    labelled = spark.createDataFrame([], "k int, expansion_level string, text string")
+    pool = spark.createDataFrame([(k, f"text {k} {i // 2}") for k in range(20) for i in range(3)], "k int, abstract string")
+    outside = spark.createDataFrame([(99, "PC")], "k int, expansion_level string")
+    table = training.training_table(labelled, pool, outside, size, "k", draw_seed=3)
+    assert table.count() == size
+    expansion = spark.createDataFrame([(k, level) for k in range(20) for level in ("PC", "L1-FOR")], "k int, expansion_level string")
+    sample = training.expansion_texts(expansion, pool, "k", sample_size=size, draw_seed=3)
+    assert sample.count() == size and sample.columns == ["k", "expansion_level", "text"]
 
 
 def test_classifier_input(spark, rows):
