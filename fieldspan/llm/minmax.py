@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,9 +126,9 @@ def near_duplicates(
     each of which gives its minimum and its maximum. At the limit of 0.8 a pair is
     missed with probability (1 - 0.8 ** 8) ** 64 < 1e-5. Equal sets are one candidate,
     found by a digest. In a bucket everyone is compared with the smallest member, on
-    the full sets (64-bit shingle hashes); pairs across what is then still apart in a
-    bucket are compared too, so that no pair of a bucket is left out, without listing
-    the pairs of a group of copies.
+    the full sets (64-bit shingle hashes); what is then still apart in a bucket is
+    searched for further links by an exact prefix join, so that no link of a bucket is
+    left out, and the pairs of a group of copies are not listed.
 
     Null text, empty text, only white space: empty set, linked with nothing, its own
     component. Rows repeating a key are versions of one document: linked if any of
@@ -153,16 +153,17 @@ def near_duplicates(
         texts = restrict(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id")
         set_schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("members", T.ArrayType(T.LongType()))])
         sets = stages.keep(map_arrow(texts, partial(_sets, words=words, shingle=shingle), set_schema), "sets")
-        others = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        others = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        others = stages.keep(others, "others")
 
         links = stages.keep(_linked(others.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "links")
         labels = components(links, stages)
-        for pairs in (lambda: _apart(others, labels), lambda: _crossing(buckets, labels)):
-            more = stages.keep(_linked(pairs().distinct(), sets, percent), "more")
+        for pairs in (lambda: _apart(others, labels), lambda: _crossing(buckets, sets, labels, percent, stages)):
+            more = stages.keep(_linked(pairs(), sets, percent), "more")
             if not more.isEmpty():
                 links = stages.keep(links.union(more), "links")
                 labels = components(links, stages)
-        stages.drop("sets", "more", "links")
+        stages.drop("sets", "others", "more", "links", "open", "ranked")
     stages.drop("buckets", "wanted")
 
     placed = signed.select("id", "n", "set_key").join(alike, "set_key", "left")
@@ -183,21 +184,52 @@ def _labelled(df: DataFrame, labels: DataFrame | None, node: str, name: str) ->
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Distinct pairs of (member, pivot) that are in different components so far."""
-    pairs = _labelled(_labelled(pairs.distinct(), labels, "a", "at_a"), labels, "b", "at_b")
+    pairs = _labelled(_labelled(pairs, labels, "a", "at_a"), labels, "b", "at_b")
     return pairs.where("at_a <> at_b").select("a", "b")
 
 
-def _crossing(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of a bucket's members other than its pivot that are in different components.
+def _crossing(buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, stages: Stages) -> DataFrame:
+    """Distinct pairs that may be links, for all pairs of a bucket without its pivot that are in different components.
 
-    Members outside the pivot's component look for partners among all members, so a
-    large group of copies meets only the few strays of its bucket.
+    Listing them would pair every stray of a group of copies with all of the group. They are found by
+    an exact prefix join instead: shingles are ranked by how many documents have them,
+    rare ones first, in one order for all. What two sets have in common begins with their first
+    common shingle and is no longer than what either has from there on, so a link has a
+    common shingle so early in both that enough is left. An edited copy begins with the shingles
+    that its edits made, and meets only those who share one of them.
+
+    Only documents of buckets with several components are joined; each such pair has a
+    member outside the bucket's largest component, and only those look for partners.
     """
-    placed = _labelled(_labelled(buckets.where("id <> pivot"), labels, "id", "at"), labels, "pivot", "home")
-    stray = placed.where("at <> home").select("bucket", F.col("id").alias("a"), F.col("at").alias("at_a"), "home")
-    other = placed.select("bucket", F.col("id").alias("b"), F.col("at").alias("at_b"))
-    apart = (F.col("at_a") != F.col("at_b")) & ((F.col("at_b") == F.col("home")) | (F.col("a") < F.col("b")))
-    return stray.join(other, "bucket").where(apart).select("a", "b")
+    placed = _labelled(buckets.where("id <> pivot"), labels, "id", "at").select("bucket", "id", "at")
+    several = placed.groupBy("bucket").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most").select("bucket")
+    placed = placed.join(several, "bucket")
+    if labels is not None:
+        size_of = labels.groupBy(F.col("component").alias("at")).agg(F.count("*").alias("size"))
+        placed = placed.join(size_of, "at", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    else:
+        placed = placed.withColumn("size", F.lit(1))
+    largest = placed.groupBy("bucket").agg(F.max("size").alias("size"))
+    home = placed.join(largest, ["bucket", "size"]).groupBy("bucket").agg(F.min("at").alias("home"))
+    placed = placed.join(home, "bucket").groupBy("id", "at").agg(F.max(F.col("at") != F.col("home")).alias("stray"))
+    opened = stages.keep(placed, "open")
+
+    held = sets.join(opened, "id").withColumns({"version": F.xxhash64("members"), "n": F.size("members")})
+    held = held.select("id", "at", "stray", "version", "n", F.explode("members").alias("shingle"))
+    counted = held.groupBy("shingle").agg(F.count("*").alias("held_by"))
+    order = Window.partitionBy("id", "version").orderBy("held_by", "shingle")
+    ranked = held.join(counted, "shingle").withColumn("left", F.col("n") - F.row_number().over(order) + 1)
+    ranked = ranked.where("held_by > 1").where(100 * F.col("left") >= percent * F.col("n"))
+    ranked = stages.keep(ranked.select("shingle", "id", "at", "stray", "n", "left"), "ranked")
+
+    def side(x: str) -> list[Column]:
+        return ["shingle", *[F.col(c).alias(f"{to}_{x}" if to else x) for c, to in (("id", ""), ("at", "at"), ("stray", "stray"), ("n", "n"), ("left", "left"))]]
+
+    a = ranked.where("stray").select(*side("a"))
+    b = ranked.select(*side("b")).withColumnRenamed("shingle", "same")
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    apart = (F.col("at_a") != F.col("at_b")) & (~F.col("stray_b") | (F.col("a") < F.col("b")))
+    return a.join(b, (F.col("shingle") == F.col("same")) & apart & enough).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
