@@ -82,6 +82,45 @@ def family_candidates(candidates: DataFrame, publications: DataFrame) -> DataFra
     )
 
 
+def counted_candidates(research: DataFrame, listed: DataFrame, keywords: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """(publication_number, match, n): all candidates, repeats as numbers, no texts.
+
+    Keyword and class hits come from one scan; an item named many times is one row.
+    """
+    named = research.join(listed.select("publication_number").distinct(), "publication_number", "left_semi")
+    similar = named.select(F.explode("similar").alias("s")).select(F.col("s.publication_number"))
+    similar = similar.filter(F.col("publication_number").isNotNull()).groupBy("publication_number").agg(F.count(F.lit(1)).alias("n"))
+    # An item is found as often as it is named and has rows.
+    rows = research.groupBy("publication_number").agg(F.count(F.lit(1)).alias("rows"))
+    similar = similar.join(rows, "publication_number").select("publication_number", F.lit("patent").alias("match"), (F.col("n") * F.col("rows")).alias("n"))
+    classes = F.coalesce(F.size(F.filter(F.col("cpc"), lambda c: has_prefix(c["code"], prefixes))), F.lit(0)).cast("bigint")
+    words = F.coalesce(holds_keyword("abstract", keywords), F.lit(False)).cast("bigint")
+    kinds = F.array(F.struct(F.lit("cpc").alias("match"), classes.alias("n")), F.struct(F.lit("keyword").alias("match"), words.alias("n")))
+    hits = research.select("publication_number", F.inline(F.filter(kinds, lambda k: k["n"] > 0)))
+    return similar.unionByName(hits).groupBy("publication_number", "match").agg(F.sum("n").alias("n"))
+
+
+def candidate_families(counted: DataFrame, publications: DataFrame, research: DataFrame) -> DataFrame:
+    """:func:`family_candidates` of counted candidates: ids and numbers are rolled up first, the texts joined last."""
+    families = publications.select("publication_number", "family_id")
+    joined = counted.join(families, "publication_number", "left")
+    grouped = joined.groupBy("family_id", alone_without_family(joined)).agg(
+        listed_ids(F.col("publication_number").cast("string"), F.col("n")).alias("ids"),
+        F.min("publication_number").alias("publication_number"),
+        F.array_join(F.array_sort(F.collect_set("match")), ",").alias("match"),
+        F.sum("n").alias("match_number"),
+    )
+    texts = research.select("publication_number", F.struct("title", "abstract").alias("t"))
+    found = grouped.join(texts, "publication_number").groupBy("family_id", "publication_number", "__alone", "ids", "match", "match_number").agg(F.min("t").alias("t"))
+    return found.select(
+        "family_id",
+        F.col("ids").alias("publication_number"),
+        F.concat("t.title", F.lit("\n\n"), "t.abstract").alias("text"),
+        "match",
+        "match_number",
+    )
+
+
 def sample_candidates(
     candidates: DataFrame,
     size_bin: int = 500,
@@ -91,15 +130,14 @@ def sample_candidates(
 ) -> DataFrame:
     """About ``size_bin`` candidates per kind of match; smaller kinds are kept whole.
 
-    The bins are the sets of sources, seven at most, so their counts are broadcast. The
-    random order is a global sort and therefore only made on request.
+    The bins are the sets of sources. The random order is a global sort and therefore only made on request.
     """
     seed = fresh_seed(draw_seed)
     bins = candidates.filter(F.col("match").isNotNull()).groupBy("match").agg(F.count("match").alias("nb_bin"))
     total = bins.agg(F.sum("nb_bin")).scalar()
     bins = bins.select("match", "nb_bin", total.alias("nb_total"))
     draw = unit_draw(seed, *on)
-    drawn = candidates.join(F.broadcast(bins), "match").filter(draw < F.lit(float(size_bin)) / F.col("nb_bin"))
+    drawn = candidates.join(bins, "match").filter(draw < F.lit(float(size_bin)) / F.col("nb_bin"))
     return drawn.orderBy(unit_draw(f"{seed}-order", *on)) if shuffled else drawn
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspan.functions.text import bare_text_exact, bare_text_sql, pairs_sql, sequence_words, words_sql
+from fieldspan.session import let_workers_import
 
 # Defaults of the published feature set-ups.
 MIN_DF, TOP_K, MAX_LENGTH = 2, 5000, 250
@@ -102,15 +109,28 @@ def fit_vocabulary(train: DataFrame, text: str = "text", top_k: int = TOP_K) ->
 
 
 def word_sequences(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, sequence): indices of the known words in order, one row per key.
+    """(key, sequence): indices of the known words in order, one row per row. No shuffle.
 
-    The vocabulary is bounded by its ``top_k`` and broadcast. The words of a text are
-    gathered again on the map side, so what is shuffled is one array per text.
+    The vocabulary, bounded by its ``top_k``, is read when called and travels to the
+    tasks, which look words up in whole Arrow batches.
     """
-    words = df.select(key, F.posexplode_outer(sequence_words(F.col(text))).alias("pos", "word"))
-    known = words.join(F.broadcast(vocabulary), "word", "left")
-    pairs = F.collect_list(F.when(F.col("index").isNotNull(), F.struct("pos", "index")))
-    return known.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["index"]).alias("sequence"))
+    let_workers_import(df.sparkSession)
+    rows = vocabulary.select("word", F.col("index").cast("int")).collect()
+    known = df.sparkSession.sparkContext.broadcast((pa.array([r["word"] for r in rows], pa.string()), np.array([r["index"] for r in rows], np.int32)))
+    words = df.select(key, sequence_words(F.col(text)).alias("words"))
+    return words.mapInArrow(partial(_look_up, vocabulary=known), f"{key} {df.schema[key].dataType.simpleString()}, sequence array<int>")
+
+
+def _look_up(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+    known, numbers = vocabulary.value
+    for batch in batches:
+        words = batch.column(1)
+        places = pc.index_in(words.flatten(), value_set=known)
+        found = places.is_valid().to_numpy(zero_copy_only=False)
+        before = np.concatenate(([0], np.cumsum(found)))
+        bounds = before[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        values = numbers[places.drop_null().to_numpy().astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))], ["key", "sequence"])
 
 
 def sequence_length(train_sequences: DataFrame, max_length: int = MAX_LENGTH) -> Column:

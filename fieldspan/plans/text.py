@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from fieldspan.operators import annotations, candidates, classify, corpus, featu
 from fieldspan.operators.expansion import MANUAL, SEED
 from fieldspan.plans import corpora as c
 from fieldspan.plans.corpora import KEYWORDS, OPTIONS, PREFIXES, PUB, TEXT_SQL, table, u_sql, with_ctes
+from fieldspan.session import shared_dir
+from fieldspan.sources import files
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,8 +65,9 @@ def candidates_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:
-    found = candidates.all_candidates(c.documents(spark, d), c.listed_documents(spark, d), KEYWORDS, PREFIXES)
-    return candidates.family_candidates(found, c.document_families(spark, d))
+    docs = c.documents(spark, d)
+    found = candidates.counted_candidates(docs, c.listed_documents(spark, d), KEYWORDS, PREFIXES)
+    return candidates.candidate_families(found, c.document_families(spark, d), docs)
 
 
 _FAM = ("doc", "near", "c_similar", "c_class", "c_keyword", "cand", "fam")
@@ -149,6 +154,27 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("line", record).select("doc_id", cut.alias("value"))
 
 
+@query(
+    """SELECT d.doc_id::VARCHAR AS family_id, CASE WHEN quality = 1 THEN 'accept' WHEN quality = 0 THEN 'reject' END AS answer,
+    ['kept', lang] AS accept_text, length(text)::BIGINT AS nb_total, text FROM documents d
+    LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(toxic, 0) <> 1"""
+)
+def load_annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines, those labelled toxic cut short, and loaded again."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    answer = F.when(F.col("quality") == 1, "accept").when(F.col("quality") == 0, "reject")
+    fields = F.struct(
+        F.col("doc_id").cast("string").alias("family_id"), answer.alias("answer"), F.array(F.lit("kept"), "lang").alias("accept_text"),
+        F.length("text").alias("nb_total"), "text", F.lit("not asked for").alias("unknown"),
+    )
+    line = F.to_json(fields)
+    lines = docs.select(F.when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    folder = f"{shared_dir(spark)}/annotated-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    loaded = files.load_annotated(spark, folder, max_bad_records=(1 << 31) - 2)
+    return loaded.select("family_id", "answer", "accept_text", "nb_total", "text")
+
+
 @query("SELECT doc_id FROM labels WHERE toxic = 1")
 def json_defects(spark: SparkSession, d: str) -> DataFrame:
     return annotations.json_defects(_lines(spark, d)).select("doc_id")

@@ -325,6 +325,20 @@ def test_tfidf_and_f(spark):
         assert f[t] == pytest.approx(between / (within / 4))
 
 
+def test_counted_candidates_give_the_same_families(spark, pubs, research, rows):
+    listed = spark.createDataFrame([("p1",), ("p5",)], "publication_number string")
+    long_way = candidates.family_candidates(candidates.all_candidates(research, listed, ["two"], ["A/"]), pubs)
+    counted = candidates.counted_candidates(research, listed, ["two"], ["A/"])
+    assert counted.count() == counted.select("publication_number", "match").distinct().count()
+    assert rows(candidates.candidate_families(counted, pubs, research)) == rows(long_way)
+
+
+def test_sequences_of_repeated_keys_stay_apart(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b b"), (2, "")], "k int, text string")
+    sequences = features.word_sequences(docs, features.fit_vocabulary(docs, top_k=9), "k")
+    assert sorted((r.k, r.sequence) for r in sequences.collect()) == [(1, [1, 1]), (1, [2, 1, 2]), (2, [])]
+
+
 def test_sequences(spark):
     docs = spark.createDataFrame([(1, "a b, A c!"), (2, "b"), (3, ""), (4, None), (5, "zzz c")], "k int, text string")
     vocabulary = features.fit_vocabulary(docs, top_k=4)
