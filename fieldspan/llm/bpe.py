@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fieldspan.llm.common import map_arrow, utf8
 
 #: Pieces, prefixes and pairs of tokens that a worker remembers before it starts anew; about 150 bytes each.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 #: Bytes of a piece up to which its prefixes are worth remembering; a longer one gets a table of its own.
 SHORT = 48
 #: Characters that the split pattern may look ahead of a boundary, as in "'ll" or white space before a letter.

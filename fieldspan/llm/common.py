@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,21 +16,24 @@ from fieldspan import session
 BROADCAST_IDS = 2_000_000
 #: Distinct words whose hashes a task remembers before it starts anew.
 REMEMBERED_WORDS = 100_000
+#: Settings of Arrow batches, and the most that they may be here.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 #: Rows of an Arrow batch that become Python values at once.
 ROWS = 128
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; on a cluster install it or use py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-
-
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` by a function of this package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` by a function of this package, over batches small enough for whole texts.
+
+    Lowers the session's rows and bytes of an Arrow batch if they are larger: by default
+    ten thousand texts would be held several times over, in the executor and in its worker.
+    """
+    spark = df.sparkSession
+    session.let_workers_import(spark)
+    for name, most in BATCH.items():
+        now = int(spark.conf.get(name, "0"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
     return df.mapInArrow(function, schema)
 
 
