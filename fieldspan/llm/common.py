@@ -31,7 +31,7 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     spark = df.sparkSession
     session.let_workers_import(spark)
     for name, most in BATCH.items():
-        now = int(spark.conf.get(name, "0"))
+        now = int(spark.conf.get(name).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(name, str(most))
     return df.mapInArrow(function, schema)
