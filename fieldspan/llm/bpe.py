@@ -17,7 +17,6 @@ from functools import partial
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fieldspan.llm.common import map_arrow, utf8
 
