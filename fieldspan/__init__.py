@@ -1,6 +1,6 @@
 """Topic delimitation over linked document corpora, expressed as Spark jobs.
 
-Operators take DataFrames and return a lazy DataFrame. Nothing that grows with the
+Operators take DataFrames and return a DataFrame. Nothing that grows with the
 data reaches the driver; stages used more than once are written to the shared folder.
 """
 
