@@ -15,8 +15,8 @@ from fieldspan.operators.expansion import MANUAL, SEED, both_directions
 from fieldspan.operators.robustness import plan_runs
 
 PUB = "publication_number"
-N_PC = 20
-SEED_SHARE = 0.01
+N_PC = 5
+SEED_SHARE = 0.005
 TECHNOLOGIES = {"alpha": 42, "beta": 43}
 RUNS = plan_runs(list(TECHNOLOGIES), (0.5, 0.7, 0.9), 5)
 ARCHITECTURES = ["cnn", "mlp", "transformers"]
@@ -102,7 +102,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
-    """(publication_number, expansion_level): 1% seed, 1% antiseed, the rest without a level."""
+    """(publication_number, expansion_level): half a percent seed, as many antiseeds, the rest without a level."""
     u = unit_draw(seed, "o_orderkey")
     level = F.when(u < SEED_SHARE, F.lit(SEED)).when(u < 2 * SEED_SHARE, F.lit(MANUAL))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(PUB), level.alias("expansion_level"))

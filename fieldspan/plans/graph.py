@@ -252,7 +252,7 @@ def expansion_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_graph("SELECT expansion_level, count(*) AS n FROM expansion GROUP BY expansion_level", *_FULL))
 def expansion_levels(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: expand a 1% seed with 20 codes and two citation rounds, count by level."""
+    """The flagship: expand a seed of half a percent with 5 codes and two citation rounds, count by level."""
     return expansion_full(spark, d).groupBy("expansion_level").agg(F.count(F.lit(1)).alias("n"))
 
 
