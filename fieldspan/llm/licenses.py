@@ -78,7 +78,8 @@ def own_notices(files: DataFrame, *, key: str = "file_id", text: str = "text", t
 
     low = F.lower(text)
     passages = F.array_union(F.split(low, "\n"), F.split(low, r"\n[ \t\r]*\n"))
-    found = files.where(low.rlike(pattern)).select(key, F.length(text).alias("chars"), F.explode(F.filter(passages, lambda p: p.rlike(pattern))).alias("passage"))
+    near = _near_passages(F.filter(passages, lambda p: p.rlike(pattern)), idf, unseen, vectors, similarity)
+    found = files.where(low.rlike(pattern)).select(key, F.length(text).alias("chars"), F.explode(near).alias("passage"))
     found = found.withColumn("share", F.length("passage") / F.col("chars")).drop("chars")
     # Equal passages are scored once: a notice that a third of all files share is one row here.
     terms = found.select("passage").distinct().select("passage", F.explode(F.split("passage", _BREAKS)).alias("term")).where("term <> ''")
@@ -98,6 +99,42 @@ def own_notices(files: DataFrame, *, key: str = "file_id", text: str = "text", t
     return own.select(key, F.col("best.licence"), (-F.col("best.col1")).alias("score"), (-F.col("best.col2")).alias("share"))
 
 
+def _near_passages(passages: Column, idf: dict[str, float], unseen: float, vectors: list[tuple[str, dict[str, float]]], similarity: float) -> Column:
+    """The passages whose cosine to some template may reach ``similarity``, found within the row.
+
+    The template's terms in a passage are counted exactly. Other words add at least the
+    square of an unseen term's weight each to the passage's norm, so the cosine is no
+    larger than with that norm: a text that only mentions a few terms never leaves its row.
+    """
+
+    def table(weights: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for t in sorted(weights) for x in (t, weights[t])])
+
+    def total(counts: Column, weight) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + weight(c["term"], c["n"].cast("double")))
+
+    vocabulary, weights = F.array(*map(F.lit, sorted(idf))), table(idf)
+    split = F.transform(passages, lambda p: F.struct(p.alias("passage"), F.filter(F.split(p, _BREAKS), lambda t: t != "").alias("terms")))
+
+    def counted(p: Column) -> Column:
+        n = lambda t: F.size(F.filter(p["terms"], lambda x: x == t))
+        held = F.transform(F.array_intersect(vocabulary, p["terms"]), lambda t: F.struct(t.alias("term"), n(t).alias("n")))
+        return F.struct(p["passage"].alias("passage"), F.size(p["terms"]).alias("size"), held.alias("counts"))
+
+    def may_reach(p: Column) -> Column:
+        known = total(p["counts"], lambda t, n: F.pow(n * F.element_at(weights, t), F.lit(2.0)))
+        others = p["size"] - total(p["counts"], lambda t, n: n)
+        norm = F.sqrt(known + unseen * unseen * others)
+        cosines = []
+        for _, v in vectors:
+            own, length = table(v), math.sqrt(sum(w * w for w in v.values()))
+            dot = total(p["counts"], lambda t, n, own=own: n * F.element_at(weights, t) * F.coalesce(F.try_element_at(own, t), F.lit(0.0)))
+            cosines.append(dot / length)
+        return F.greatest(*cosines) >= (similarity - 1e-5) * norm
+
+    return F.transform(F.filter(F.transform(split, counted), may_reach), lambda p: p["passage"])
+
+
 def _by_term(vector: dict[str, float]) -> Column:
     choice = F.lit(0.0)
     for term, weight in sorted(vector.items()):
