@@ -143,6 +143,14 @@ def train(counts: np.ndarray, width: int = WIDTH, passes: int = PASSES, seed: in
     return WindowNetwork(*weights)
 
 
+def _train(batches: Iterator[pa.RecordBatch], kinds: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(kinds**3)
+    for batch in batches:
+        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    table = train(counts.reshape(kinds, kinds, kinds)).log_probabilities().astype(np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["log_probabilities"])
+
+
 class LanguageModel(NamedTuple):
     """What scoring needs: the frequent words and the network's table of log probabilities."""
 
@@ -155,9 +163,9 @@ class LanguageModel(NamedTuple):
 def fit(docs: DataFrame, *, text: str = "text", kinds: int = KINDS, classes: int = CLASSES) -> LanguageModel:
     """Count words and windows over all texts, then train the network on the counts.
 
-    Counts are summed in tasks before they move. The driver gets the ``kinds - classes - 1``
-    most frequent words (ties by their bytes) and at most ``kinds ** 3`` counted windows,
-    however large the corpus. Results do not depend on partitions.
+    Counts are summed in tasks before they move. One task trains on at most ``kinds ** 3``
+    counted windows, however large the corpus; the driver gets the ``kinds - classes - 1`` most
+    frequent words (ties by their bytes) and the table. Results do not depend on partitions.
     """
     if classes % 4 or classes + 1 >= kinds:
         raise ValueError("classes must be a multiple of 4 and leave room for frequent words")
@@ -166,12 +174,12 @@ def fit(docs: DataFrame, *, text: str = "text", kinds: int = KINDS, classes: int
     words = map_arrow(texts, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = [bytes(r.word) for r in words.orderBy(F.col("n").desc(), "word").limit(kinds - classes - 1).collect()]
     windows = map_arrow(texts, partial(_count_windows, frequent=frequent, kinds=kinds, classes=classes), "window long, n long")
-    rows = stages.keep(windows.groupBy("window").agg(F.sum("n").alias("n")), "windows").toPandas()
+    windows = stages.keep(windows.groupBy("window").agg(F.sum("n").alias("n")), "windows")
+    # At most kinds ** 3 rows, so one task holds them; the driver gets the finished table of 4 * kinds ** 3 bytes.
+    table = map_arrow(windows.repartition(1), partial(_train, kinds=kinds), "log_probabilities binary").first()
     stages.drop("windows")
-    counts = np.zeros(kinds**3)
-    counts[rows["window"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    network = train(counts.reshape(kinds, kinds, kinds))
-    return LanguageModel(frequent, kinds, classes, network.log_probabilities().astype(np.float32).ravel())
+    table = np.frombuffer(bytes(table[0]), np.float32) if table else train(np.zeros((kinds,) * 3)).log_probabilities().astype(np.float32).ravel()
+    return LanguageModel(frequent, kinds, classes, table)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
