@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -10,6 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ CLASSES = 48
 WIDTH, PASSES, SEED = 32, 100, 7
 #: Distinct words that a task counts before it hands the counts on.
 HELD_WORDS = 100_000
+#: Words with more than this part of all tokens travel to the tasks with their counts, so there are fewer of them; all others are joined.
+HELD_PART = 100_000
+#: Log counts that are joined are whole numbers of this part, so sums do not depend on order.
+UNIT = 1_000_000_000
 #: Windows that a task gathers before it adds them to its counts.
 HELD_WINDOWS = 200_000
 
@@ -158,50 +164,102 @@ class LanguageModel(NamedTuple):
     kinds: int
     classes: int
     table: np.ndarray  # float32, flat over left, right, kind
+    sizes: np.ndarray  # tokens of each kind
+    held: dict[bytes, float]  # log counts of the words that are common enough to travel
 
 
-def fit(docs: DataFrame, *, text: str = "text", kinds: int = KINDS, classes: int = CLASSES) -> LanguageModel:
+class Fitted(NamedTuple):
+    """A model and the counts of all words it was fitted on."""
+
+    model: LanguageModel
+    words: DataFrame  # (word, n) of the whole vocabulary, in the shared folder
+
+    @property
+    def frequent(self) -> list[bytes]:
+        return self.model.frequent
+
+    @property
+    def table(self) -> np.ndarray:
+        return self.model.table
+
+
+def fit(docs: DataFrame, *, text: str = "text", kinds: int = KINDS, classes: int = CLASSES) -> Fitted:
     """Count words and windows over all texts, then train the network on the counts.
 
     Counts are summed in tasks before they move. One task trains on at most ``kinds ** 3``
     counted windows, however large the corpus; the driver gets the ``kinds - classes - 1`` most
-    frequent words (ties by their bytes) and the table. Results do not depend on partitions.
+    frequent words (ties by their bytes), the table and the words above one in ``HELD_PART`` of all
+    tokens. The counts of all words, which grow with the corpus, stay a table in the shared
+    folder. Results do not depend on partitions.
     """
     if classes % 4 or classes + 1 >= kinds:
         raise ValueError("classes must be a multiple of 4 and leave room for frequent words")
     stages = Stages(docs.sparkSession)
     texts = docs.select(text)
-    words = map_arrow(texts, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = stages.keep(map_arrow(texts, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     frequent = [bytes(r.word) for r in words.orderBy(F.col("n").desc(), "word").limit(kinds - classes - 1).collect()]
     windows = map_arrow(texts, partial(_count_windows, frequent=frequent, kinds=kinds, classes=classes), "window long, n long")
     windows = stages.keep(windows.groupBy("window").agg(F.sum("n").alias("n")), "windows")
     # At most kinds ** 3 rows, so one task holds them; the driver gets the finished table of 4 * kinds ** 3 bytes.
     table = map_arrow(windows.repartition(1), partial(_train, kinds=kinds), "log_probabilities binary").first()
+    sizes = np.zeros(kinds, np.int64)
+    for r in windows.groupBy(F.pmod("window", F.lit(kinds)).cast("int").alias("kind")).agg(F.sum("n").alias("n")).collect():
+        sizes[r.kind] = r.n
     stages.drop("windows")
+    held = {bytes(r.word): math.log(r.n) for r in words.where(F.col("n") * HELD_PART > int(sizes.sum())).collect()}
     table = np.frombuffer(bytes(table[0]), np.float32) if table else train(np.zeros((kinds,) * 3)).log_probabilities().astype(np.float32).ravel()
-    return LanguageModel(frequent, kinds, classes, table)
+    return Fitted(LanguageModel(frequent, kinds, classes, table, sizes, held), words)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, words: bool) -> Iterator[pa.RecordBatch]:
+    """Sums over the kinds; with ``words``, also over the shares of words in their kinds, but for the log counts of the words in ``rest``."""
     own = model.value
     known = Kinds(own.frequent, own.kinds, own.classes)
+    first, log_sizes = own.kinds - own.classes, np.log(own.sizes + 1.0)
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        n, sums = [], []
+        n, sums, rests = [], [], []
         for text in utf8(batch.column(1)):
-            words = words_of(text) if text else []
-            n.append(len(words))
-            sums.append(float(own.table[known.windows(words)].sum(dtype=np.float64)) if words else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], ["id", "n_tokens", "log_likelihood"])
-
-
-def score(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, log_likelihood, per_token) for every row; no shuffle.
-
-    ``log_likelihood`` sums log P(token | left, right) over all tokens of the whole text, edges
-    standing in beyond its ends. Null text, empty text and white space: no tokens, 0 and null per token.
+            split = words_of(text) if text else []
+            windows = known.windows(split) if split else np.zeros(0, np.int64)
+            n.append(len(split))
+            total, rest = float(own.table[windows].sum(dtype=np.float64)), Counter()
+            if words and split:
+                kinds = windows % own.kinds
+                classed = np.flatnonzero(kinds >= first)
+                total -= float(log_sizes[kinds[classed]].sum())
+                rest.update(split[i] for i in classed.tolist())
+                common = [w for w in rest if w in own.held]
+                total += math.fsum(rest.pop(w) * own.held[w] for w in common)
+            sums.append(total)
+            rests.append(list(rest.items()))
+        columns = [pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(rests, pa.map_(pa.binary(), pa.int64()))]
+        row += len(n)
+        yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_tokens", "log_likelihood", "rest"])
+
+
+def score(docs: DataFrame, fitted: Fitted, *, key: str = "doc_id", text: str = "text", words: bool = False) -> DataFrame:
+    """(key, n_tokens, log_likelihood, per_token) for every row.
+
+    ``log_likelihood`` sums log P(kind | kinds left and right) over all tokens of the whole text,
+    edges standing in beyond its ends; there is no shuffle. With ``words`` it sums log P(token | kinds left and right):
+    log P(word | kind) is added, where a frequent word is all of its kind and another word has n of
+    N + 1 in its class of N tokens. Words that the corpus lacks share the last one. Log counts of
+    words too rare to travel are joined from the table of all words. Runs a job then: rows
+    are staged. Null text, empty text and white space: no tokens, 0 and null per token.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # kinds ** 3 floats, 8 MB by default
-    scored = map_arrow(docs.select(key, text), partial(_score, model=shared), f"id {kind}, n_tokens long, log_likelihood double")
-    rounded = F.round("log_likelihood", 4)
-    return scored.select(F.col("id").alias(key), "n_tokens", rounded.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6)).alias("per_token"))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)  # kinds ** 3 floats, 8 MB by default, and fewer than HELD_PART words
+    scored = map_arrow(docs.select(key, text), partial(_score, model=shared, words=words), f"row long, id {kind}, n_tokens long, log_likelihood double, rest map<binary, long>")
+    total = F.col("log_likelihood")
+    if words:
+        scored = Stages(docs.sparkSession).keep(scored, "scored")
+        # A word that occurs once has a log count of zero.
+        log_counts = fitted.words.where("n > 1").select("word", F.round(F.log("n") * UNIT).cast("long").alias("log_count"))
+        rest = scored.select("row", F.explode("rest").alias("word", "times")).join(log_counts, "word")
+        rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("log_count")).alias("added"))
+        scored = scored.drop("rest").join(rest, "row", "left")
+        total = total + F.coalesce(F.col("added"), F.lit(0)) / UNIT
+    scored = scored.select("id", "n_tokens", total.alias("sum"))
+    rounded = F.round("sum", 4)
+    return scored.select(F.col("id").alias(key), "n_tokens", rounded.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.round(F.col("sum") / F.col("n_tokens"), 6)).alias("per_token"))

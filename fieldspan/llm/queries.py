@@ -147,7 +147,7 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, pseudo_lm.fit(docs))
+    return pseudo_lm.score(docs, pseudo_lm.fit(docs), words=True)
 
 
 def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

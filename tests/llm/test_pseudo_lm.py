@@ -74,3 +74,40 @@ def test_training_finds_the_conditional_shares():
     table = train(true * 1000, width=24, passes=600).log_probabilities()
     loss, best = -(true * table).sum() / 36, -(true * np.log(np.maximum(true, 1e-12))).sum() / 36
     assert loss < best + 0.15
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    known = corpus(200, 1) + ["zebra zebra zebra quilt"] * 30 + ["quilt"]
+    counts = Counter(w for t in known for w in words_of(t.encode()))
+    asked = [*known[:40], "zebra quilt w1 never-seen", "x1 x1 x2", None, ""]
+    results = []
+    for part in (100_000, 20):  # all words travel; most are joined
+        monkeypatch.setattr("fieldspan.llm.pseudo_lm.HELD_PART", part)
+        fitted = fit(frame(spark, known), kinds=32, classes=16)
+        table, kinds = fitted.table.reshape(32, 32, 32), Kinds(fitted.frequent, 32, 16)
+        sizes = Counter()
+        for w, n in counts.items():
+            sizes[kinds[w]] += n
+
+        def share(w):
+            return 0.0 if w in fitted.frequent else math.log(max(counts[w], 1) / (sizes[kinds[w]] + 1))
+
+        for r in score(frame(spark, asked), fitted, words=True).collect():
+            split = words_of((asked[r.doc_id] or "").encode())
+            k = kinds.of(split)
+            expected = sum(float(table[a, b, c]) for a, c, b in zip(k, k[1:], k[2:])) + sum(map(share, split))
+            assert r.n_tokens == len(split) and math.isclose(r.log_likelihood, expected, abs_tol=1e-3)
+        results.append(sorted((r.doc_id, r.log_likelihood) for r in score(frame(spark, asked), fitted, words=True).collect()))
+        assert len(fitted.words.collect()) == len(counts)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 for a, b in zip(*results))
+
+
+def test_gibberish_scores_below_words(spark):
+    classed = [f"word{i:02d}" for i in range(60)]
+    texts = [" ".join(classed[(i * 7 + j) % 60] for j in range(20)) for i in range(100)]
+    fitted = fit(frame(spark, texts), kinds=32, classes=16)
+    kinds = Kinds(fitted.frequent, 32, 16)
+    word = next(w for w in classed if w.encode() not in fitted.frequent)
+    gibberish = next(g for g in (f"qzx{i:03d}" for i in range(1000)) if kinds[g.encode()] == kinds[word.encode()])
+    rows = {r.doc_id: r.log_likelihood for r in score(frame(spark, [word, gibberish]), fitted, words=True).collect()}
+    assert rows[1] < rows[0] - 1
