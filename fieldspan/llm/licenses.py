@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import Stages
+from fieldspan.llm.common import Stages, restrict
 
 #: Cosine from which a passage is a notice of the template's licence.
 SIMILARITY = 0.7
@@ -40,7 +40,7 @@ def term_idf(files: DataFrame, templates=TEMPLATES, text: str = "text") -> tuple
     """Inverse document frequencies of the templates' terms over all files, and that of a term in no file.
 
     ln((1 + files) / (1 + files with the term)) + 1. At most one row per template term
-    reaches the driver. Terms outside the templates count as unseen in a passage's norm.
+    reaches the driver. For terms outside the templates see ``other_frequencies``.
     """
     vocabulary = sorted({t for _, x in templates for t in template_terms(x)})
     held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower(text), _BREAKS))
@@ -50,6 +50,19 @@ def term_idf(files: DataFrame, templates=TEMPLATES, text: str = "text") -> tuple
     return {t: math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + n) + 1
 
 
+def other_frequencies(files: DataFrame, terms: DataFrame, vocabulary: list[str], text: str = "text") -> DataFrame:
+    """(term, files): in how many files each term of ``terms`` occurs that is not in the vocabulary. Runs jobs: both tables are staged.
+
+    Terms of all texts are taken apart, and only those asked for are counted before they move.
+    """
+    stages = Stages(files.sparkSession)
+    wanted = stages.keep(terms.select("term").where(~F.col("term").isin(vocabulary)).distinct(), "wanted")
+    held = files.select(F.explode(F.array_distinct(F.split(F.lower(text), _BREAKS))).alias("term"))
+    counts = stages.keep(restrict(held, wanted, "term").groupBy("term").agg(F.count("*").alias("files")), "counts")
+    stages.drop("wanted")
+    return counts
+
+
 def necessary_terms(vector: dict[str, float], similarity: float) -> set[str]:
     """The heaviest terms, so many that what is left of the vector is shorter than ``similarity`` of it.
 
@@ -65,11 +78,15 @@ def necessary_terms(vector: dict[str, float], similarity: float) -> set[str]:
     return chosen
 
 
-def own_notices(files: DataFrame, *, key: str = "file_id", text: str = "text", templates=TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
+def own_notices(
+    files: DataFrame, *, key: str = "file_id", text: str = "text", templates=TEMPLATES, similarity: float = SIMILARITY, all_terms: bool = False
+) -> DataFrame:
     """(key, licence, score, share) of files with a notice: the best passage of the whole text.
 
     Passages are lines and paragraphs (between blank lines). Ties go to the longer share, then to the
-    smaller licence name. ``share`` is the passage's part of the text's characters.
+    smaller licence name. ``share`` is the passage's part of the text's characters. With ``all_terms`` every term of a passage weighs by
+    its frequency over all files (runs jobs); without it, terms outside the templates weigh as if in no file,
+    which lowers the scores of one notice as files become more.
     """
     idf, unseen = term_idf(files, templates, text)
     vectors = [(name, {t: n * idf[t] for t, n in template_terms(x).items()}) for name, x in templates]
@@ -78,14 +95,21 @@ def own_notices(files: DataFrame, *, key: str = "file_id", text: str = "text", t
 
     low = F.lower(text)
     passages = F.array_union(F.split(low, "\n"), F.split(low, r"\n[ \t\r]*\n"))
-    near = _near_passages(F.filter(passages, lambda p: p.rlike(pattern)), idf, unseen, vectors, similarity)
+    near = _near_passages(F.filter(passages, lambda p: p.rlike(pattern)), idf, 1.0 if all_terms else unseen, vectors, similarity)
     found = files.where(low.rlike(pattern)).select(key, F.length(text).alias("chars"), F.explode(near).alias("passage"))
     found = found.withColumn("share", F.length("passage") / F.col("chars")).drop("chars")
+    if all_terms:
+        found = Stages(files.sparkSession).keep(found, "found")
     # Equal passages are scored once: a notice that a third of all files share is one row here.
     terms = found.select("passage").distinct().select("passage", F.explode(F.split("passage", _BREAKS)).alias("term")).where("term <> ''")
     terms = terms.groupBy("passage", "term").count()
     weights = F.create_map(*[F.lit(x) for t in sorted(idf) for x in (t, idf[t])])
-    terms = terms.withColumn("weight", F.col("count") * F.coalesce(F.try_element_at(weights, F.col("term")), F.lit(unseen)))
+    if all_terms:
+        terms = terms.join(other_frequencies(files, terms, sorted(idf), text), "term", "left")
+        other = F.coalesce(F.lit(unseen) - F.log1p(F.col("files").cast("double")), F.lit(unseen))
+    else:
+        other = F.lit(unseen)
+    terms = terms.withColumn("weight", F.col("count") * F.coalesce(F.try_element_at(weights, F.col("term")), other))
     dots = [F.sum(_by_term(v) * F.col("weight")).alias(f"dot{i}") for i, (_, v) in enumerate(vectors)]
     sums = terms.groupBy("passage").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *dots)
     names = sorted({name for name, _ in vectors})
@@ -99,11 +123,11 @@ def own_notices(files: DataFrame, *, key: str = "file_id", text: str = "text", t
     return own.select(key, F.col("best.licence"), (-F.col("best.col1")).alias("score"), (-F.col("best.col2")).alias("share"))
 
 
-def _near_passages(passages: Column, idf: dict[str, float], unseen: float, vectors: list[tuple[str, dict[str, float]]], similarity: float) -> Column:
+def _near_passages(passages: Column, idf: dict[str, float], least: float, vectors: list[tuple[str, dict[str, float]]], similarity: float) -> Column:
     """The passages whose cosine to some template may reach ``similarity``, found within the row.
 
     The template's terms in a passage are counted exactly. Other words add at least the
-    square of an unseen term's weight each to the passage's norm, so the cosine is no
+    square of the ``least`` weight each to the passage's norm (1 is that of a term in every file), so the cosine is no
     larger than with that norm: a text that only mentions a few terms never leaves its row.
     """
 
@@ -124,7 +148,7 @@ def _near_passages(passages: Column, idf: dict[str, float], unseen: float, vecto
     def may_reach(p: Column) -> Column:
         known = total(p["counts"], lambda t, n: F.pow(n * F.element_at(weights, t), F.lit(2.0)))
         others = p["size"] - total(p["counts"], lambda t, n: n)
-        norm = F.sqrt(known + unseen * unseen * others)
+        norm = F.sqrt(known + least * least * others)
         cosines = []
         for _, v in vectors:
             own, length = table(v), math.sqrt(sum(w * w for w in v.values()))
@@ -149,7 +173,8 @@ def ancestors(directory: Column) -> Column:
 
 
 def scan(
-    files: DataFrame, *, key: str = "file_id", path: str = "path", text: str = "text", templates=TEMPLATES, similarity: float = SIMILARITY, density: float = DENSITY
+    files: DataFrame, *, key: str = "file_id", path: str = "path", text: str = "text", templates=TEMPLATES, similarity: float = SIMILARITY, density: float = DENSITY,
+    all_terms: bool = False,
 ) -> DataFrame:
     """One row per file: key, path, own_licence, own_score, licence, licence_dir.
 
@@ -164,7 +189,7 @@ def scan(
     """
     stages = Stages(files.sparkSession)
     slim = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
-    own = stages.keep(own_notices(slim, key="key", templates=templates, similarity=similarity), "own")
+    own = stages.keep(own_notices(slim, key="key", templates=templates, similarity=similarity, all_terms=all_terms), "own")
     normal = F.array_join(F.filter(F.split("path", "/"), lambda p: p != ""), "/")
     placed = slim.select("key", "path", F.regexp_replace(normal, "/?[^/]*$", "").alias("dir"))
 

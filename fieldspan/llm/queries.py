@@ -142,7 +142,7 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: source, language, hundreds of the id, id."""
     docs = read(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), key="doc_id", all_terms=True)
 
 
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

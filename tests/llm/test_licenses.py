@@ -72,3 +72,33 @@ def test_terms_that_a_similar_passage_cannot_lack():
     for left_out in ({"a"}, {"a", "b"}):
         rest = math.sqrt(sum(w * w for t, w in v.items() if t not in left_out))
         assert (rest < 0.7 * math.sqrt(14)) == (necessary_terms(v, 0.7) <= left_out)
+
+
+def test_a_notice_scores_alike_however_many_files_there_are(spark):
+    notice = "This package is released under the MIT License."
+    for n in (1_000, 20_000):
+        files = [(i, f"d{i}/f", " ".join(["this package is the" if i % 5 < 3 else "w", notice if i == 0 else f"released under mit license x{i}" if i % 50 == 0 else "y"]) if i else notice, 1, "d", "l") for i in range(n)]
+        found = {r.file_id: r.own_score for r in scan(spark.createDataFrame(files, FILES), all_terms=True).where("own_licence = 'MIT'").collect()}
+        assert found.get(0, 0) > 0.75, n
+
+
+def test_all_terms_weigh_by_their_files(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(12)] + ["the", "of", "license", "under"]
+    files = [(i, f"a/{i}", "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) + " " + (rnd.choice(TEMPLATES)[1] if rnd.random() < 0.3 else "") for _ in range(3)), 1, "d", "l") for i in range(150)]
+    docs = [set(re.findall("[a-z0-9]+", f[2].lower())) for f in files]
+    df = Counter(t for d in docs for t in d)
+    weight = lambda t: math.log((1 + len(files)) / (1 + df[t])) + 1
+    expected = {}
+    for f in files:
+        for passage in {*f[2].lower().split("\n"), f[2].lower()}:
+            terms = template_terms(passage)
+            norm = math.sqrt(sum((c * weight(t)) ** 2 for t, c in terms.items()))
+            for name, x in TEMPLATES:
+                v = template_terms(x)
+                dot = sum(v[t] * c * weight(t) ** 2 for t, c in terms.items() if t in v)
+                cosine = round(dot / norm / math.sqrt(sum((c * weight(t)) ** 2 for t, c in v.items())), 6)
+                if cosine >= SIMILARITY:
+                    expected[f[0]] = min(expected.get(f[0], (9,)), (-cosine, -len(passage) / len(f[2]), name))
+    rows = scan(spark.createDataFrame(files, FILES), all_terms=True).where("own_licence is not null").collect()
+    assert {r.file_id: (-r.own_score, r.own_licence) for r in rows} == {i: (x[0], x[2]) for i, x in expected.items()} and len(rows) > 30
