@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
@@ -19,8 +20,8 @@ BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
 #: Entries of each list that are read before the bound is tested again; doubles from step to step.
 FIRST_STEP = 32
-#: Components beyond this have no exact place in a long score and their vectors take no part.
-LARGEST = 1 << 24
+#: The bounds of a long.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 class Query(NamedTuple):
@@ -81,6 +82,26 @@ def _exact(vectors: np.ndarray, queries: list[Query]) -> type:
     return np.float64 if widest * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] < 2**52 else np.int64
 
 
+def _integers(vector: np.ndarray) -> np.ndarray:
+    """Whole floats as Python integers, which have no bound."""
+    return np.array([int(x) for x in vector], object)
+
+
+def search_wide(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The same as ``search`` by comparing with every row, in Python integers."""
+    wanted, whole = np.flatnonzero(ids != own), _integers(query)
+    scored = ((int(ids[i]), sum((a * b for a, b in zip(whole, _integers(vectors[i]))), 0)) for i in wanted)
+    return sorted(scored, key=lambda x: (-x[1], x[0]))[:k]
+
+
+def _found(query_id: int, ids: list | np.ndarray, scores: list | np.ndarray) -> pa.RecordBatch:
+    """Scores beyond a long are held at its bound, with the side on which they lie."""
+    beyond = [(int(s) > MOST) - (int(s) < LEAST) for s in scores]
+    held = [min(max(int(s), LEAST), MOST) for s in scores]
+    columns = [pa.array(np.full(len(ids), query_id)), pa.array(ids, pa.int64()), pa.array(held, pa.int64()), pa.array(beyond, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "beyond"])
+
+
 def _search_block(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
     """The k best of a block for each query of the same dimension; a partition is a block."""
     ids, rows = [], []
@@ -96,19 +117,33 @@ def _search_block(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterato
         if not same:
             continue
         of_size = np.flatnonzero(sizes == size)
-        own_ids, vectors = all_ids[of_size], np.array([rows[i] for i in of_size]).reshape(len(of_size), size)
-        kind = _exact(vectors, same)
-        vectors = vectors.astype(kind)
-        order = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        own_ids, vectors = all_ids[of_size], np.array([rows[i] for i in of_size], np.float64).reshape(len(of_size), size)
+        # The product of two vectors without a larger component fits in a long, and so does every part of its sum.
+        edge = math.isqrt((1 << 62) // max(int(size), 1))
+        wide_rows = np.abs(vectors).max(axis=1, initial=0) > edge
+        wide_ids, wide_vectors = own_ids[wide_rows], vectors[wide_rows]
+        narrow_ids, narrow = own_ids[~wide_rows], vectors[~wide_rows]
+        quick = [q for q in same if np.abs(q.vector).max(initial=0) <= edge]
+        kind = _exact(narrow, quick)
+        lists = narrow.astype(kind)
+        order = np.argsort(lists, axis=0, kind="stable").T.copy()
         for query in same:
-            best, scores = search(Query(query.id, query.vector.astype(kind)), own_ids, vectors, order, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query.id)), pa.array(best), pa.array(scores)], ["query_id", "vec_id", "score"])
+            if np.abs(query.vector).max(initial=0) > edge:
+                best = search_wide(query.vector, query.id, own_ids, vectors, k)
+            else:
+                if len(narrow_ids):
+                    yield _found(query.id, *search(Query(query.id, query.vector.astype(kind)), narrow_ids, lists, order, k))
+                best = search_wide(query.vector, query.id, wide_ids, wide_vectors, k) if len(wide_ids) else []
+            if best:
+                yield _found(query.id, [i for i, _ in best], [x for _, x in best])
 
 
 def whole_components(vector: str, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component as long; null for a null vector, null, non-finite or too large components."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * scale))
-    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * scale < LARGEST))
+    """floor(scale * x) of every component as double, which holds it exactly; null for a null vector, null or non-finite components."""
+    x = F.transform(vector, lambda v: v.cast("double") * scale)
+    # From 2 ** 52 on every double is whole, and floor would stop at the largest long.
+    x = F.transform(x, lambda v: F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(v))
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     return F.when(F.coalesce(fine, F.lit(False)), x)
 
 
@@ -122,8 +157,9 @@ def top_k(
     best of every block are merged. Queries travel in groups of ``query_rows``, so neither
     the driver nor a task holds more than a block and a group.
 
-    Null ids, null vectors and those with null, non-finite or too large components take
-    no part. Vectors of another length than the query's are no candidates. Repeated ids:
+    Null ids, null vectors and those with null or non-finite components take no part. Products
+    that may not fit in a long are compared in Python integers, row by row; a score beyond a long
+    among the k best is an error, since the column cannot hold it. Vectors of another length than the query's are no candidates. Repeated ids:
     each row is a candidate, each distinct query row asks once and none of its id's rows
     answer. Empty vectors score zero. Runs jobs when called: counting rows and reading queries.
     """
@@ -139,8 +175,9 @@ def top_k(
     found = None
     for g in range(groups):
         group = asking.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)
-        queries = [Query(r.id, np.array(r.v, np.int64)) for r in group.collect()]
-        best = map_arrow(dealt, partial(_search_block, queries=spark.sparkContext.broadcast(queries), k=k), "query_id long, vec_id long, score long")
+        queries = [Query(r.id, np.array(r.v, np.float64)) for r in group.collect()]
+        best = map_arrow(dealt, partial(_search_block, queries=spark.sparkContext.broadcast(queries), k=k), "query_id long, vec_id long, score long, beyond int")
         found = best if found is None else found.union(best)
-    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    place = Window.partitionBy("query_id").orderBy(F.col("beyond").desc(), F.col("score").desc(), "vec_id")
+    score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the k best does not fit in a long")).cast("long")).alias("score")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

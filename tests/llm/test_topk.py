@@ -61,3 +61,26 @@ def test_scores_beyond_floats(spark):
     found = top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0).collect()
     whole = 8000 * 1024
     assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(2, 64 * whole**2), (1, 63 * whole**2 + whole * (whole - 1))]
+
+
+def test_large_components_take_part(spark):
+    from fieldspan.llm.queries import OP10_SQL
+
+    duckdb = pytest.importorskip("duckdb")
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rnd.normal(size=4)]) for i in range(40)]
+    rows += [(100, [16_384.0, 1.0, -2.0, 0.0]), (200, [2.0**15, 0.0, 1.0, 0.5]), (7_001, [2.0**27, 0.0, 0.0, 1.0]), (7_002, [-(2.0**27), 0.0, 0.0, 1.0]), (7_003, [2.0**19, 2.0**20, -1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, 1) for i, v in rows], VECTORS)
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, F.col("vec_id") % 100 == 0).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert {q for q, *_ in found} == {0, 100, 200} and any(i == 7_001 for _, _, i, _ in found)
+    assert found == sorted(con.execute(OP10_SQL).fetchall())
+    assert set(found) == brute_force(rows, lambda i: i % 100 == 0, 10)
+
+
+def test_a_score_that_no_long_holds_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0], 1, 1), (1, [1e30, 1.0], 1, 1)], VECTORS)
+    with pytest.raises(Exception, match="does not fit in a long"):
+        top_k(df, F.col("vec_id") == 0).collect()
