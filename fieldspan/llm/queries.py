@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, slots, topk, url_trust
+from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, rotated_codes, slots, topk, url_trust
 from fieldspan.llm.common import read
 
 #: Where the ranks of the tokenizer lie; a parameter of the operator.
@@ -210,6 +210,28 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
 """
 
+
+def op13_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (
+    SELECT a, min(b) AS least FROM reach GROUP BY a
+), degree AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(c.least, e.vec_id) AS component_id, e.vec_id = coalesce(c.least, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN component c ON c.a = e.vec_id
+"""
+
 QUERIES = {
     "op1_link_trust": op1_link_trust,
     "op2_minmax": op2_minmax,
@@ -221,5 +243,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_threshold": op10_threshold,
+    "op13_rotated_codes": op13_rotated_codes,
 }
-ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL}
+ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL, "op13_rotated_codes": OP13_SQL}
