@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, rotated_codes, slots, topk, url_trust
+from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, ranked_terms, rotated_codes, slots, topk, url_trust
 from fieldspan.llm.common import read
 
 #: Where the ranks of the tokenizer lie; a parameter of the operator.
@@ -211,6 +211,35 @@ SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
 """
 
 
+def op11_ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_terms.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_TERMS = f"coalesce(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), [])"
+
+OP11_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS doc, {_TERMS} AS w FROM documents
+), sizes AS (
+    SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0
+), tfs AS (
+    SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM docs) GROUP BY ALL
+), dfs AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, sizes GROUP BY term, n_docs
+), items AS (
+    SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)
+), lengths AS (
+    SELECT doc, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM docs, sizes WHERE len(w) > 0
+), scored AS (
+    SELECT item_id, doc, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM items JOIN dfs USING (term) JOIN tfs USING (term) JOIN lengths USING (doc) GROUP BY ALL
+), placed AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
 def op13_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -243,6 +272,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_threshold": op10_threshold,
+    "op11_ranked_terms": op11_ranked_terms,
     "op13_rotated_codes": op13_rotated_codes,
 }
-ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL, "op13_rotated_codes": OP13_SQL}
+ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL, "op11_ranked_terms": OP11_SQL, "op13_rotated_codes": OP13_SQL}
