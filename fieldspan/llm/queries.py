@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, ranked_terms, rotated_codes, slots, topk, url_trust
+from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, ranked_terms, rotated_codes, slots, topk, turn_repair, url_trust
 from fieldspan.llm.common import read
 
 #: Where the ranks of the tokenizer lie; a parameter of the operator.
@@ -240,6 +240,74 @@ SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
 """
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+_CRC = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda h, c: list_reduce(list_concat([xor(h, c)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+def _op12_sql() -> str:
+    """Backward over the rows: from every state the cheapest way to the end, as a struct of cost, audit and lines, which compares in that order."""
+    states, white = ("start", "sys", "usr", "asst"), "\\x20\\x09-\\x0D"
+    turns = {"start": "usr", "sys": "usr", "usr": "asst", "asst": "usr"}
+    named = {"usr": "user", "asst": "assistant"}
+    keeps = {"s": {"start": "sys"}, "u": {"start": "usr", "sys": "usr", "asst": "usr"}, "a": {"usr": "asst"}}
+
+    def way(cost: str, edit: str, line: str, then: str) -> str:
+        return f"{{'c': {then}.c + {cost}, 'a': '{edit}' || {then}.a, 'r': {f'list_concat([{line}], {then}.r)' if line else f'{then}.r'}}}"
+
+    def row(state: str) -> str:
+        options = [way("4", "D", "", f"d.{state}"), f"CASE WHEN NOT forced THEN {way('3 + extra', 'R', f"'{named[turns[state]]}:' || text", f'd.{turns[state]}')} END"]
+        for initial, to in keeps.items():
+            if state in to:
+                options.append(f"CASE WHEN NOT forced AND left(role, 1) = '{initial}' THEN {way('extra', 'K', "role || ':' || text", f'd.{to[state]}')} END")
+        return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL)) AS {state}"
+
+    def closed(state: str, of: str) -> str:
+        return f"least({state}, {way('3', 'I', f"'{named[turns[state]]}:'", f'{of}{turns[state]}')}) AS {state}"
+
+    end = {"start": "{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}", "sys": "{'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}", "usr": "{'c': 3, 'a': 'I', 'r': ['assistant:']}"}
+    end["asst"] = end["start"]
+    kind = "STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])"
+    return f"""
+WITH RECURSIVE given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind
+    FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations)
+), rows AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM given, (VALUES (1), (2)) AS t(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM rows
+), marked AS (
+    SELECT *, NOT regexp_matches(text, '[^{white}]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+        regexp_extract(text, '(?s)([^{white}])[{white}]*$', 1) NOT IN ('.', '!', '?') AS cut,
+        lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS next
+    FROM placed
+), faults AS (
+    SELECT conv_id, pos, role, text, blank OR again AS forced, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM marked
+), counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+        count(*) FILTER (next IS NOT NULL AND left(role, 1) || next NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+), d AS (
+    SELECT conv_id, n + 1 AS pos, {", ".join(f"CAST({end[s]} AS {kind}) AS {s}" for s in states)} FROM counts
+    UNION ALL
+    SELECT conv_id, pos, {closed("start", "")}, {closed("sys", "")}, usr, asst FROM (
+        SELECT conv_id, pos, start, sys, {closed("usr", "x.")}, {closed("asst", "x.")} FROM (
+            SELECT d.conv_id, f.pos, {", ".join(row(s) for s in states)}
+            FROM d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos - 1) x)
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(start.c, 0) AS cost, coalesce(start.a, '') AS audit, sha256(coalesce(array_to_string(start.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM o.conv_id AND d.pos = 1
+"""
+
+
 def op13_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -273,6 +341,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_threshold": op10_threshold,
     "op11_ranked_terms": op11_ranked_terms,
+    "op12_turn_repair": op12_turn_repair,
     "op13_rotated_codes": op13_rotated_codes,
 }
-ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL, "op11_ranked_terms": OP11_SQL, "op13_rotated_codes": OP13_SQL}
+ORACLES = {"op1_link_trust": _op1_sql(), "op2_minmax": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_chat": OP9_SQL, "op10_threshold": OP10_SQL, "op11_ranked_terms": OP11_SQL, "op12_turn_repair": _op12_sql(), "op13_rotated_codes": OP13_SQL}
