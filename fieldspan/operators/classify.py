@@ -1,40 +1,100 @@
-"""Text classifier as a Spark ML pipeline, distributed scoring, and its metrics."""
+"""Text classifiers over TF-IDF terms, scoring of many models in one pass, and their metrics."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from functools import reduce
+from dataclasses import dataclass
+from functools import partial, reduce
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    ElementwiseProduct,
-    Normalizer,
-    SQLTransformer,
-    UnivariateFeatureSelector,
-)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from fieldspan.operators.ngrams import (
+    BROADCAST_TERMS,
+    MIN_DF,
+    TOP_K,
+    Known,
+    TermTable,
+    anova_f,
+    count_batch,
+    fit_terms,
+    known_terms,
+    look_up,
+    tfidf_terms,
+    top_terms,
+)
+from fieldspan.session import let_workers_import, map_arrow, materialise, stage
+
+#: Weights of all models that may travel to the tasks at once (numbers of 8 bytes); more models are scored in several passes.
+BROADCAST_WEIGHTS = 1 << 22
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """A classifier over the chosen terms of a term table.
+
+    ``ids`` are the chosen terms, at most ``top_k``, in rising order; ``layers`` are pairs of a
+    matrix (inputs x outputs) and a bias. Between layers stands a sigmoid; the last one gives the
+    log-odds of class 1, or the logits of both classes.
+    """
+
+    terms: TermTable
+    ids: np.ndarray
+    layers: tuple[tuple[np.ndarray, np.ndarray], ...]
+
+    def save(self, path: str) -> None:
+        """Term table and weights, as Parquet."""
+        spark = self.terms.table.sparkSession
+        self.terms.table.write.parquet(f"{path}/terms")
+        layers = [(n, [*map(int, w.shape)], w.ravel().tolist(), b.tolist()) for n, (w, b) in enumerate(self.layers)]
+        spark.createDataFrame(layers, "layer int, shape array<int>, weights array<double>, bias array<double>").write.parquet(f"{path}/layers")
+        rest = (self.ids.tolist(), self.terms.n_docs, self.terms.exceptions, self.terms.id_bits)
+        spark.createDataFrame([rest], "ids array<long>, n_docs long, exceptions map<string,long>, id_bits int").write.parquet(f"{path}/model")
 
-from fieldspan.functions.text import bare_text_sql, pairs_sql, words_sql
-from fieldspan.operators.features import MIN_DF, TOP_K
-from fieldspan.session import materialise
+    @staticmethod
+    def load(path: str) -> TextModel:
+        spark = SparkSession.active()
+        rest = spark.read.parquet(f"{path}/model").first()
+        terms = TermTable(spark.read.parquet(f"{path}/terms"), rest.n_docs, dict(rest.exceptions), rest.id_bits)
+        layers = spark.read.parquet(f"{path}/layers").orderBy("layer").collect()
+        return TextModel(terms, np.array(rest.ids, np.int64), tuple((np.array(r.weights).reshape(r["shape"]), np.array(r.bias)) for r in layers))
 
-# A vocabulary travels to every executor with the model: what is larger is refused.
-MAX_VOCABULARY = 1 << 21
 
+def _design(batches: Iterator[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
+    """Label and sparse vector of the chosen terms, in the layout of the vector type."""
+    chosen = ids.value
+    for batch in batches:
+        label, own, weights = batch.columns
+        flat = own.flatten().to_numpy()
+        place = np.searchsorted(chosen, flat)
+        place[place == len(chosen)] = 0
+        found = chosen[place] == flat
+        row = np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())[found]
+        order = np.lexsort((place[found], row))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(batch))))), pa.int32())
+        indices = pa.ListArray.from_arrays(offsets, pa.array(place[found][order], pa.int32()))
+        values = pa.ListArray.from_arrays(offsets, pa.array(weights.flatten().to_numpy()[found][order]))
+        parts = [pa.array(np.zeros(len(batch)), pa.int8()), pa.array(np.full(len(batch), len(chosen)), pa.int32()), indices, values]
+        features = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+        yield pa.RecordBatch.from_arrays([label, features], ["label", "features"])
 
-def _text_stages(text: str) -> list[SQLTransformer]:
-    bare = f"coalesce({bare_text_sql(text)}, '')"
-    return [
-        SQLTransformer(statement=f"SELECT *, {words_sql(bare)} AS words FROM __THIS__"),
-        SQLTransformer(statement=f"SELECT *, concat(words, {pairs_sql('words')}) AS terms FROM __THIS__"),
-    ]
+
+def sparse_design(weighed: DataFrame, ids: np.ndarray) -> DataFrame:
+    """(label, features): staged rows of sparse vectors, ready for Spark ML."""
+    spark = weighed.sparkSession
+    schema = "label double, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    rows = weighed.select(F.col("label").cast("double").alias("label"), "ids", "weights")
+    # Written as the plain layout of a vector and read back as vectors: no row passes through a Python object.
+    _, path = stage(map_arrow(rows, partial(_design, ids=spark.sparkContext.broadcast(ids)), schema))
+    return spark.read.schema(StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])).parquet(path)
 
 
 def fit_classifier(
@@ -46,79 +106,215 @@ def fit_classifier(
     units: int = 64,
     top_k: int = TOP_K,
     min_df: int = MIN_DF,
-    max_vocabulary: int = MAX_VOCABULARY,
     max_iter: int = 50,
     seed: int = 42,
-) -> PipelineModel:
+    terms: TermTable | None = None,
+    most: int = BROADCAST_TERMS,
+) -> TextModel:
     """TF-IDF, the ``top_k`` terms by F, then logistic regression (``layers=1``) or a perceptron.
 
-    The fitted pipeline is narrow: scoring a corpus needs no shuffle. Its vectoriser holds
-    the training vocabulary, which must fit in ``max_vocabulary``; a larger one fails, and
-    needs a higher ``min_df``.
+    Terms, idf and F are tables, of any size. What reaches the driver is the model: the chosen terms and their weights.
+    Gradients over the sparse vectors of the chosen terms are summed by Spark. Rows without a label
+    (0 or 1) take no part. ``terms`` takes a table fitted elsewhere, so that several models share it.
     """
-    rows = train.select(key, text, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull())
+    spark = train.sparkSession
+    rows = train.select(key, F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     rows = materialise(rows)
-    stages: list = _text_stages(text)
-    terms = PipelineModel(stages).transform(rows).select(key, "terms", "label").persist()
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=max_vocabulary + 1).fit(terms)
-    counted = counter.transform(terms).select("tf", "label")
-    frequencies = IDF(inputCol="tf", outputCol="unused").fit(counted)
-    if len(frequencies.idf) > max_vocabulary:
-        raise ValueError(f"more than {max_vocabulary} terms in the vocabulary: raise min_df")
-    # The built-in idf lacks the 1 that keeps terms found in every text.
-    weights = Vectors.dense(frequencies.idf.toArray() + 1.0)
-    stages += [
-        counter,
-        ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="tfidf"),
-        Normalizer(p=2.0, inputCol="tfidf", outputCol="scaled"),
-    ]
-    scaled = PipelineModel(stages[3:]).transform(counted).select("scaled", "label")
-    selector = UnivariateFeatureSelector(featuresCol="scaled", labelCol="label", outputCol="features")
-    selector = selector.setFeatureType("continuous").setLabelType("categorical").setSelectionMode("numTopFeatures")
-    chosen = selector.setSelectionThreshold(min(top_k, len(frequencies.idf))).fit(scaled)
-    stages.append(chosen)
-    vectors = chosen.transform(scaled).select("features", "label").persist()
-    try:
-        if layers == 1:
-            model = LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(vectors)
-        else:
-            shape = [len(chosen.selectedFeatures), *[units] * (layers - 1), 2]
-            model = MultilayerPerceptronClassifier(layers=shape, maxIter=max_iter, seed=seed).fit(vectors)
-    finally:
-        vectors.unpersist()
-        terms.unpersist()
-    return PipelineModel([*stages, model])
-
-
-def score(model: PipelineModel, df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, score): probability of the seed class, by a narrow plan over (key, text)."""
-    scored = model.transform(df.select(key, text))
-    return scored.select(key, vector_to_array("probability")[1].alias("score"))
+    terms = terms or fit_terms(rows, "text", min_df)
+    weighed = materialise(tfidf_terms(rows, terms, ["label"], "text", most))
+    best = top_terms(anova_f(weighed, terms), top_k)
+    ids = np.sort(np.array([r.id for r in best.select("id").collect()], np.int64))
+    design = sparse_design(weighed, ids)
+    if layers == 1:
+        fitted = LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(design)
+        return TextModel(terms, ids, ((fitted.coefficients.toArray()[:, None], np.array([fitted.intercept])),))
+    shape = [len(ids), *[units] * (layers - 1), 2]
+    flat = MultilayerPerceptronClassifier(layers=shape, maxIter=max_iter, seed=seed).fit(design).weights.toArray()
+    parts, at = [], 0
+    for inputs, outputs in zip(shape[:-1], shape[1:]):
+        end = at + inputs * outputs
+        parts.append((flat[at:end].reshape(inputs, outputs), flat[end : end + outputs]))
+        at = end + outputs
+    return TextModel(terms, ids, tuple(parts))
+
+
+def linear_models(weights: DataFrame, terms: TermTable) -> dict[str, TextModel]:
+    """Models by name from given (model_id, term, coefficient); a null term is the intercept. Terms that the table lacks drop."""
+    known = weights.where("term is not null").join(terms.table.select("term", "id"), "term").select("model_id", "id", "coefficient")
+    intercepts = weights.where("term is null").groupBy("model_id").agg(F.sum("coefficient").alias("bias"))
+    bias = {r.model_id: r.bias for r in weights.select("model_id").distinct().join(intercepts, "model_id", "left").collect()}
+    rows = known.toArrow()
+    ids, coefficients = rows.column("id").to_numpy(), rows.column("coefficient").to_numpy()
+    names = np.array(rows.column("model_id").to_pylist(), object)
+    models = {}
+    for name in sorted(bias):
+        own = np.flatnonzero(names == name)
+        own = own[np.argsort(ids[own])]
+        models[name] = TextModel(terms, ids[own], ((coefficients[own][:, None], np.array([bias[name] or 0.0])),))
+    return models
+
+
+class _Stack(NamedTuple):
+    """First layers of several models over one term table, as a sparse table of term x output, and what follows them."""
+
+    known: Known | None
+    ids: np.ndarray
+    starts: np.ndarray
+    columns: np.ndarray
+    weights: np.ndarray
+    width: int
+    models: list[tuple[str, slice, np.ndarray, tuple]]
+
+
+def _stacked(models: dict[str, TextModel], known: Known | None) -> _Stack:
+    ids, columns, weights, placed, at = [], [], [], [], 0
+    for name, model in models.items():
+        (first, bias), *rest = model.layers
+        width = first.shape[1]
+        ids.append(np.repeat(model.ids, width))
+        columns.append(np.tile(np.arange(at, at + width), len(model.ids)))
+        weights.append(first.ravel())
+        placed.append((name, slice(at, at + width), bias, tuple(rest)))
+        at += width
+    ids, columns, weights = (np.concatenate(x) for x in (ids, columns, weights))
+    order = np.argsort(ids, kind="stable")
+    own, starts = np.unique(ids[order], return_index=True)
+    return _Stack(known, own, np.append(starts, len(ids)), columns[order], weights[order], at, placed)
+
+
+def _forward(stack: _Stack, rows: int, row: np.ndarray, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """(model, probabilities of class 1) for texts given as (text, id, weight)."""
+    if len(stack.ids):
+        place = np.searchsorted(stack.ids, ids)
+        place[place == len(stack.ids)] = 0
+        found = stack.ids[place] == ids
+        row, place, values = row[found], place[found], values[found]
+        n = stack.starts[place + 1] - stack.starts[place]
+        entry = np.repeat(stack.starts[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums = np.bincount(np.repeat(row, n) * stack.width + stack.columns[entry], np.repeat(values, n) * stack.weights[entry], rows * stack.width)
+        sums = sums.reshape(rows, stack.width)
+    else:
+        sums = np.zeros((rows, stack.width))
+    for name, own, bias, rest in stack.models:
+        out = sums[:, own] + bias
+        for weights, offset in rest:
+            out = (1 / (1 + np.exp(-out))) @ weights + offset
+        odds = out[:, 0] if out.shape[1] == 1 else out[:, 1] - out[:, 0]
+        yield name, 1 / (1 + np.exp(-odds))
+
+
+def _scored(kept: list[pa.Array], names: list[str], found: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for name, scores in found:
+        model = pa.array([name]).take(pa.array(np.zeros(len(scores), np.int64)))
+        yield pa.RecordBatch.from_arrays([model, *kept, pa.array(scores)], ["model_id", *names, "score"])
+
+
+def _score_texts(batches: Iterator[pa.RecordBatch], stacks) -> Iterator[pa.RecordBatch]:
+    """Texts are cut into terms once, whatever the number of models and term tables."""
+    for batch in batches:
+        counted, ends = count_batch(batch.column(batch.num_columns - 1))
+        for stack in stacks.value:
+            row, ids, _, weights = look_up(counted, ends, stack.known)
+            yield from _scored(batch.columns[:-1], batch.schema.names[:-1], _forward(stack, len(batch), row, ids, weights))
+
+
+def _score_weighed(batches: Iterator[pa.RecordBatch], stack) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, weights = batch.columns[-2:]
+        row = np.repeat(np.arange(len(batch)), ids.value_lengths().to_numpy())
+        found = _forward(stack.value, len(batch), row, ids.flatten().to_numpy(), weights.flatten().to_numpy())
+        yield from _scored(batch.columns[:-2], batch.schema.names[:-2], found)
+
+
+def ensemble_scores(models: dict[str, TextModel], df: DataFrame, key: str, text: str = "text", most: int = BROADCAST_TERMS, most_weights: int = BROADCAST_WEIGHTS) -> DataFrame:
+    """(model_id, key, score): probability of class 1 by every model, for every row of (key, text).
+
+    One scan that cuts each text into terms once: models with the same term table are stacked into one table of
+    term x output. Term tables and weights travel to the tasks as long as they are within ``most``
+    terms and ``most_weights`` numbers together; what does not fit any more is scored in further passes, and a term
+    table that is too large on its own is joined with the texts' terms. Counts the term tables when called.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key), F.col(text).alias("__text"))
+    schema = f"model_id string, `{key}` {rows.schema[key].dataType.simpleString()}, score double"
+    passes: list[list[_Stack]] = [[]]
+    parts: list[DataFrame] = []
+    room = [most, most_weights]
+    tables: dict[int, list[str]] = {}
+    for name, model in models.items():
+        tables.setdefault(id(model.terms), []).append(name)
+    for names in tables.values():
+        terms = models[names[0]].terms
+        known = known_terms(spark, terms, most)
+        size = 0 if known is None else len(known.ids)
+        stacked: list[dict[str, TextModel]] = [{}]
+        held = 0
+        for name in names:
+            weight = models[name].layers[0][0].size
+            if stacked[-1] and held + weight > most_weights:
+                stacked.append({})
+                held = 0
+            stacked[-1][name] = models[name]
+            held += weight
+        for group in stacked:
+            stack = _stacked(group, known)
+            if known is None:
+                weighed = tfidf_terms(df, terms, [key], text, most).select(key, "ids", "weights")
+                parts.append(map_arrow(weighed, partial(_score_weighed, stack=spark.sparkContext.broadcast(stack)), schema))
+                continue
+            if passes[-1] and (size > room[0] or len(stack.weights) > room[1]):
+                passes.append([])
+                room = [most, most_weights]
+            passes[-1].append(stack)
+            room = [room[0] - size, room[1] - len(stack.weights)]
+    parts += [map_arrow(rows, partial(_score_texts, stacks=spark.sparkContext.broadcast(p)), schema) for p in passes if p]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def score(model: TextModel, df: DataFrame, key: str, text: str = "text", most: int = BROADCAST_TERMS) -> DataFrame:
+    """(key, score): probability of the seed class, for every row of (key, text)."""
+    return ensemble_scores({"": model}, df, key, text, most).drop("model_id")
+
+
+def write_meta(metrics: DataFrame, path: str, technology: str, uid: str, architecture: str) -> str:
+    """The meta file of a fitted model, one row of metrics, where ``read_metas`` finds it; returns the model's folder."""
+    folder = f"{path}/{technology}_{uid}_{architecture}"
+    row = metrics.first().asDict()
+    text = json.dumps({"performance": {name: float(value) for name, value in row.items() if value is not None}})
+    spark = metrics.sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model-best")
+    return folder
+
+
+#: What a worker has loaded, by the name of the loader.
+_LOADED: dict[str, Callable] = {}
 
 
 def score_with(
-    df: DataFrame, key: str, load: Callable[[], Callable[[pd.Series], pd.Series]], text: str = "text"
+    df: DataFrame, key: str, load: Callable[[], Callable[[pd.Series], pd.Series]], text: str = "text", name: str | None = None
 ) -> DataFrame:
-    """Scores of a model from elsewhere: ``load`` runs once per task and returns a batch function.
+    """Scores of a model from elsewhere: ``load`` returns a function of a batch of texts.
 
-    A loader that is costly keeps its model in a module of its own, so that a worker loads it once.
+    With a ``name`` a worker loads the model once and keeps it for all its tasks, also of later
+    queries; another model needs another name. Without one it is loaded once per task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = load()
+        from fieldspan.operators.classify import _LOADED as kept
+
+        predict = kept.get(name) if name else None
+        if predict is None:
+            predict = load()
+            if name:
+                kept[name] = predict
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "score": predict(batch[text])})
 
+    let_workers_import(df.sparkSession)
     narrow = df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
     return narrow.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, score double")
 
 
-def ensemble_scores(models: dict[str, PipelineModel], df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(model_id, key, score) of several models, matched by key."""
-    parts = [score(m, df, key, text).select(F.lit(name).alias("model_id"), key, "score") for name, m in models.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def wide_scores(scores: DataFrame, key: str | list[str], models: list[str] | None = None) -> DataFrame:
     """One column per model. The models are a parameter list, or looked up."""
     return scores.groupBy(*([key] if isinstance(key, str) else key)).pivot("model_id", models).agg(F.first("score"))

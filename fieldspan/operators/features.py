@@ -1,136 +1,124 @@
-"""Text features: n-gram TF-IDF, feature choice by F statistic, word sequences."""
+"""Texts as sequences of word numbers, front-padded to one length."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspan.functions.text import bare_text_exact, bare_text_sql, pairs_sql, sequence_words, words_sql
-from fieldspan.session import let_workers_import
+from fieldspan.operators.ngrams import TOP_K
+from fieldspan.session import map_arrow, materialise
 
 # Defaults of the published feature set-ups.
-MIN_DF, TOP_K, MAX_LENGTH = 2, 5000, 250
+MAX_LENGTH = 250
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
+#: Distinct words that a task remembers and counts before it sends the counts on.
+HELD_WORDS = 200_000
 
-def with_ngrams(df: DataFrame, text: str = "text", exact: bool = False) -> DataFrame:
-    """Add ``terms``: words of two or more characters and pairs of neighbours, accents stripped.
-
-    Accents are stripped inside the JVM by a character table; ``exact`` also splits
-    ligatures and syllables into their letters, at the price of a Python pass.
-    """
-    bare = bare_text_exact(F.col(text)) if exact else F.expr(bare_text_sql(text))
-    words = df.withColumn("__bare", F.coalesce(bare, F.lit(""))).withColumn("__words", F.expr(words_sql("__bare")))
-    return words.withColumn("terms", F.expr(f"concat(__words, {pairs_sql('__words')})")).drop("__bare", "__words")
+_BLANKED = bytes.maketrans(PUNCTUATION.encode(), b" " * len(PUNCTUATION))
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text", exact: bool = False) -> DataFrame:
-    """(key, term, tf). Repeats within a text are summed before the shuffle.
+def sequence_words(text: str | None) -> list[bytes]:
+    """Lower-cased words between blanks, punctuation read as a blank."""
+    return [w for w in text.lower().encode().translate(_BLANKED).split(b" ") if w] if text else []
 
-    The outer explode is on purpose: for an inner one the optimizer adds a test of the
-    array's size, and pushed to the scan that test cuts the text into terms again.
-    """
-    terms = with_ngrams(df.select(key, text), text, exact).select(key, F.explode_outer("terms").alias("term"))
-    terms = terms.filter(F.col("term").isNotNull() & F.col(key).isNotNull())
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
+class NumberedWords(NamedTuple):
+    """One staged pass over texts: (keep..., ids) per text, and (word, n) as tasks counted them."""
 
-def inverse_frequencies(counts: DataFrame, n_docs: Column, min_df: int = MIN_DF) -> DataFrame:
-    """(term, df, idf) of terms in at least ``min_df`` texts; idf = ln((1+n)/(1+df)) + 1.
+    texts: DataFrame
+    words: DataFrame
 
-    A term occurs at least as often as it has texts, so the test of ``total`` never
-    decides. It keeps ``tf`` in use, so that the counts are the same plan here as where
-    the weights are made, and their shuffle is done once.
-    """
-    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    found = found.filter((F.col("df") >= min_df) & (F.col("total") >= min_df)).drop("total")
-    return found.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
+def _number(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    numbers: dict[bytes, int] = {}
+    counts: Counter = Counter()
+    names, kept = None, []
 
-def tfidf_terms(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf, weight): tf x idf, each text scaled to length one.
+    def sent() -> pa.RecordBatch:
+        words, n = pa.array([[w.decode() for w in counts]], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))
+        nothing = [pa.nulls(1, t) for t in kept]
+        return pa.RecordBatch.from_arrays([*nothing, pa.nulls(1, pa.list_(pa.int64())), words, n], names)
 
-    A term found in every text makes a hot join key: the idf side has one row per term,
-    so adaptive execution may split the other side. The window holds the terms of one
-    text.
+    for batch in batches:
+        names, kept = [*batch.schema.names[:-1], "ids", "words", "counts"], [f.type for f in list(batch.schema)[:-1]]
+        ids, ends = [], [0]
+        for text in batch.column(batch.num_columns - 1):
+            own = sequence_words(text.as_py())
+            counts.update(own)
+            for word in own:
+                number = numbers.get(word)
+                if number is None:
+                    number = numbers[word] = xxhash.xxh64_intdigest(word, 42)
+                ids.append(number)
+            ends.append(len(ids))
+            if len(numbers) >= held:
+                yield sent()
+                numbers, counts = {}, Counter()
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)))
+        nothing = [pa.nulls(len(batch), pa.list_(t)) for t in (pa.string(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, *nothing], names)
+    if counts:
+        yield sent()
+
+
+def number_words(df: DataFrame, keep: Sequence[str], text: str = "text", held: int = HELD_WORDS) -> NumberedWords:
+    """Read texts once: every word as the 64-bit hash that Spark's ``xxhash64`` gives, and its count per task.
+
+    Both go to one staged table; vocabulary, lengths and sequences then read numbers. Runs when called.
     """
-    raw = counts.join(idf.select("term", "idf"), "term").withColumn("__raw", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("__raw") / length).alias("weight"))
-
+    rows = df.select(*keep, F.col(text).alias("__text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    staged = materialise(map_arrow(rows, partial(_number, held=held), f"{kept}, ids array<long>, words array<string>, counts array<long>"))
+    counted = staged.where("words is not null").select(F.inline(F.arrays_zip("words", "counts")).alias("word", "n"))
+    return NumberedWords(staged.where("ids is not null").select(*keep, "ids"), counted)
 
-def anova_f(weights: DataFrame, labels: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """(term, f_score): one-way F of each term's weight between label 0 and 1.
 
-    Absent terms weigh zero, so sums over the present ones suffice: one aggregation.
-    ``labels`` has one row per text.
-    """
-    sizes = labels.agg(
-        F.count_if(F.col(label) == 0).cast("double").alias("n0"), F.count_if(F.col(label) == 1).cast("double").alias("n1")
-    )
-    n0, n1 = sizes.select("n0").scalar(), sizes.select("n1").scalar()
-    w, y = F.col("weight"), F.col(label)
-    sums = weights.join(labels.select(key, label), key).groupBy("term").agg(
-        F.sum(F.when(y == 0, w).otherwise(0.0)).alias("s0"),
-        F.sum(F.when(y == 1, w).otherwise(0.0)).alias("s1"),
-        F.sum(w * w).alias("q"),
-    )
-    sums = sums.select("*", n0.alias("n0"), n1.alias("n1"))
-    total = (F.col("s0") + F.col("s1")) * (F.col("s0") + F.col("s1")) / (F.col("n0") + F.col("n1"))
-    between = F.col("s0") * F.col("s0") / F.col("n0") + F.col("s1") * F.col("s1") / F.col("n1") - total
-    within = F.col("q") - total - between
-    ratio = F.try_divide(between * (F.col("n0") + F.col("n1") - 2), within)
-    # A term that tells the labels apart without any spread within them comes first.
-    score = F.when((within == 0) & (between > 0), F.lit(float("inf"))).otherwise(ratio)
-    return sums.select("term", score.alias("f_score"))
-
-
-def top_terms(scores: DataFrame, top_k: int = TOP_K, digits: int = 6) -> DataFrame:
-    """The ``top_k`` terms of largest F (ties after rounding go by term)."""
-    rounded = scores.withColumn("f_score", F.round("f_score", digits))
-    return rounded.orderBy(F.col("f_score").desc_nulls_last(), "term").limit(top_k)
-
-
-def fit_vocabulary(train: DataFrame, text: str = "text", top_k: int = TOP_K) -> DataFrame:
+def fit_vocabulary(train: NumberedWords, top_k: int = TOP_K) -> DataFrame:
     """(word, index) of the ``top_k - 1`` most frequent words, from 1 (0 is padding); ties by word.
 
     The ranking window sees the ``top_k`` rows the top-k has left over, no more.
     """
-    words = train.select(F.explode_outer(sequence_words(F.col(text))).alias("word"))
-    counted = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(top_k - 1)
+    top = train.words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(top_k - 1)
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "word"))
     return top.select("word", rank.alias("index"))
 
 
-def word_sequences(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, sequence): indices of the known words in order, one row per row. No shuffle.
+def word_sequences(numbered: NumberedWords, vocabulary: DataFrame) -> DataFrame:
+    """(keep..., sequence): indices of the known words in order, one row per row. No shuffle.
 
-    The vocabulary, bounded by its ``top_k``, is read when called and travels to the
-    tasks, which look words up in whole Arrow batches.
+    The vocabulary, bounded by its ``top_k``, is read when called and travels to the tasks. A word
+    outside it shares a known word's hash with a chance of ``top_k`` / 2 ** 64.
     """
-    let_workers_import(df.sparkSession)
-    rows = vocabulary.select("word", F.col("index").cast("int")).collect()
-    known = df.sparkSession.sparkContext.broadcast((pa.array([r["word"] for r in rows], pa.string()), np.array([r["index"] for r in rows], np.int32)))
-    words = df.select(key, sequence_words(F.col(text)).alias("words"))
-    return words.mapInArrow(partial(_look_up, vocabulary=known), f"{key} {df.schema[key].dataType.simpleString()}, sequence array<int>")
+    rows = vocabulary.select(F.xxhash64("word").alias("id"), F.col("index").cast("int").alias("index")).toArrow()
+    order = np.argsort(ids := rows.column("id").to_numpy())
+    known = vocabulary.sparkSession.sparkContext.broadcast((ids[order], rows.column("index").to_numpy()[order].astype(np.int32)))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.texts.schema.fields[:-1])
+    return map_arrow(numbered.texts, partial(_look_up, vocabulary=known), f"{kept}, sequence array<int>")
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     known, numbers = vocabulary.value
     for batch in batches:
-        words = batch.column(1)
-        places = pc.index_in(words.flatten(), value_set=known)
-        found = places.is_valid().to_numpy(zero_copy_only=False)
+        ids = batch.column(batch.num_columns - 1)
+        flat = ids.flatten().to_numpy()
+        found = np.zeros(len(flat), bool)
+        if len(known):
+            place = np.searchsorted(known, flat)
+            place[place == len(known)] = 0
+            found = known[place] == flat
         before = np.concatenate(([0], np.cumsum(found)))
-        bounds = before[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        values = numbers[places.drop_null().to_numpy().astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))], ["key", "sequence"])
+        bounds = before[np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))]
+        values = numbers[place[found]] if len(known) else np.empty(0, np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))], [*batch.schema.names[:-1], "sequence"])
 
 
 def sequence_length(train_sequences: DataFrame, max_length: int = MAX_LENGTH) -> Column:

@@ -29,12 +29,24 @@ OPTIONS = ["Clean prose", "Mixed content", "Noise"]
 _SCHEMAS: dict[str, StructType] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is looked up once, since every look-up is a job."""
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int = 0) -> DataFrame:
+    """A given table; its schema is looked up once, since every look-up is a job.
+
+    With ``partitions`` its rows are dealt into that many, whatever its size.
+    """
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    rows = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return rows.repartition(partitions) if partitions else rows
+
+
+def text_partitions(spark: SparkSession) -> int:
+    """Partitions of the text queries: the given documents are one row group, which one task would read and cut into terms.
+
+    A parameter of the session; 0 takes the texts as they are stored, as for a corpus of many files.
+    """
+    return int(spark.conf.get("spark.fieldspan.textPartitions", "16"))
 
 
 def u_sql(seed: int | str, key: str) -> str:

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspan.operators import annotations, candidates, classify, corpus, features, training
+from fieldspan.functions.draws import unit_draw
+from fieldspan.operators import annotations, candidates, classify, corpus, features, ngrams, training
 from fieldspan.operators.expansion import MANUAL, SEED
 from fieldspan.plans import corpora as c
 from fieldspan.plans.corpora import KEYWORDS, OPTIONS, PREFIXES, PUB, TEXT_SQL, table, u_sql, with_ctes
-from fieldspan.session import shared_dir
+from fieldspan.session import materialise, shared_dir
 from fieldspan.sources import files
 
 QUERIES, ORACLES = {}, {}
@@ -309,40 +310,58 @@ FEATURE_SQL = {
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return table(spark, d, "documents", c.text_partitions(spark)).select("doc_id", "text")
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return features.term_counts(_texts(spark, d), "doc_id")
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return ngrams.tfidf_terms(texts, ngrams.fit_terms(texts), ["doc_id"])
 
 
-def _idf(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
-    return features.inverse_frequencies(counts, table(spark, d, "documents").agg(F.count(F.lit(1))).scalar())
+def _per_text(weights: DataFrame) -> DataFrame:
+    """Number of terms, words and sums of each text that has a term."""
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    return weights.where(F.size("ids") > 0).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_terms"),
+        F.aggregate("tfs", F.lit(0).cast("long"), lambda s, n: s + n).alias("n_words"),
+        F.round(total, 6).alias("total"),
+        F.round(F.array_max("weights"), 6).alias("top"),
+    )
 
 
 @query(with_ctes(FEATURE_SQL, "SELECT term, df, round(idf, 6) AS idf FROM idf", "bare", "words", "terms", "tc", "idf"))
 def tfidf_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return _idf(spark, d, _counts(spark, d)).withColumn("idf", F.round("idf", 6))
+    return ngrams.fit_terms(_texts(spark, d)).table.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+_PER_TEXT_SQL = """SELECT k AS doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_words, round(sum(weight), 6) AS total,
+        round(max(weight), 6) AS top FROM w GROUP BY k"""
+
+
+@query(with_ctes(FEATURE_SQL, _PER_TEXT_SQL, "bare", "words", "terms", "tc", "idf", "raw", "w"))
+def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of all terms of all documents, summed up per document."""
+    return _per_text(_weights(spark, d))
+
+
+_TRAIN = u_sql(17, "doc_id") + " < 0.6::DOUBLE"
+_HELD_OUT_SQL = {**FEATURE_SQL, "idf": f"""SELECT term, count(*) AS df,
+        ln((1.0::DOUBLE + (SELECT count(*) FROM documents WHERE {_TRAIN})) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf
+        FROM tc WHERE {_TRAIN.replace("doc_id", "k")} GROUP BY term HAVING count(*) >= 2"""}
 
 
 @query(
     with_ctes(
-        FEATURE_SQL,
-        """SELECT k AS doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_words, round(sum(weight), 6) AS total,
-        round(max(weight), 6) AS top FROM w GROUP BY k""",
-        "bare", "words", "terms", "tc", "idf", "raw", "w",
+        {**_HELD_OUT_SQL, "raw": FEATURE_SQL["raw"] + f" WHERE NOT ({_TRAIN.replace('doc_id', 'k')})"},
+        _PER_TEXT_SQL, "bare", "words", "terms", "tc", "idf", "raw", "w",
     )
 )
-def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of all terms of all documents, summed up per document."""
-    counts = _counts(spark, d)
-    weights = features.tfidf_terms(counts, _idf(spark, d, counts), "doc_id")
-    return weights.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_terms"),
-        F.sum("tf").alias("n_words"),
-        F.round(F.sum("weight"), 6).alias("total"),
-        F.round(F.max("weight"), 6).alias("top"),
-    )
+def tfidf_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Terms and idf of the training texts, applied to the others: terms that only these have drop."""
+    texts = _texts(spark, d)
+    drawn = unit_draw(17, "doc_id") < 0.6
+    return _per_text(ngrams.tfidf_terms(texts.where(~drawn), ngrams.fit_terms(texts.where(drawn)), ["doc_id"]))
 
 
 @query(
@@ -352,11 +371,12 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def anova_f_topk(spark: SparkSession, d: str) -> DataFrame:
-    counts = _counts(spark, d)
-    weights = features.tfidf_terms(counts, _idf(spark, d, counts), "doc_id")
-    docs = table(spark, d, "documents").select("doc_id")
-    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
-    return features.top_terms(features.anova_f(weights, labels, "doc_id"))
+    """Terms of all documents; weights and sums of the labelled ones only."""
+    texts = _texts(spark, d)
+    terms = ngrams.fit_terms(texts)
+    labelled = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = ngrams.tfidf_terms(texts.join(labelled, "doc_id"), terms, ["label"])
+    return ngrams.top_terms(ngrams.anova_f(weights, terms)).select("term", "f_score")
 
 
 _SPLIT = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n ]+"""
@@ -379,8 +399,8 @@ _SEQ_SQL = {
     )
 )
 def sequence_encode(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d)
-    sequences = features.word_sequences(docs, features.fit_vocabulary(docs, top_k=1000), "doc_id")
+    numbered = features.number_words(_texts(spark, d), ["doc_id"])
+    sequences = materialise(features.word_sequences(numbered, features.fit_vocabulary(numbered, top_k=1000)))
     padded = features.pad_sequences(sequences, features.sequence_length(sequences))
     return padded.select("doc_id", F.array_join("sequence", ",").alias("sequence"))
 
@@ -398,3 +418,32 @@ def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     model = classify.fit_classifier(_seed_rows(spark, d), "family_id")
     docs = _texts(spark, d).withColumnRenamed("doc_id", "family_id")
     return classify.score(model, docs, "family_id").withColumn("score", F.round("score", 4))
+
+
+GIVEN_MODELS = [f"{a}-{m}" for a in c.ARCHITECTURES for m in c.MODELS]
+_COEFFICIENT = u_sql(23, "model_id || ':' || term")
+
+
+@query(
+    with_ctes(
+        {
+            **_HELD_OUT_SQL,
+            "models": f"SELECT unnest({GIVEN_MODELS}) AS model_id",
+            "coefs": f"""SELECT model_id, term, 8 * {_COEFFICIENT} - 4 AS coefficient FROM idf, models WHERE df >= 20 AND {_COEFFICIENT} < 0.75""",
+            "chosen": "SELECT k, model_id, sum(weight * coefficient) AS s FROM w JOIN coefs USING (term) GROUP BY ALL",
+        },
+        """SELECT model_id, doc_id, round(1 / (1 + exp(-(coalesce(s, 0) + 0.25))), 6) AS score
+        FROM (SELECT doc_id FROM documents) CROSS JOIN models LEFT JOIN chosen ON k = doc_id AND chosen.model_id = models.model_id""",
+        "bare", "words", "terms", "tc", "idf", "raw", "w", "models", "coefs", "chosen",
+    ).replace("SELECT model_id, doc_id, round", "SELECT models.model_id, doc_id, round")
+)
+def given_model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty linear models over the terms of the training texts, with given coefficients, score all documents in one scan."""
+    texts = _texts(spark, d)
+    terms = ngrams.fit_terms(texts.where(unit_draw(17, "doc_id") < 0.6))
+    models = F.explode(F.array(*[F.lit(m) for m in GIVEN_MODELS])).alias("model_id")
+    drawn = terms.table.where("df >= 20").select("term", models).withColumn("u", unit_draw(23, "model_id", "term")).where("u < 0.75")
+    intercepts = spark.range(1).select(models, F.lit(None).cast("string").alias("term"), F.lit(0.25).alias("coefficient"))
+    weights = drawn.select("model_id", "term", (8 * F.col("u") - 4).alias("coefficient")).union(intercepts)
+    scores = classify.ensemble_scores(classify.linear_models(weights, terms), texts, "doc_id")
+    return scores.select("model_id", "doc_id", F.round("score", 6).alias("score"))

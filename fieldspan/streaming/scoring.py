@@ -7,16 +7,15 @@ restarted job goes on where it stopped.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldspan.operators.classify import score
+from fieldspan.operators.classify import TextModel, score
 
 
 def score_new_files(
     spark: SparkSession,
-    model: PipelineModel,
+    model: TextModel,
     source: str,
     destination: str,
     checkpoint: str,

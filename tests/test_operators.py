@@ -5,11 +5,13 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from fieldspan.functions import countries, predicates
-from fieldspan.functions.text import bare_text_exact, bare_text_sql, words_sql
-from fieldspan.operators import annotations, candidates, classify, corpus, ensembles, features, stats, summary, training
+from fieldspan.operators import annotations, candidates, classify, corpus, ensembles, features, ngrams, stats, summary, training
 from fieldspan.sources import files, schemas
 from fieldspan.streaming.scoring import score_new_files
 
@@ -280,13 +282,6 @@ def test_join_keeps_the_left_key(spark, rows):
     assert training.join_tables(left, right, "k", abstract2text=True).columns == ["k", "x", "text", "z"]
 
 
-def test_text_forms(spark):
-    df = spark.createDataFrame([("ÉCOLE naïve_9 a ß 学校 ﬁn",)], "text string")
-    bare = df.select(F.expr(bare_text_sql("text")).alias("t"))
-    assert bare.select(F.expr(words_sql("t"))).first()[0] == ["ecole", "naive_9", "学校", "ﬁn"]
-    assert df.select(bare_text_exact("text")).first()[0] == "ecole naive_9 a ß 学校 fin"
-
-
 TEXTS = ["alpha beta gamma alpha", "alpha beta", "gamma delta x", "delta delta beta", "Álpha only", "beta delta gamma"]
 Y = [1, 1, 0, 0, 1, 0]
 
@@ -309,20 +304,67 @@ def _tfidf(texts, min_df=2):
     return terms, x / np.where(norms == 0, 1, norms)
 
 
-def test_tfidf_and_f(spark):
-    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(TEXTS, Y))], "k int, text string, label int")
-    counts = features.term_counts(docs, "k")
-    weights = features.tfidf_terms(counts, features.inverse_frequencies(counts, F.lit(6)), "k")
+def _texts_and_labels(spark):
+    return spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(TEXTS, Y))], "k int, text string, label int")
+
+
+@pytest.mark.parametrize("options", [{}, {"held": 2}, {"id_bits": 3}])
+@pytest.mark.parametrize("most", [1 << 22, 1])
+def test_tfidf_and_f(spark, options, most):
+    """Also with few terms held, with ids that clash, and with a table too large for the tasks."""
+    docs = _texts_and_labels(spark)
+    table = ngrams.fit_terms(docs, **options)
+    assert table.n_docs == 6 and bool(table.exceptions) == ("id_bits" in options)
+    assert table.table.select("id").distinct().count() == table.table.count()
+    known = [t for t in docs.collect()] if "id_bits" in options else None
+    weighed = ngrams.tfidf_terms(docs, table, ["k", "label"], most=most)
     terms, x = _tfidf(TEXTS)
-    got = {(r.k, r.term): r.weight for r in weights.collect()}
+    if known is None:  # with three bits most unknown terms share a known one's id
+        got = {(r.k, r.term): r.weight for r in ngrams.named_terms(weighed, table, "k").collect()}
+        assert got == pytest.approx({(i, t): x[i, j] for i in range(6) for j, t in enumerate(terms) if x[i, j] > 0})
+        f = {r.term: r.f_score for r in ngrams.anova_f(weighed, table, held=3).collect()}
+        y = np.array(Y)
+        for j, t in enumerate(terms):
+            a, b = x[y == 0, j], x[y == 1, j]
+            between = len(a) * (a.mean() - x[:, j].mean()) ** 2 + len(b) * (b.mean() - x[:, j].mean()) ** 2
+            within = ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()
+            assert f[t] == pytest.approx(between / (within / 4))
+
+
+@pytest.mark.parametrize("most", [1 << 22, 1])
+def test_clashing_ids_stay_apart(spark, most):
+    """All terms are known here, so weights are right although all hashes clash."""
+    docs = _texts_and_labels(spark)
+    table = ngrams.fit_terms(docs, min_df=1, id_bits=2)
+    terms, x = _tfidf(TEXTS, min_df=1)
+    weighed = ngrams.tfidf_terms(docs, table, ["k"], most=most)
+    got = {(r.k, r.term): r.weight for r in ngrams.named_terms(weighed, table, "k").collect()}
     assert got == pytest.approx({(i, t): x[i, j] for i in range(6) for j, t in enumerate(terms) if x[i, j] > 0})
-    f = {r.term: r.f_score for r in features.anova_f(weights, docs, "k").collect()}
-    y = np.array(Y)
-    for j, t in enumerate(terms):
-        a, b = x[y == 0, j], x[y == 1, j]
-        between = len(a) * (a.mean() - x[:, j].mean()) ** 2 + len(b) * (b.mean() - x[:, j].mean()) ** 2
-        within = ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()
-        assert f[t] == pytest.approx(between / (within / 4))
+
+
+def test_terms_of_training_texts_only(spark):
+    docs = _texts_and_labels(spark)
+    table = ngrams.fit_terms(docs.where("k < 3"), min_df=1)
+    weighed = ngrams.tfidf_terms(docs, table, ["k"])
+    known = {r.term for r in table.table.collect()}
+    named = ngrams.named_terms(weighed, table, "k").collect()
+    assert {r.term for r in named} == known and {r.k for r in named} > {0, 1, 2}
+    empty = spark.createDataFrame([(1, None), (2, ""), (3, "unheard of")], "k int, text string")
+    assert [(r.k, r.ids, r.tfs, r.weights) for r in ngrams.tfidf_terms(empty, table, ["k"]).orderBy("k").collect()] == [(k, [], [], []) for k in (1, 2, 3)]
+    assert sorted((r.k, r.ids) for r in ngrams.tfidf_terms(empty, table, ["k"], most=0).collect()) == [(1, []), (2, []), (3, [])]
+    nothing = ngrams.fit_terms(docs.limit(0))
+    assert nothing.n_docs == 0 and nothing.table.count() == 0
+    assert ngrams.tfidf_terms(empty, nothing, ["k"]).where("size(ids) > 0").count() == 0
+
+
+def test_accents_ligatures_and_syllables():
+    assert ngrams.terms_of("\u00c4\u00e9 \ufb01n x yz_1") == ["ae", "fin", "yz_1", "ae fin", "fin yz_1"]
+    assert ngrams.bare_text("\uac00") == "\u1100\u1161" and ngrams.bare_text("a\U0001d165b") == "ab"
+
+
+def test_ids_are_those_of_the_jvm(spark):
+    table = ngrams.fit_terms(spark.createDataFrame([("caf\u00e9 \u65e5\u672c " + "long" * 30,)], "text string"), min_df=1)
+    assert all(r.id == xxhash.xxh64_intdigest(r.term, 42) & (1 << 63) - 1 for r in table.table.collect())
 
 
 def test_counted_candidates_give_the_same_families(spark, pubs, research, rows):
@@ -335,15 +377,17 @@ def test_counted_candidates_give_the_same_families(spark, pubs, research, rows):
 
 def test_sequences_of_repeated_keys_stay_apart(spark):
     docs = spark.createDataFrame([(1, "a b a"), (1, "b b"), (2, "")], "k int, text string")
-    sequences = features.word_sequences(docs, features.fit_vocabulary(docs, top_k=9), "k")
+    numbered = features.number_words(docs, ["k"], held=1)
+    sequences = features.word_sequences(numbered, features.fit_vocabulary(numbered, top_k=9))
     assert sorted((r.k, r.sequence) for r in sequences.collect()) == [(1, [1, 1]), (1, [2, 1, 2]), (2, [])]
 
 
 def test_sequences(spark):
     docs = spark.createDataFrame([(1, "a b, A c!"), (2, "b"), (3, ""), (4, None), (5, "zzz c")], "k int, text string")
-    vocabulary = features.fit_vocabulary(docs, top_k=4)
+    numbered = features.number_words(docs, ["k"])
+    vocabulary = features.fit_vocabulary(numbered, top_k=4)
     assert [tuple(r) for r in vocabulary.orderBy("index").collect()] == [("a", 1), ("b", 2), ("c", 3)]
-    sequences = features.word_sequences(docs, vocabulary, "k")
+    sequences = features.word_sequences(numbered, vocabulary)
     padded = features.pad_sequences(sequences, features.sequence_length(sequences, 3))
     assert {r.k: r.sequence for r in padded.collect()} == {1: [2, 1, 3], 2: [0, 0, 2], 3: [0, 0, 0], 4: [0, 0, 0], 5: [0, 0, 3]}
 
@@ -357,8 +401,6 @@ def test_classifier_roundtrip_and_streaming(spark, tmp_path):
     scored = classify.score(loaded, train.select("family_id", "text"), "family_id")
     metrics = classify.class_metrics(scored.join(train.withColumnRenamed("is_seed", "label"), "family_id")).first()
     assert metrics.binary_accuracy == metrics.precision == metrics.recall == 1.0 and metrics.loss < 0.4
-    with pytest.raises(ValueError, match="vocabulary"):
-        classify.fit_classifier(train, "family_id", max_vocabulary=3)
     perceptron = classify.fit_classifier(train, "family_id", top_k=20, layers=2, units=4, max_iter=20)
     assert classify.score(perceptron, train, "family_id").count() == 60
     both = classify.ensemble_scores({"a": model, "b": perceptron}, train, "family_id")
@@ -371,6 +413,71 @@ def test_classifier_roundtrip_and_streaming(spark, tmp_path):
     assert spark.read.json(target).count() == 120
 
 
+@pytest.mark.parametrize("layers", [1, 2, 3])
+def test_scores_are_those_of_spark_ml(spark, layers):
+    """The forward pass against the transform of the fitted model, and scoring past the broadcast limits."""
+    rnd = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choice(words[5 * y :], 12)) for y in rnd.integers(0, 2, 80)]
+    train = spark.createDataFrame([(i, t, int("w1 " in t or "w2 " in t)) for i, t in enumerate(texts)] + [(99, "no label", None)], "k int, text string, is_seed int")
+    model = classify.fit_classifier(train, "k", layers=layers, units=3, top_k=30, max_iter=30)
+    got = {r.k: r.score for r in classify.score(model, train, "k").collect()}
+    weighed = ngrams.tfidf_terms(train, model.terms, ["k"]).withColumn("label", F.col("k"))
+    design = classify.sparse_design(weighed, model.ids)
+    flat = [Vectors.dense(np.concatenate([np.concatenate((w.ravel(), b)) for w, b in model.layers]))]
+    if layers == 1:
+        rows = {int(r.label): 1 / (1 + np.exp(-(np.dot(r.features.toArray(), model.layers[0][0][:, 0]) + model.layers[0][1][0]))) for r in design.collect()}
+    else:
+        shape = [len(model.ids), *[3] * (layers - 1), 2]
+        refit = MultilayerPerceptronClassifier(layers=shape, maxIter=1).setInitialWeights(flat[0]).setStepSize(1e-13).setSolver("gd").fit(design.where("label < 2"))
+        assert np.allclose(refit.weights.toArray(), flat[0].toArray())
+        rows = {int(r.label): r.probability[1] for r in refit.transform(design).collect()}
+    assert got == pytest.approx(rows) and len(got) == 81
+    assert {r.k: r.score for r in classify.score(model, train, "k", most=1).collect()} == pytest.approx(got)
+    pair = classify.ensemble_scores({"a": model, "b": model, "c": model}, train, "k", most_weights=model.layers[0][0].size + 1)
+    assert {(r.model_id, r.k): r.score for r in pair.collect()} == pytest.approx({(m, k): s for m in "abc" for k, s in got.items()})
+
+
+def test_more_terms_than_any_limit_of_the_driver(spark):
+    """A fit whose term table is past the broadcast limit all the way."""
+    train = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} w{i % 11} w{i % 13}", i % 2) for i in range(80)], "k int, text string, is_seed int")
+    small, large = (classify.fit_classifier(train, "k", top_k=8, most=most) for most in (1 << 22, 3))
+    assert small.ids.tolist() == large.ids.tolist() and np.allclose(small.layers[0][0], large.layers[0][0], atol=1e-6)
+
+
+def test_given_linear_models(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, None)], "k int, text string")
+    terms = ngrams.fit_terms(docs, min_df=1)
+    weights = spark.createDataFrame([("m", "alpha", 2.0), ("m", "unheard", 9.0), ("m", None, -1.0), ("n", "beta", 1.0), ("o", None, 0.5)], "model_id string, term string, coefficient double")
+    got = {(r.model_id, r.k): r.score for r in classify.ensemble_scores(classify.linear_models(weights, terms), docs, "k").collect()}
+    a, b = math.log(4 / 3) + 1, math.log(4 / 2) + 1
+    length = math.sqrt(a * a + 2 * b * b)
+    s = lambda x: 1 / (1 + math.exp(-x))
+    expected = {("m", 1): s(2 * a / length - 1), ("m", 2): s(1.0), ("m", 3): s(-1.0), ("n", 1): s(b / length), ("n", 2): 0.5, ("n", 3): 0.5, **{("o", k): s(0.5) for k in (1, 2, 3)}}
+    assert got == pytest.approx(expected)
+
+
+def test_meta_of_a_fitted_model_is_read_back(spark, tmp_path):
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, 0.6)], "label int, score double")
+    metrics = classify.class_metrics(scored)
+    classify.write_meta(metrics, str(tmp_path), "tech", "7", "mlp")
+    back = {(r.technology, r.uid, r.architecture, r.metric): r.value for r in files.read_metas(spark, f"{tmp_path}/*/model-best").collect()}
+    assert back == {("tech", "7", "mlp", name): value for name, value in metrics.first().asDict().items()}
+
+
+def test_foreign_model_is_loaded_once_by_a_worker(spark):
+    df = spark.range(64).select(F.col("id").alias("k"), F.lit("x").alias("text")).repartition(16)
+
+    def load():
+        import os
+        import uuid
+
+        mine = uuid.uuid4().int % 2**40
+        return lambda texts: texts.map(lambda _: float(mine)) + 0 * os.getpid()
+
+    assert classify.score_with(df, "k", load, name="own").select("score").distinct().count() <= 8 < classify.score_with(df, "k", load).select("score").distinct().count()
+
+
 def test_foreign_model(spark, rows):
     df = spark.createDataFrame([(1, "aa"), (2, None)], "k int, text string")
 
