@@ -470,12 +470,14 @@ def test_foreign_model_is_loaded_once_by_a_worker(spark):
 
     def load():
         import os
-        import uuid
+        import random
 
-        mine = uuid.uuid4().int % 2**40
-        return lambda texts: texts.map(lambda _: float(mine)) + 0 * os.getpid()
+        mine = os.getpid() + random.SystemRandom().random()
+        return lambda texts: texts.map(lambda _: mine)
 
-    assert classify.score_with(df, "k", load, name="own").select("score").distinct().count() <= 8 < classify.score_with(df, "k", load).select("score").distinct().count()
+    scores = {r.score for _ in range(3) for r in classify.score_with(df, "k", load, name="own").collect()}
+    assert len(scores) == len({int(x) for x in scores})  # one load for each process
+    assert len({r.score for _ in range(3) for r in classify.score_with(df, "k", load).collect()}) == 48
 
 
 def test_foreign_model(spark, rows):
