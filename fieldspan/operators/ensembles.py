@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspan.operators.summary import QUARTILES, describe, describe_large
+from fieldspan.session import map_arrow
 
 _STATS = ("count", "mean", "std", "min", *QUARTILES, "max")
 
@@ -75,39 +79,118 @@ def model_performance(metas: DataFrame) -> DataFrame:
     return describe(kept.unionByName(f1.filter(F.col("value").isNotNull())), "value", ["architecture", "metric"])
 
 
+def _scored_models(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., model_id, middle): who has scores in which group, with a score from the middle of them."""
+    return scores.groupBy(*by, "model_id").agg(F.percentile_approx("score", 0.5, 100).alias("middle"))
+
+
+def _gram(batches: Iterator[pa.RecordBatch], middles, n_by: int) -> Iterator[pa.RecordBatch]:
+    """Sums over items of products of two models' scores, for a block of models against another.
+
+    Scores are taken from a middle score of their model, so that sums of squares keep their digits.
+    """
+    shifts = middles.value
+    sums: dict[tuple, np.ndarray] = {}
+
+    def sent(group: tuple) -> Iterator[pa.RecordBatch]:
+        own, other = shifts[group]
+        total = sums.pop(group)
+        for i, a in enumerate(own):
+            if a <= max(other):
+                columns = [pa.array([x], t) for x, t in zip(group, kinds)] + [pa.array([a], pa.int32()), pa.array([list(other)], pa.list_(pa.int32()))]
+                columns += [pa.array([x[i].tolist()], pa.list_(pa.float64())) for x in total]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names, kinds = None, None
+    for batch in batches:
+        names, kinds = [*batch.schema.names[:n_by], "a", "b", *GRAM], [f.type for f in batch.schema][:n_by]
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[: n_by + 2])))
+        models, values = batch.column("models"), batch.column("scores")
+        for group in dict.fromkeys(keys):
+            own, other = (np.array(list(x)) for x in shifts[group])
+            rows = pa.array([i for i, k in enumerate(keys) if k == group])
+            flat, sizes = models.take(rows).flatten().to_numpy(), models.take(rows).value_lengths().to_numpy()
+            score, item = values.take(rows).flatten().to_numpy(), np.repeat(np.arange(len(rows)), sizes)
+            sides = []
+            for side, shift in zip((own, other), shifts[group]):
+                place = np.searchsorted(side, flat)
+                place[place == len(side)] = 0
+                found = side[place] == flat
+                x = np.full((len(rows), len(side)), -np.inf)
+                # Repeats of an item and model: the largest score counts.
+                np.maximum.at(x, (item[found], place[found]), score[found])
+                has = x > -np.inf
+                sides.append((np.where(has, x - np.array(list(shift.values())), 0.0), has.astype(float)))
+            (x, in_x), (y, in_y) = sides
+            part = np.stack([in_x.T @ in_y, x.T @ in_y, in_x.T @ y, (x * x).T @ in_y, in_x.T @ (y * y), x.T @ y])
+            if group in sums:
+                sums[group] += part
+            else:
+                if len(sums) >= HELD_SUMS:
+                    yield from sent(next(iter(sums)))
+                sums[group] = part
+    for group in list(sums):
+        yield from sent(group)
+
+
+#: Models of a block; six sums of all pairs of two blocks are 12 MB.
+BLOCK_MODELS = 512
+#: Pairs of blocks, each of a group, that a task sums up at once.
+HELD_SUMS = 16
+#: Items with both scores, sums, sums of squares and of products.
+GRAM = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def model_correlations(
-    scores: DataFrame, key: str, models: list[str] | None = None, by: Sequence[str] = ("architecture",)
+    scores: DataFrame, key: str, models: list[str] | None = None, by: Sequence[str] = ("architecture",), block: int = BLOCK_MODELS
 ) -> DataFrame:
     """(by..., model_a, model_b, corr) of every ordered pair of a group's models, itself included.
 
-    Scores are set side by side per item, then all pairs are correlated in one
-    aggregation: no row is multiplied by the number of pairs. Models are few; without a
-    list of names they are looked up. Pairs with a model that has no score in the group are left out.
+    An item's scores become one vector; tasks sum the outer products of their items' vectors, with the
+    number of items that have both scores, and only those sums move. The plan does not depend on
+    the number of models. Beyond ``block`` models the vectors are dealt once for each pair of blocks.
+    Null and NaN scores are missing; items scored by only one of a pair do not count for it. Null where a
+    score never varies, or where no two items have both. Without a list of names all models are taken. Models and groups are looked up when called.
     """
-    if models is None:
-        models = [r.model_id for r in scores.select("model_id").distinct().orderBy("model_id").collect()]
-    wide = scores.groupBy(*by, key).agg(
-        *[F.max(F.when(F.col("model_id") == m, F.col("score"))).alias(f"m{i}") for i, m in enumerate(models)]
-    )
-    pairs = [(i, j) for i in range(len(models)) for j in range(i, len(models))]
-
-    def correlation(i: int, j: int) -> Column:
-        # Null, not an error, where a score never varies.
-        both = F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull()
-        x, y = F.when(both, F.col(f"m{i}")), F.when(both, F.col(f"m{j}"))
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{i}_{j}")
-
-    present = [F.count(f"m{i}").alias(f"n{i}") for i in range(len(models))]
-    row = wide.groupBy(*by).agg(*[correlation(i, j) for i, j in pairs], *present)
-    cells = [
-        F.when(
-            (F.col(f"n{i}") > 0) & (F.col(f"n{j}") > 0),
-            F.struct(F.lit(models[a]).alias("model_a"), F.lit(models[b]).alias("model_b"), F.col(f"c{i}_{j}").alias("corr")),
-        )
-        for i, j in pairs
-        for a, b in dict.fromkeys([(i, j), (j, i)])
-    ]
-    return row.select(*by, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    spark = scores.sparkSession
+    rows = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("model_id").isNotNull())
+    if models is not None:
+        rows = rows.where(F.col("model_id").isin(models))
+    found = _scored_models(rows, by).collect()
+    names = sorted({r.model_id for r in found})
+    number = {name: n for n, name in enumerate(names)}
+    blocks = -(-len(names) // block) or 1
+    # For each group and pair of blocks the models of either, with a middle score.
+    own: dict[tuple, dict[int, float]] = {}
+    for r in found:
+        n = number[r.model_id]
+        own.setdefault((*r[: len(by)], n // block), {})[n] = r.middle
+    own = {k: dict(sorted(v.items())) for k, v in own.items()}
+    middles = {(*a[:-1], a[-1], b[-1]): (own[a], own[b]) for a in own for b in own if a[:-1] == b[:-1] and a[-1] <= b[-1]}
+    numbers = spark.createDataFrame(list(number.items()), "model_id string, no int")
+    items = rows.join(F.broadcast(numbers), "model_id").groupBy(*by, key).agg(F.collect_list(F.struct("no", F.col("score").cast("double").alias("score"))).alias("x"))
+    if blocks == 1:
+        dealt = items.withColumns({"bi": F.lit(0), "bj": F.lit(0)})
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("bi"), F.lit(j).alias("bj")) for i in range(blocks) for j in range(i, blocks)])
+        dealt = items.select(*by, key, "x", F.inline(pairs))
+        dealt = dealt.withColumn("x", F.filter("x", lambda x: (F.floor(x["no"] / block) == F.col("bi")) | (F.floor(x["no"] / block) == F.col("bj"))))
+        dealt = dealt.where(F.size("x") > 0).repartition(*by, "bi", "bj", F.pmod(F.xxhash64(key), F.lit(64)))
+    vectors = dealt.select(*by, "bi", "bj", F.col("x.no").alias("models"), F.col("x.score").alias("scores"))
+    kinds = "".join(f"`{c}` {scores.schema[c].dataType.simpleString()}, " for c in by)
+    schema = f"{kinds}a int, b array<int>, {', '.join(f'{c} array<double>' for c in GRAM)}"
+    parts = map_arrow(vectors, partial(_gram, middles=spark.sparkContext.broadcast(middles), n_by=len(by)), schema)
+    single = parts.select(*by, "a", F.inline(F.arrays_zip("b", *GRAM))).where("a <= b")
+    total = single.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in GRAM])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in GRAM)
+    spread = [F.when(q - F.try_divide(s * s, n) > 1e-13 * q, q - F.try_divide(s * s, n)) for q, s in ((sxx, sx), (syy, sy))]
+    corr = F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(spread[0]) * F.sqrt(spread[1]))
+    corr = F.when(F.col("a") == F.col("b"), F.when(spread[0].isNotNull(), 1.0)).otherwise(corr)
+    ways = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    both = total.select(*by, corr.alias("corr"), F.explode(F.when(F.col("a") == F.col("b"), F.slice(ways, 1, 1)).otherwise(ways)).alias("w"))
+    of_a, of_b = (F.broadcast(numbers.select(F.col("no").alias(f"no_{x}"), F.col("model_id").alias(f"model_{x}"))) for x in "ab")
+    named = both.join(of_a, F.col("w.x") == F.col("no_a")).join(of_b, F.col("w.y") == F.col("no_b"))
+    return named.select(*by, "model_a", "model_b", "corr")
 
 
 def representativeness(

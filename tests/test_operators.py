@@ -1,6 +1,7 @@
 import gzip
 import json
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -555,3 +556,44 @@ def test_normalised_counts(spark, rows):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, None)], "y int, c string")
     assert rows(stats.normalised_counts(df, ["y", "c"])) == [(1, "a", 2, 2 / 3), (1, "b", 1, 1 / 3), (2, "a", 1, 1.0)]
     assert rows(stats.normalised_counts(df, ["y", "c"], norm_axis=1)) == [(1, "a", 2, 1.0), (1, "b", 1, 1.0), (2, "a", 1, 0.5)]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_correlations_against_pandas(spark, block):
+    """Missing, repeated, constant and null scores, a null group, and models in several blocks."""
+    rnd = np.random.default_rng(6)
+    rows = [(g, f"m{m}", k, float(rnd.normal() * (m + 1) + 1e6)) for g in ("x", "y", None) for m in range(8) for k in range(40) if rnd.random() < 0.8 and (g, m) != ("y", 7)]
+    rows += [("x", "flat", k, 0.3) for k in range(40)] + [("x", "once", 1, 0.5), ("x", "m0", 99, None), ("x", "m1", 99, float("nan")), ("x", "m2", 3, -1e9)]
+    df = spark.createDataFrame(rows, "architecture string, model_id string, k int, score double")
+    got = {(r.architecture, r.model_a, r.model_b): r["corr"] for r in ensembles.model_correlations(df, "k", block=block).collect()}
+    frame = pd.DataFrame(rows, columns=["g", "m", "k", "s"])
+    expected = {}
+    for g, own in [(g, frame[frame.g.isna()] if g is None else frame[frame.g == g]) for g in ("x", "y", None)]:
+        corr = own.dropna(subset="s").groupby(["k", "m"]).s.max().unstack().corr()
+        expected |= {(g, a, b): (None if np.isnan(corr.loc[a, b]) else corr.loc[a, b]) for a in corr for b in corr}
+    assert set(got) == set(expected)
+    for pair, corr in expected.items():
+        assert got[pair] == (None if corr is None else pytest.approx(corr, abs=1e-6)), pair
+
+
+def test_many_models_in_one_plan(spark):
+    items, models = 50, 210
+    rows = spark.range(items).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(models))).alias("m"))
+    rows = rows.select(F.lit("a").alias("architecture"), F.concat(F.lit("m"), "m").alias("model_id"), "k", (F.crc32(F.concat_ws(":", "k", "m").cast("binary")) % 1000).cast("double").alias("score"))
+    begin = time.time()
+    assert ensembles.model_correlations(rows, "k").count() == models * models
+    assert time.time() - begin < 60
+
+
+def test_exact_quartiles_of_anything(spark):
+    values = [0.0, -0.0, 1e-308, -1e-308, 5e-324, 1.5, 1.5, 1.5, -7.25, 1e308, -1e308, float("inf"), float("-inf"), 3.0]
+    rows = [(None, v) for v in values] + [("one", 2.0)] + [("same", 4.0)] * 9 + [("gone", None), ("nan", float("nan"))] + [("big", float(x)) for x in np.random.default_rng(3).normal(size=3001)]
+    got = {r.g: r for r in summary.describe_large(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert set(got) == {None, "one", "same", "big"}
+    for group, row in got.items():
+        own = sorted(v for g, v in rows if g == group and v is not None)
+        for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
+            low = math.floor(q * (len(own) - 1))
+            high = min(low + 1, len(own) - 1)
+            part = q * (len(own) - 1) - low
+            assert row[name] == pytest.approx(own[low] + (own[high] - own[low]) * part)
