@@ -107,6 +107,8 @@ def _gram(batches: Iterator[pa.RecordBatch], middles, n_by: int) -> Iterator[pa.
         keys = list(zip(*(c.to_pylist() for c in batch.columns[: n_by + 2])))
         models, values = batch.column("models"), batch.column("scores")
         for group in dict.fromkeys(keys):
+            if group not in shifts:  # a block of which the group has no models
+                continue
             own, other = (np.array(list(x)) for x in shifts[group])
             rows = pa.array([i for i, k in enumerate(keys) if k == group])
             flat, sizes = models.take(rows).flatten().to_numpy(), models.take(rows).value_lengths().to_numpy()

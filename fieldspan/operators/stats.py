@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspan.session import materialise
+
 OTHERS = "others"
 
 
@@ -64,8 +67,8 @@ def entity_weights(
 
 
 def harmonised(df: DataFrame, flavor: str) -> DataFrame:
-    """Column names without the flavor's prefix or suffix."""
-    return df.toDF(*[c.replace(f"{flavor}_", "").replace(f"_{flavor}", "") for c in df.columns])
+    """Column names without the flavor as prefix or suffix."""
+    return df.toDF(*[c.removeprefix(f"{flavor}_").removesuffix(f"_{flavor}") for c in df.columns])
 
 
 def geo_union(
@@ -81,39 +84,51 @@ def geo_union(
     return harmonised(inventor, "inventor").unionByName(harmonised(applicant, "assignee"), allowMissingColumns=True)
 
 
-def count_by(df: DataFrame, *groups: str, dated: bool = True) -> DataFrame:
-    """Rows per group, rows without a year left out when ``dated``."""
-    rows = df.filter(F.col("publication_year") > 0) if dated else df
-    return rows.dropna(subset=list(groups)).groupBy(*groups).agg(F.count(F.lit(1)).alias("count"))
-
-
-def country_date_counts(publications: DataFrame) -> dict[str, DataFrame]:
-    """Counts by country, year, year and level, year and country (plain and normalised)."""
-    dated = publications.filter(F.col("publication_year") > 0)
-    return {
-        "country": count_by(publications, "country_code", dated=False),
-        "year": count_by(publications, "publication_year"),
-        "year_level": count_by(publications, "publication_year", "expansion_level"),
-        "year_country": count_by(publications, "publication_year", "country_code"),
-        "year_country_normalised": normalised_counts(dated, ["publication_year", "country_code"], norm_axis=1),
-    }
-
+def country_date_counts(publications: DataFrame) -> DataFrame:
+    """(kind, publication_year, expansion_level, country_code, count, normalized_count): all counts as one table.
 
-def entity_counts(entities: DataFrame, flavor: str, n_keep: int = 10) -> dict[str, DataFrame]:
-    """Weighted counts by the entity's country and name, in all and by year."""
-    weight = F.sum(f"nb_{flavor}")
-    country, name = f"{flavor}_country", f"{flavor}_name"
-    dense = densify(densify(entities, country, weight, n_keep), name, weight, n_keep)
-
-    def totals(*groups: str) -> DataFrame:
-        return dense.dropna(subset=list(groups)).groupBy(*groups).agg(weight.alias("count"))
-
-    return {
-        "country": totals(country),
-        "year_country": totals("publication_year", country),
-        "name": totals(name),
-        "year_name": totals("publication_year", name),
-    }
+    Kinds: country, year, year_level, year_country, and year_country_normalised with the ratio to the
+    country's best year. Columns that a kind does not group by are null. Rows without a positive
+    year count for their country only; groups with a missing value are left out. The
+    publications are counted once, by all three columns; the rest adds up those counts.
+    """
+    year = F.when(F.col("publication_year") > 0, F.col("publication_year")).alias("publication_year")
+    columns = ["publication_year", "expansion_level", "country_code"]
+    finest = publications.select(year, *columns[1:]).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    sets = {"country": columns[2:], "year": columns[:1], "year_level": columns[:2], "year_country": [columns[0], columns[2]]}
+    counted = _by_sets(finest, columns, sets, F.sum("n"))
+    best = F.max("count").over(Window.partitionBy("kind", "country_code"))
+    ratio = counted.withColumn("best", best).where("kind = 'year_country'")
+    ratio = ratio.select(F.lit("year_country_normalised").alias("kind"), *columns, "count", F.try_divide(F.col("count"), F.col("best")).alias("normalized_count"))
+    return counted.withColumn("normalized_count", F.lit(None).cast("double")).unionByName(ratio)
+
+
+def _by_sets(df: DataFrame, columns: Sequence[str], sets: dict[str, list[str]], measure: Column) -> DataFrame:
+    """(kind, columns..., count) of several groupings in one aggregation; groups with a null among their columns are left out."""
+    bit = {name: 1 << (len(columns) - 1 - i) for i, name in enumerate(columns)}
+    grouped = df.groupingSets([[F.col(c) for c in own] for own in sets.values()], *columns)
+    counted = grouped.agg(F.grouping_id().alias("__absent"), measure.alias("count"))
+    kind, whole = F.lit(None).cast("string"), F.lit(False)
+    for name, own in sets.items():
+        here = F.col("__absent") == sum(b for c, b in bit.items() if c not in own)
+        kind = F.when(here, F.lit(name)).otherwise(kind)
+        whole = F.when(here, reduce(Column.__and__, [F.col(c).isNotNull() for c in own])).otherwise(whole)
+    return counted.where(whole).select(kind.alias("kind"), *columns, "count")
+
+
+def entity_counts(entities: DataFrame, flavor: str, n_keep: int = 10) -> DataFrame:
+    """(kind, publication_year, country, name, count): weighted counts by the entity's country and name, in all and by year.
+
+    Countries and names beyond the ``n_keep`` of largest weight are others. The entities are
+    summed once, by year, country and name, into a staged table; what to keep and all
+    counts come from it. Rows without a year have no part in counts by year. Runs when called.
+    """
+    columns = ["publication_year", "country", "name"]
+    weighed = entities.select("publication_year", F.col(f"{flavor}_country").alias("country"), F.col(f"{flavor}_name").alias("name"), F.col(f"nb_{flavor}").alias("w"))
+    finest = materialise(weighed.groupBy(*columns).agg(F.sum("w").alias("w")))
+    dense = densify(densify(finest, "country", F.sum("w"), n_keep), "name", F.sum("w"), n_keep)
+    sets = {"country": ["country"], "year_country": ["publication_year", "country"], "name": ["name"], "year_name": ["publication_year", "name"]}
+    return _by_sets(dense, columns, sets, F.sum("w"))
 
 
 def place_counts(places: DataFrame, ordered: bool = False) -> DataFrame:

@@ -224,24 +224,10 @@ _DATED = """SELECT e.expansion_level, p.country_code, d // 10000 AS publication_
     )
 )
 def counts_country_year(spark: SparkSession, d: str) -> DataFrame:
-    parts = []
-    for kind, counted in stats.country_date_counts(_dated(spark, d)).items():
-        groups = [n for n in counted.columns if n not in ("count", "normalized_count")]
-        second = F.col(groups[1]) if len(groups) > 1 else F.lit(None)
-        share = F.round("normalized_count", 6) if "normalized_count" in counted.columns else F.lit(None)
-        parts.append(
-            counted.select(
-                F.lit(kind).alias("kind"),
-                F.col(groups[0]).cast("string").alias("first"),
-                second.cast("string").alias("second"),
-                "count",
-                share.cast("double").alias("normalized_count"),
-            )
-        )
-    table_ = parts[0]
-    for part in parts[1:]:
-        table_ = table_.unionByName(part)
-    return table_
+    counted = stats.country_date_counts(_dated(spark, d))
+    first = F.when(F.col("kind") == "country", F.col("country_code")).otherwise(F.col("publication_year").cast("string"))
+    second = F.when(F.col("kind") != "country", F.coalesce("expansion_level", "country_code"))
+    return counted.select("kind", first.alias("first"), second.alias("second"), "count", F.round("normalized_count", 6).alias("normalized_count"))
 
 
 @query(
@@ -322,21 +308,8 @@ def entity_weights(spark: SparkSession, d: str) -> DataFrame:
 )
 def entity_counts(spark: SparkSession, d: str) -> DataFrame:
     entities = stats.entity_weights(_inventors(spark, d), _years(spark, d), "inventor")
-    parts = []
-    for kind, counted in stats.entity_counts(entities, "inventor").items():
-        year = F.col("publication_year") if kind.startswith("year") else F.lit(None).cast("bigint")
-        parts.append(
-            counted.select(
-                F.lit(kind).alias("kind"),
-                year.alias("publication_year"),
-                F.col(f"inventor_{kind.split('_')[-1]}").alias("entity"),
-                F.round("count", 4).alias("count"),
-            )
-        )
-    table_ = parts[0]
-    for part in parts[1:]:
-        table_ = table_.unionByName(part)
-    return table_
+    counted = stats.entity_counts(entities, "inventor")
+    return counted.select("kind", "publication_year", F.coalesce("country", "name").alias("entity"), F.round("count", 4).alias("count"))
 
 
 def _geo(spark: SparkSession, d: str) -> DataFrame:
