@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspan.functions.copies import spread_out
+
 _HASH, _ROW, _BUCKET, _STRATUM = "__hash", "__row", "__bucket", "__stratum"
 _N, _QUOTA, _BEFORE, _NEED = "__n", "__quota", "__before", "__need"
-_CUT_HASH, _CUT_ROW, _CUT_N = "__cut_hash", "__cut_row", "__cut_n"
+_CUT_HASH, _CUT_ROW, _CUT_N, _COPY = "__cut_hash", "__cut_row", "__cut_n", "__copy"
 
 #: Hex digits of a hash bucket: a million buckets, so the one that holds a cut has a millionth of the rows.
 BUCKET_DIGITS = 5
@@ -103,9 +105,8 @@ def _marked(placed: DataFrame, cols: list[str], by: list[str], flag: str) -> Dat
     inside = F.col(_CUT_HASH).isNull() | (
         F.struct(_HASH, _ROW) < F.struct(F.col(_CUT_HASH).alias(_HASH), F.col(_CUT_ROW).alias(_ROW))
     )
-    chosen = F.array_repeat(F.lit(True), F.col(_NEED).cast("int"))
-    left_out = F.array_repeat(F.lit(False), (F.col(_CUT_N) - F.col(_NEED)).cast("int"))
-    tied = placed.filter(on_cut).dropDuplicates(by or [_HASH, _ROW]).withColumn(flag, F.explode(F.concat(chosen, left_out)))
+    tied = spread_out(placed.filter(on_cut).dropDuplicates(by or [_HASH, _ROW]), _CUT_N, _COPY)
+    tied = tied.withColumn(flag, F.col(_COPY) <= F.col(_NEED))
     return placed.filter(~on_cut).select(*cols, inside.alias(flag)).unionByName(tied.select(*cols, flag))
 
 

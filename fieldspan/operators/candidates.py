@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspan.functions.copies import written_out
 from fieldspan.functions.draws import fresh_seed, unit_draw
 from fieldspan.functions.predicates import has_prefix, holds_keyword
-from fieldspan.operators.corpus import alone_without_family, listed_ids
+from fieldspan.operators.corpus import alone_without_family, listed_ids, smallest_texts
+from fieldspan.session import materialise
 
 _CANDIDATE = ["publication_number", "title", "abstract"]
 
@@ -22,13 +24,11 @@ def similar_candidates(research: DataFrame, listed: DataFrame) -> DataFrame:
     """
     named = research.join(listed.select("publication_number").distinct(), "publication_number", "left_semi")
     similar = named.select(F.explode("similar").alias("s")).select(F.col("s.publication_number"))
-    # Repeats of a hot item are summed before they meet the texts.
-    counted = similar.filter(F.col("publication_number").isNotNull()).groupBy("publication_number").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    found = research.select(*_CANDIDATE).join(counted, "publication_number")
-    repeated = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
-    return repeated.select(*_CANDIDATE, F.lit("patent").alias("match"))
+    # Repeats of a hot item are summed before they meet the texts, and written out in blocks of copies.
+    counted = similar.filter(F.col("publication_number").isNotNull()).groupBy("publication_number").agg(F.count(F.lit(1)).alias("n"))
+    copies = written_out(materialise(counted), "n", "__copy")
+    found = research.select(*_CANDIDATE).join(copies.select("publication_number"), "publication_number")
+    return found.select(*_CANDIDATE, F.lit("patent").alias("match"))
 
 
 def keyword_candidates(research: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -87,17 +87,20 @@ def counted_candidates(research: DataFrame, listed: DataFrame, keywords: Sequenc
 
     Keyword and class hits come from one scan; an item named many times is one row.
     """
-    named = research.join(listed.select("publication_number").distinct(), "publication_number", "left_semi")
-    similar = named.select(F.explode("similar").alias("s")).select(F.col("s.publication_number"))
-    similar = similar.filter(F.col("publication_number").isNotNull()).groupBy("publication_number").agg(F.count(F.lit(1)).alias("n"))
-    # An item is found as often as it is named and has rows.
-    rows = research.groupBy("publication_number").agg(F.count(F.lit(1)).alias("rows"))
-    similar = similar.join(rows, "publication_number").select("publication_number", F.lit("patent").alias("match"), (F.col("n") * F.col("rows")).alias("n"))
+    asked = listed.select("publication_number").distinct().withColumn("__asked", F.lit(True))
     classes = F.coalesce(F.size(F.filter(F.col("cpc"), lambda c: has_prefix(c["code"], prefixes))), F.lit(0)).cast("bigint")
     words = F.coalesce(holds_keyword("abstract", keywords), F.lit(False)).cast("bigint")
-    kinds = F.array(F.struct(F.lit("cpc").alias("match"), classes.alias("n")), F.struct(F.lit("keyword").alias("match"), words.alias("n")))
-    hits = research.select("publication_number", F.inline(F.filter(kinds, lambda k: k["n"] > 0)))
-    return similar.unionByName(hits).groupBy("publication_number", "match").agg(F.sum("n").alias("n"))
+    named = F.when(F.col("__asked"), F.transform("similar", lambda x: x["publication_number"]))
+    # The only look at the texts; all else reads these narrow rows.
+    facts = research.join(asked, "publication_number", "left").select("publication_number", named.alias("named"), classes.alias("cpc"), words.alias("keyword"))
+    facts = materialise(facts)
+    similar = facts.select(F.explode("named").alias("publication_number")).where("publication_number is not null")
+    similar = similar.groupBy("publication_number").agg(F.count(F.lit(1)).alias("n"))
+    # An item is found as often as it is named and has rows.
+    rows = facts.groupBy("publication_number").agg(F.count(F.lit(1)).alias("rows"), F.sum("cpc").alias("cpc"), F.sum("keyword").alias("keyword"))
+    found = rows.join(similar, "publication_number", "left").withColumn("patent", F.col("n") * F.col("rows"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("match"), F.col(kind).alias("n")) for kind in ("patent", "cpc", "keyword")])
+    return found.select("publication_number", F.inline(F.filter(kinds, lambda k: k["n"] > 0)))
 
 
 def candidate_families(counted: DataFrame, publications: DataFrame, research: DataFrame) -> DataFrame:
@@ -110,12 +113,12 @@ def candidate_families(counted: DataFrame, publications: DataFrame, research: Da
         F.array_join(F.array_sort(F.collect_set("match")), ",").alias("match"),
         F.sum("n").alias("match_number"),
     )
-    texts = research.select("publication_number", F.struct("title", "abstract").alias("t"))
-    found = grouped.join(texts, "publication_number").groupBy("family_id", "publication_number", "__alone", "ids", "match", "match_number").agg(F.min("t").alias("t"))
-    return found.select(
+    grouped = materialise(grouped.withColumn("__family", F.monotonically_increasing_id()))
+    texts = smallest_texts(grouped.select("__family", "publication_number"), "__family", research, F.struct("title", "abstract"))
+    return grouped.join(texts, "__family").select(
         "family_id",
         F.col("ids").alias("publication_number"),
-        F.concat("t.title", F.lit("\n\n"), "t.abstract").alias("text"),
+        F.concat("value.title", F.lit("\n\n"), "value.abstract").alias("text"),
         "match",
         "match_number",
     )
@@ -130,9 +133,11 @@ def sample_candidates(
 ) -> DataFrame:
     """About ``size_bin`` candidates per kind of match; smaller kinds are kept whole.
 
-    The bins are the sets of sources. The random order is a global sort and therefore only made on request.
+    The bins are the sets of sources. The random order is a global sort and therefore only made on request. The
+    candidates are staged, since they are counted before they are drawn.
     """
     seed = fresh_seed(draw_seed)
+    candidates = materialise(candidates)
     bins = candidates.filter(F.col("match").isNotNull()).groupBy("match").agg(F.count("match").alias("nb_bin"))
     total = bins.agg(F.sum("nb_bin")).scalar()
     bins = bins.select("match", "nb_bin", total.alias("nb_total"))

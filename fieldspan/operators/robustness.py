@@ -125,14 +125,18 @@ def expand_runs(
     )
 
     # Universe side: years of each run's window, then one histogram for all of them.
-    windows = (
+    per_year = (
         publications.select(key, F.expr("publication_date div 10000").alias("year")).join(members, key)
-        .select("year", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))), *bits.words)
-        .select("year", F.explode(bits.listed()).alias("run_id"))
-        .groupBy("run_id").agg(
-            F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY year)").cast("bigint").alias("p25"),
-            F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY year)").cast("bigint").alias("p75"),
-        )
+        .groupBy("year", *bits.words).agg(F.sum("copies").alias("n"))
+        .select("year", "n", F.explode(bits.listed()).alias("run_id"))
+        .filter(F.col("year").isNotNull()).groupBy("run_id", "year").agg(F.sum("n").alias("n"))
+    )
+    # Quartiles from the counts of a run's years; the windows see one row per year.
+    of_run = Window.partitionBy("run_id")
+    upto = F.sum("n").over(of_run.orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = per_year.select("run_id", "year", upto.alias("upto"), F.sum("n").over(of_run).alias("all"))
+    windows = ranked.groupBy("run_id").agg(
+        *[F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("year"))).alias(name) for name, share in (("p25", 0.25), ("p75", 0.75))]
     )
     run_years = windows.select("run_id", "p75", F.explode(F.sequence("p25", "p75")).alias("year"))
     year = F.expr("publication_date div 10000").alias("year")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspan.functions.copies import written_out
 from fieldspan.functions.draws import draw_exact, fresh_seed, mark_exact
 from fieldspan.functions.predicates import is_labelled
 from fieldspan.operators.expansion import MANUAL, RANDOM_NEGATIVE, SEED
@@ -18,7 +19,7 @@ SEED_SHARE_LOW, SEED_SHARE_HIGH = 0.1, 0.2
 TEST_SHARE_HIGH, TEST_SHARE_LOW = 0.5, 0.2
 EMPTY_TEXTS = ["", "\n", "\n\n"]
 
-_MEMBER, _TEXT, _TIMES = "__member", "__text", "__times"
+_MEMBER, _TEXT, _TIMES, _COPY = "__member", "__text", "__times", "__copy"
 
 
 def training_table(
@@ -87,7 +88,7 @@ def expansion_texts(
 
 def _repeated(drawn: DataFrame) -> DataFrame:
     """Every row as often as it was drawn."""
-    return drawn.withColumn(_TIMES, F.explode(F.sequence(F.lit(1), F.col(_TIMES).cast("int"))))
+    return written_out(drawn, _TIMES, _COPY).drop(_COPY)
 
 
 def join_tables(

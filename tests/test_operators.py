@@ -2,6 +2,7 @@ import gzip
 import json
 import math
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from fieldspan.functions import countries, predicates
+from fieldspan.functions import copies, countries, predicates
 from fieldspan.operators import annotations, candidates, classify, corpus, ensembles, features, ngrams, stats, summary, training
 from fieldspan.sources import files, schemas
 from fieldspan.streaming.scoring import score_new_files
@@ -597,3 +598,76 @@ def test_exact_quartiles_of_anything(spark):
             high = min(low + 1, len(own) - 1)
             part = q * (len(own) - 1) - low
             assert row[name] == pytest.approx(own[low] + (own[high] - own[low]) * part)
+
+
+def test_copies_are_written_in_parallel(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 0), ("c", None), ("d", 25), ("e", 10), ("f", -3)], "k string, n long")
+    for made in (copies.written_out(rows, "n", "i", block=10), copies.spread_out(rows, "n", "i", block=10)):
+        found = {}
+        for r in made.collect():
+            found.setdefault(r.k, []).append(r.i)
+        assert {k: sorted(v) for k, v in found.items()} == {"a": [1], "d": list(range(1, 26)), "e": list(range(1, 11))}
+    hot = copies.written_out(spark.createDataFrame([("hot", 10_000_000)], "k string, n long"), "n", "i")
+    per_task = hot.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("i").alias("d")).collect()
+    assert sum(r.n for r in per_task) == sum(r.d for r in per_task) == 10_000_000
+    assert max(r.n for r in per_task) < 6_000_000
+
+
+def test_counts_of_one_aggregation(spark, rows):
+    given = [("US", 2000, "SEED"), ("US", 2000, "PC"), ("US", 2001, "PC"), ("FR", None, "PC"), ("FR", 0, "PC"), (None, 2000, "SEED"), ("DE", 2001, None)]
+    counted = stats.country_date_counts(spark.createDataFrame(given, "country_code string, publication_year long, expansion_level string"))
+    found = {}
+    for r in counted.collect():
+        found.setdefault(r.kind, {})[tuple(x for x in (r.publication_year, r.expansion_level, r.country_code) if x is not None)] = (r["count"], r.normalized_count)
+    assert found["country"] == {("US",): (3, None), ("FR",): (2, None), ("DE",): (1, None)}
+    assert found["year"] == {(2000,): (3, None), (2001,): (2, None)}
+    assert found["year_level"] == {(2000, "SEED"): (2, None), (2000, "PC"): (1, None), (2001, "PC"): (1, None)}
+    assert found["year_country"] == {(2000, "US"): (2, None), (2001, "US"): (1, None), (2001, "DE"): (1, None)}
+    assert found["year_country_normalised"] == {(2000, "US"): (2, 1.0), (2001, "US"): (1, 0.5), (2001, "DE"): (1, 1.0)}
+    entities = spark.createDataFrame([(2000, "A", "x", 1.0), (2000, "B", "y", 0.5), (None, "A", "x", 2.0), (2001, None, "", 4.0), (2001, "C", "z", 0.1)], "publication_year long, inventor_country string, inventor_name string, nb_inventor double")
+    counts = {(r.kind, r.publication_year, r.country, r["name"]): round(r["count"], 6) for r in stats.entity_counts(entities, "inventor", n_keep=2).collect()}
+    assert counts == {
+        ("country", None, "A", None): 3.0, ("country", None, "B", None): 0.5, ("country", None, "others", None): 4.1,
+        ("year_country", 2000, "A", None): 1.0, ("year_country", 2000, "B", None): 0.5, ("year_country", 2001, "others", None): 4.1,
+        ("name", None, None, "x"): 3.0, ("name", None, None, "y"): 0.5, ("name", None, None, "others"): 4.1,
+        ("year_name", 2000, None, "x"): 1.0, ("year_name", 2000, None, "y"): 0.5, ("year_name", 2001, None, "others"): 4.1,
+    }
+
+
+def test_smallest_text_of_a_group(spark, rows):
+    wanted = spark.createDataFrame([(1, "p1"), (1, "p2"), (2, "p3"), (3, "p4"), (4, "gone")], "g int, publication_number string")
+    texts = spark.createDataFrame([("p1", "b"), ("p2", "a"), ("p2", "c"), ("p3", "z"), ("p4", None)], "publication_number string, t string")
+    assert rows(corpus.smallest_texts(wanted, "g", texts, F.col("t"))) == sorted([(1, "a"), (2, "z"), (3, None)], key=repr)
+
+
+def test_abstract_is_the_smallest_however_alike_they_begin(spark):
+    pubs = spark.createDataFrame([("p1", 1), ("p2", 1), ("p3", 1), ("p4", None), ("p5", 2)], "publication_number string, family_id int")
+    texts = spark.createDataFrame([("p1", "same beginning b"), ("p2", "same beginning a"), ("p2", "same"), ("p3", "same beginning é"), ("p4", "x"), ("p5", "")], "publication_number string, abstract string")
+    found = {r.publication_number: (r.abstract, r.has_abstract) for r in corpus.family_abstract(pubs, texts).collect()}
+    assert found == {"p1,p2,p3": ("same", True), "p4": (None, False), "p5": (None, False)}
+    late = texts.where("abstract <> 'same'")
+    assert {r.abstract for r in corpus.family_abstract(pubs, late).collect()} == {"same beginning a", None}
+    high = spark.createDataFrame([("p1", "\U0001f600"), ("p2", "～"), ("p3", "a")], "publication_number string, abstract string")
+    assert {r.abstract for r in corpus.family_abstract(pubs, high).collect()} == {"a", None}
+
+
+def test_table_sink(spark, rows):
+    df = spark.createDataFrame([(i, i % 7) for i in range(100)], "k long, v long")
+    name, plain = (f"sink_{uuid.uuid4().hex}" for _ in range(2))
+    try:
+        files.save_table(df, name, buckets=6, key="k")
+        assert rows(spark.table(name)) == rows(df)
+        other = spark.range(40).selectExpr("id AS k", "id AS w")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = spark.table(name).join(other, "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 40 and plan.count("Exchange hashpartitioning") == 1  # only the other side moves
+        files.save_table(df, plain)
+        files.save_table(df, plain, append=True)
+        assert spark.table(plain).count() == 200
+        files.save_table(df.limit(3), plain)
+        assert spark.table(plain).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for table in (name, plain):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
