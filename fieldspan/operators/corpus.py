@@ -18,23 +18,25 @@ def listed_ids(ids: Column, copies: Column | None = None) -> Column:
     return F.array_join(F.array_sort(F.flatten(F.collect_list(repeated))), ",")
 
 
-def smallest_texts(wanted: DataFrame, group: str, texts: DataFrame, value: Column, key: str = "publication_number") -> DataFrame:
+def smallest_texts(wanted: DataFrame, group: str, texts: DataFrame, value: Column, key: str = "publication_number", rows: str | None = None) -> DataFrame:
     """(group, value): for each group of (group, key) the smallest value of its keys' rows in ``texts``.
 
-    Rows are counted first, without their texts. A group with one row gets its value by
-    a join alone; only groups with several compare values. Runs when called.
+    Rows are counted first, without their texts (or ``rows`` of a key are given). A group with
+    one row gets its value by a join alone; values are compared only where some group has several. Runs when called.
     """
-    rows = texts.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    sized = wanted.join(rows, key)
-    total = sized.groupBy(group).agg(F.sum("__n").alias("__rows"))
-    sized = materialise(sized.select(group, key).join(total, group))
+    if rows is None:
+        wanted = wanted.join(texts.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)
+    sized = wanted.select(group, key, F.col(rows or "__n").alias("__n"))
+    sized = materialise(sized.join(sized.groupBy(group).agg(F.sum("__n").alias("__rows")), group).select(group, key, "__rows"))
     valued = texts.select(key, value.alias("value"))
 
     def fetched(rows: DataFrame) -> DataFrame:
         return valued.join(rows.select(group, key), key).select(group, "value")
 
-    several = fetched(sized.where("__rows > 1")).groupBy(group).agg(F.min("value").alias("value"))
-    return fetched(sized.where("__rows = 1")).unionByName(several)
+    several = sized.where("__rows > 1")
+    if several.isEmpty():
+        return fetched(sized)
+    return fetched(sized.where("__rows = 1")).unionByName(fetched(several).groupBy(group).agg(F.min("value").alias("value")))
 
 
 def _families(publications: DataFrame) -> DataFrame:
@@ -63,9 +65,8 @@ def publications_family(
     has any (null when its title or abstract is). With ``strict_cross`` a publication
     lacking cpc or ipc codes contributes neither.
 
-    All roll-ups start as (family, kind, value) facts, made distinct by a hash aggregation before
-    they move; a family then gathers one list of them. Texts are no facts: the number of the
-    first publication with one is, and its text is joined to the finished families. Runs jobs when called.
+    All five roll-ups are one aggregation over (family, kind, value) facts, so the
+    family key is shuffled once; sets shrink before they move.
     """
     known = publications.filter(F.col("family_id").isNotNull())
     cpc, ipc = (F.coalesce(F.col(c), F.array()) for c in ("cpc", "ipc"))
@@ -94,39 +95,39 @@ def publications_family(
         return links.select("family_id", date, F.lit(kind).alias("kind"), F.col("other").cast("string").alias("value"))
 
     rolled = rolled.unionByName(as_facts(cited, "citation"))
-    cited_research = None
+    text = F.lit(None).cast("string")
     if research is not None:
-        cited_research = research.filter(F.size("cited_by") > 0)
-        known_research = cited_research.select("publication_number", "cited_by").join(crossover, "publication_number")
-        forward = known_research.select("family_id", F.explode("cited_by").alias("c")).select("family_id", "c.publication_number")
+        cited_research = research.filter(F.size("cited_by") > 0).join(crossover, "publication_number")
+        forward = cited_research.select("family_id", F.explode("cited_by").alias("c")).select(
+            "family_id", "c.publication_number"
+        )
         rolled = rolled.unionByName(as_facts(_cited_families(forward, crossover), "cited_by"))
-
-    distinct = rolled.groupBy("family_id", "kind", "value").agg(F.min("publication_date").alias("publication_date"))
-    facts = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("kind", "value")))
-    gathered = distinct.groupBy("family_id").agg(F.min("publication_date").alias("publication_date"), facts.alias("facts"))
+        texts = cited_research.select(
+            "family_id",
+            F.lit(None).cast("bigint").alias("publication_date"),
+            F.lit("text").alias("kind"),
+            F.concat("title", F.lit("\n"), "abstract").alias("value"),
+            F.col("publication_number").alias("first"),
+        )
+        rolled = rolled.unionByName(texts, allowMissingColumns=True)
+        text = F.min_by(F.when(F.col("kind") == "text", F.col("value")), F.when(F.col("kind") == "text", F.col("first")))
 
     def members(kind: str) -> Column:
-        return F.array_sort(F.transform(F.filter("facts", lambda f: f["kind"] == kind), lambda f: f["value"]))
+        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("value"))))
 
     def structs(kind: str, field: str) -> Column:
         return F.transform(members(kind), lambda v: F.struct(v.alias(field)))
 
-    families = gathered.select(
-        "family_id",
-        "publication_date",
+    return rolled.groupBy("family_id").agg(
+        F.min("publication_date").alias("publication_date"),
         members("publication").alias("publication_number"),
         members("country").alias("country_code"),
         structs("cpc", "code").alias("cpc"),
         structs("ipc", "code").alias("ipc"),
         structs("citation", "family_id").alias("citation"),
         structs("cited_by", "family_id").alias("cited_by"),
+        text.alias("abstract"),
     )
-    if cited_research is None:
-        return families.withColumn("abstract", F.lit(None).cast("string"))
-    first = cited_research.select("publication_number").join(crossover, "publication_number").groupBy("family_id").agg(F.min("publication_number").alias("publication_number"))
-    text = F.concat("title", F.lit("\n"), "abstract")
-    texts = smallest_texts(first, "family_id", cited_research, text)
-    return families.join(texts.withColumnRenamed("value", "abstract"), "family_id", "left")
 
 
 def alone_without_family(df: DataFrame, item: str = "publication_number") -> Column:

@@ -8,19 +8,23 @@ them out of a nested publication table; both are one projection without a shuffl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspan.functions.draws import draw_exact, fresh_seed, unit_draw
 from fieldspan.functions.predicates import holds_code, in_countries, is_labelled
-from fieldspan.session import materialise
+from fieldspan.session import bucketed, materialise
 
 # The level vocabulary.
 SEED, MANUAL, RANDOM_NEGATIVE, CLOSE_NEGATIVE = "SEED", "ANTISEED-manual", "ANTISEED-AF", "ANTISEED-AUG"
 PC = "PC"
 BACK, FOR = "BACK", "FOR"
 
+#: Links from which on a key is a hub, and hubs that may be looked up by a broadcast.
+HUB_LINKS, MOST_HUBS = 100_000, 1_000_000
+
 
 def citation_levels(depth: int) -> list[str]:
     return [f"L{i}-{kind}" for i in range(1, depth + 1) for kind in (BACK, FOR)]
@@ -162,15 +166,53 @@ def full_class_expansion(
     return class_expansion(odds, codes, key, n_pc, keep_unmatched)
 
 
-def _neighbours(frontier: DataFrame, links: DataFrame, key: str) -> DataFrame:
+class StoredLinks(NamedTuple):
+    """Links written for several rounds or runs: a table bucketed by key, and apart from it the links of hubs.
+
+    A bucket is read by one task, so a key with a large part of all links must not lie in one:
+    hubs are plain rows, joined with the few hubs that a frontier holds.
+    """
+
+    stored: DataFrame
+    hubs: DataFrame
+    hub_keys: DataFrame
+
+    def reached(self, start: DataFrame, how: str) -> DataFrame:
+        """Links of the keys in ``start``. Only ``start`` moves."""
+        known = start.join(self.hub_keys, "key", "left_semi" if how == "left_semi" else "inner")
+        return self.stored.join(start, "key", how).unionByName(self.hubs.join(F.broadcast(known), "key", how))
+
+
+def store_links(links: DataFrame, buckets: int, hub: int = HUB_LINKS) -> StoredLinks:
+    """Write links (key, target, ...) by key, for expansions that follow them more than once.
+
+    A key with more than ``hub`` links is a hub; there are at most as many as ``hub`` goes into the links, and
+    no more than ``MOST_HUBS`` of them, since a frontier's hubs are broadcast: with more, ``hub`` is doubled. Runs when called.
+    """
+    rows = links.where(F.col("key").isNotNull() & F.col("target").isNotNull())
+    counted = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hub))
+    while counted.where(F.col("__n") > hub).limit(MOST_HUBS + 1).count() > MOST_HUBS:
+        hub *= 2
+    hubs = F.broadcast(counted.where(F.col("__n") > hub).select("key"))
+    stored = bucketed(rows.join(hubs, "key", "left_anti"), "key", buckets)
+    return StoredLinks(stored, materialise(rows.join(hubs, "key", "left_semi")), counted.where(F.col("__n") > hub).select("key"))
+
+
+def follow(links: DataFrame | StoredLinks, start: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Links of the keys in ``start``, with its columns if ``how`` is inner."""
+    if isinstance(links, StoredLinks):
+        return links.reached(start, how)
+    return links.join(start, "key", how).filter(F.col("target").isNotNull())
+
+
+def _neighbours(frontier: DataFrame, links: DataFrame | StoredLinks, key: str) -> DataFrame:
     """(key, back, for): who is reached from the frontier, and in which directions.
 
     The frontier is only looked up (semi join), so it needs no distinct; the links are
-    the streamed side, which adaptive execution splits when a hub is hot. Grouping by
-    the reached key alone leaves the result ready for the next round's join.
+    the streamed side, which adaptive execution splits when a hub is hot, or lie
+    stored by key and do not move. Grouping by the reached key alone leaves the result ready for the next round's join.
     """
-    start = frontier.select(F.col(key).alias("key"))
-    reached = links.join(start, "key", "left_semi").filter(F.col("target").isNotNull())
+    reached = follow(links, frontier.select(F.col(key).alias("key")))
     return reached.groupBy(F.col("target").alias(key)).agg(
         F.max(F.col("kind") == BACK).alias("back"), F.max(F.col("kind") == FOR).alias("for")
     )
@@ -200,7 +242,7 @@ def citation_expansion(raw: DataFrame, links: DataFrame, key: str, kind: str, le
     return reached.select(key, F.lit(f"L{level}-{kind}").alias("expansion_level"))
 
 
-def full_citation_expansion(raw: DataFrame, links: DataFrame, key: str, level: int = 1) -> DataFrame:
+def full_citation_expansion(raw: DataFrame, links: DataFrame | StoredLinks, key: str, level: int = 1) -> DataFrame:
     """Both directions of one round, in one pass over the links."""
     return _as_levels(_neighbours(citation_frontier(raw, level), links, key), key, f"L{level}")
 
@@ -236,7 +278,7 @@ def expand_raw(
     labelled: DataFrame,
     publications: DataFrame,
     codes: DataFrame,
-    links: DataFrame,
+    links: DataFrame | StoredLinks,
     key: str,
     share: float | None = None,
     draw_seed: int | str | None = None,
@@ -271,7 +313,7 @@ def expand(
     labelled: DataFrame,
     publications: DataFrame,
     codes: DataFrame,
-    links: DataFrame,
+    links: DataFrame | StoredLinks,
     key: str,
     share: float | None = None,
     draw_seed: int | str | None = None,
@@ -279,7 +321,7 @@ def expand(
     odds: DataFrame | None = None,
     depth: int = 2,
 ) -> DataFrame:
-    """The full expansion, reduced to one row per key, as one lazy plan."""
+    """The full expansion, reduced to one row per key. Stages the drawn seeds and the chosen codes when called."""
     raw = expand_raw(labelled, publications, codes, links, key, share, draw_seed, n_pc, odds, depth)
     return reduce_expansion(raw, key, depth)
 

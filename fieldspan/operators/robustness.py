@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions.draws import unit_draw_of
 from fieldspan.functions.predicates import is_labelled
-from fieldspan.operators.expansion import SEED
+from fieldspan.operators.expansion import SEED, StoredLinks, follow
 from fieldspan.operators.summary import describe
 from fieldspan.session import materialise
 
@@ -88,7 +88,7 @@ def expand_runs(
     labelled: DataFrame,
     publications: DataFrame,
     codes: DataFrame,
-    links: DataFrame,
+    links: DataFrame | StoredLinks,
     key: str,
     runs: Sequence[Run],
     n_pc: int = 50,
@@ -169,7 +169,7 @@ def expand_runs(
     frontier = seeds.select(key, *bits.words).unionByName(classes).groupBy(key).agg(*bits.merged())
     for _ in range(depth):
         start = frontier.withColumnRenamed(key, "key")
-        reached = links.select("key", "target").join(start, "key").filter(F.col("target").isNotNull())
+        reached = follow(links, start, "inner")
         frontier = reached.groupBy(F.col("target").alias(key)).agg(*bits.merged())
         rows = rows.unionByName(frontier)
     return rows.groupBy(key).agg(*bits.merged())

@@ -15,6 +15,8 @@ from fieldspan.operators.expansion import MANUAL, SEED, both_directions
 from fieldspan.operators.robustness import plan_runs
 
 PUB = "publication_number"
+#: Buckets of the stored links; a multiple of the cores that follow them.
+LINK_BUCKETS = 16
 N_PC = 5
 SEED_SHARE = 0.005
 TECHNOLOGIES = {"alpha": 42, "beta": 43}

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.operators import corpus, expansion, robustness, training
+from fieldspan.operators.expansion import MANUAL, SEED
 from fieldspan.plans import corpora as c
 from fieldspan.plans.corpora import GRAPH_SQL, N_PC, PUB, RUNS, table, with_ctes
-from fieldspan.operators.expansion import MANUAL, SEED
 
 QUERIES, ORACLES = {}, {}
 BY = ["technology", "seed_share"]
@@ -227,6 +227,20 @@ def citation_l2(spark: SparkSession, d: str) -> DataFrame:
     return expansion.full_citation_expansion(_raw(spark, d, 1), c.links(spark, d), PUB, 2)
 
 
+@query(
+    _graph(
+        """SELECT k AS publication_number, 'L2-BACK' AS expansion_level FROM l2b
+        UNION ALL SELECT k, 'L2-FOR' FROM l2f""",
+        *[n for n in GRAPH_SQL if n not in ("ipc", "raw", "expansion")],
+    )
+)
+def citation_l2_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same over links stored by key, which neither round moves."""
+    links = expansion.store_links(c.links(spark, d), c.LINK_BUCKETS)
+    raw = expansion.expand_raw(c.labelled(spark, d), c.publications(spark, d), c.codes(spark, d), links, PUB, n_pc=N_PC, depth=1)
+    return expansion.full_citation_expansion(raw, links, PUB, 2)
+
+
 @query(
     _graph(
         """SELECT k AS publication_number, CASE WHEN s LIKE '%ANTISEED%' THEN 'ANTISEED' WHEN s LIKE '%SEED%' THEN 'SEED'

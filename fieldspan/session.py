@@ -85,6 +85,14 @@ def stage(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The same, as a table bucketed and sorted by a key: joins and groupings by it do not move its rows."""
+    name = f"stage_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a staged table that no later plan reads."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -234,3 +234,29 @@ def test_hot_hub_and_hot_code(spark):
     raw = table(spark, [(0, "SEED")], "key bigint, expansion_level string")
     reached = x.full_citation_expansion(raw, links, "key", 1)
     assert dict(reached.groupBy("expansion_level").count().collect()) == {"L1-FOR": n // 3, "L1-BACK": 1}
+
+
+@pytest.mark.parametrize("hub", [100_000, 3])
+def test_stored_links_do_not_move(spark, rows, hub):
+    """Two rounds over stored links, hubs apart or not, equal those over plain ones; nothing above the links is exchanged."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "a"), ("y", "x"), ("h", "a")] + [("h", f"t{i}") for i in range(9)] + [(f"s{i}", "h") for i in range(5)] + [("a", "b"), (None, "a")]
+    links = x.both_directions(spark.createDataFrame(pairs, "citing string, cited string"), "citing", "cited")
+    stored = x.store_links(links, buckets=8, hub=hub)
+    assert (stored.hub_keys.count() == 0) == (hub > 100)
+    raw = spark.createDataFrame([("a", "SEED"), ("b", "PC"), ("h", "ANTISEED-manual"), (None, "SEED")], "k string, expansion_level string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for level in (1, 2):
+            start = raw if level == 1 else first
+            found = x.full_citation_expansion(start, stored, "k", level)
+            assert rows(found.dropDuplicates()) == rows(x.full_citation_expansion(start, links, "k", level).dropDuplicates())
+            first = found
+        followed = x.follow(stored, raw.select(F.col("k").alias("key")).distinct())
+        plan = followed._jdf.queryExecution().executedPlan().toString()
+        below = [part for part in plan.split("SortMergeJoin")[1:] if "Bucketed: true" in part]
+        assert below and all("Exchange hashpartitioning" not in line for part in below for line in part.splitlines()[1:3])
+        single = spark.createDataFrame([("a", 1), ("h", 2)], "key string, m0 long")
+        inner = [x.follow(way, single, "inner").select("key", "target", "kind", "m0") for way in (stored, links)]
+        assert rows(inner[0]) == rows(inner[1])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
