@@ -109,22 +109,25 @@ def _features(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordB
 def _evidence(batches: Iterator[pa.RecordBatch], at: int, model: DocumentModel) -> Iterator[pa.RecordBatch]:
     """Every row with its probability in whole millionths, between 1 and UNIT - 1."""
     for batch in batches:
-        x = np.array([features(t) for t in utf8(batch.column(at))]).reshape(-1, len(FEATURES))
+        row = batch.column(0)
+        x = np.array([features(t) for t in utf8(row.field(at))]).reshape(-1, len(FEATURES))
         units = np.clip(np.rint(model.probability(x) * UNIT), 1, UNIT - 1).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(units)], names=batch.schema.names)
+        yield pa.RecordBatch.from_arrays([row, pa.array(units)], ["row", "evidence"])
 
 
-def with_evidence(docs: DataFrame, model: DocumentModel, text: str, name: str = "_evidence") -> DataFrame:
-    marked = docs.withColumn(name, F.lit(None).cast("long"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in marked.schema])
-    return map_arrow(marked, partial(_evidence, at=docs.columns.index(text), model=model), schema)
+def with_evidence(docs: DataFrame, model: DocumentModel, text: str) -> DataFrame:
+    """(row, evidence): the given columns stay together in ``row``, so no name of theirs meets one made here."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("evidence", T.LongType())])
+    return map_arrow(rows, partial(_evidence, at=docs.columns.index(text), model=model), schema)
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, fit_rows: int = FIT_ROWS) -> DocumentModel:
     """The document model from at most ``fit_rows`` labelled documents.
 
-    Several labels of a key are averaged and count as good from one half on. Labels or
-    keys that are null, and labels without a document, take no part.
+    Several labels of a key are averaged and count as good from one half on. Of a key's
+    repeated documents one counts, that of the least features. Labels or keys that are null, and labels
+    without a document, take no part.
     """
     stages = Stages(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_good"))
@@ -132,7 +135,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, key: str, text: str, la
     own = restrict(docs.select(key, text), known.select(key), key)
     kind = docs.schema[key].dataType.simpleString()
     rows = map_arrow(own, partial(_features, at=1), f"id {kind}, x array<double>").withColumnRenamed("id", key)
-    rows = rows.join(F.broadcast(known), key).orderBy(key, "x").limit(2 * fit_rows).toPandas()
+    rows = rows.groupBy(key).agg(F.min("x").alias("x")).join(F.broadcast(known), key).orderBy(key).toPandas()
     stages.drop("known")
     return fit_model(np.array(rows["x"].tolist()).reshape(-1, len(FEATURES)), rows["_good"].to_numpy(float))
 
@@ -160,7 +163,7 @@ def site_posteriors(evidence: DataFrame, *, host: str, path: str) -> tuple[DataF
     row per site; a null host or path is a site of its own. ``good`` sums probabilities in millionths.
     """
     stages = Stages(evidence.sparkSession)
-    paths = evidence.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum("_evidence").alias("good"))
+    paths = evidence.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum("evidence").alias("good"))
     paths = stages.keep(paths, "paths")
     hosts = stages.keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
     whole = hosts.select(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -180,7 +183,7 @@ def _logit(p):
 def judge(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", threshold: float = 0.5, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
-    """``docs`` with _evidence, _host_posterior, _path_posterior, _quality, _accepted.
+    """(row, evidence, host_posterior, path_posterior, quality, accepted): the given columns together in ``row``.
 
     1. A logistic model gives every document's probability of being good from its whole text.
     2. Hosts: the mean probability of the host's other documents, shrunk towards the global
@@ -195,38 +198,38 @@ def judge(
     partitions. Sites are aggregated before they move and broadcast only when counted to be few.
     """
     model = fit_documents(docs, labels, key=key, text=text, label=label, fit_rows=fit_rows)
-    slim = with_evidence(docs.select(host, path, text), model, text)
+    slim = with_evidence(docs.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text")), model, "text")
     stages = Stages(docs.sparkSession)
-    sites, overall = site_posteriors(slim, host=host, path=path)
-    sites = stages.keep(sites.withColumnsRenamed({"host": "_host", "path": "_path"}), "sites")
+    sites, overall = site_posteriors(slim, host="row.host", path="row.path")
+    sites = stages.keep(sites.withColumnsRenamed({"host": "site_host", "path": "site_path"}), "sites")
     few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
 
     scored = with_evidence(docs, model, text)
-    at = F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path"))
+    own_host, own_path = (F.col("row").getField(c) for c in (host, path))
+    at = own_host.eqNullSafe(F.col("site_host")) & own_path.eqNullSafe(F.col("site_path"))
     joined = scored.join(F.broadcast(sites) if few else sites, at, "left")
-    own = F.col("_evidence") / UNIT
-    host_posterior = ((F.col("host_good") - F.col("_evidence")) / UNIT + F.col("host_strength") * overall) / (F.col("host_n") - 1 + F.col("host_strength"))
-    path_posterior = ((F.col("path_good") - F.col("_evidence")) / UNIT + F.col("path_strength") * F.col("_host_posterior")) / (F.col("path_n") - 1 + F.col("path_strength"))
-    joined = joined.withColumn("_host_posterior", host_posterior).withColumn("_path_posterior", path_posterior)
-    odds = _logit(own) + _logit(F.col("_path_posterior")) - _logit(F.lit(overall))
-    joined = joined.withColumn("_quality", F.round(1 / (1 + F.exp(-odds)), 6))
-    joined = joined.withColumn("_accepted", F.col("_quality") >= threshold)
-    return joined.select(*docs.columns, "_evidence", "_host_posterior", "_path_posterior", "_quality", "_accepted")
+    own = F.col("evidence") / UNIT
+    host_posterior = ((F.col("host_good") - F.col("evidence")) / UNIT + F.col("host_strength") * overall) / (F.col("host_n") - 1 + F.col("host_strength"))
+    path_posterior = ((F.col("path_good") - F.col("evidence")) / UNIT + F.col("path_strength") * F.col("host_posterior")) / (F.col("path_n") - 1 + F.col("path_strength"))
+    joined = joined.withColumn("host_posterior", host_posterior).withColumn("path_posterior", path_posterior)
+    odds = _logit(own) + _logit(F.col("path_posterior")) - _logit(F.lit(overall))
+    joined = joined.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 6))
+    return joined.select("row", "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") >= threshold).alias("accepted"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", **options) -> DataFrame:
     """(key, evidence, host_posterior, path_posterior, quality, accepted) for every row."""
     judged = judge(docs.select(key, text, host, path), labels, key=key, text=text, host=host, path=path, **options)
     return judged.select(
-        key,
-        (F.col("_evidence") / UNIT).alias("evidence"),
-        F.round("_host_posterior", 6).alias("host_posterior"),
-        F.round("_path_posterior", 6).alias("path_posterior"),
-        F.col("_quality").alias("quality"),
-        F.col("_accepted").alias("accepted"),
+        F.col("row").getField(key).alias(key),
+        (F.col("evidence") / UNIT).alias("evidence"),
+        F.round("host_posterior", 6).alias("host_posterior"),
+        F.round("path_posterior", 6).alias("path_posterior"),
+        "quality",
+        "accepted",
     )
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The accepted rows of ``docs``, all columns kept."""
-    return judge(docs, labels, **options).where("_accepted").select(*docs.columns)
+    return judge(docs, labels, **options).where("accepted").select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.llm import bpe, chat, decontaminate, licenses, minmax, pseudo_lm, quality, ranked_terms, rotated_codes, slots, topk, turn_repair, url_trust
 from fieldspan.llm.common import read
+from fieldspan.session import shared_dir
 
 #: Where the ranks of the tokenizer lie; a parameter of the operator.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -151,7 +153,7 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = slots.shard_rows(read(spark, sf_dir, "documents"))
+    placed = slots.shard_by_stored_map(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

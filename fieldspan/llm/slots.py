@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldspan.functions.copies import written_out
 from fieldspan.llm.common import Stages
 
 #: Virtual slots; fixed for the life of a data set.
@@ -102,33 +103,62 @@ def slot_sizes(records: DataFrame, slots: int = SLOTS) -> list[int]:
     return sizes
 
 
-def shard_rows(docs: DataFrame, *, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """The placement of every row, and the slot map it follows.
+def slotted_rows(docs: DataFrame, stages: Stages, *, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(key, size, text_crc32, _part, virtual_slot) of every row, written once; texts are read here and nowhere else.
 
-    Columns: key, size, text_crc32, virtual_slot, shard, slot. A record's slot is a hash of
-    its key and its text's checksum and size, so a group of equal texts spreads. The map
-    of version 0 evens out bytes. ``slot`` is the row's place in its shard, gapless from 0,
-    ordered by virtual slot; it comes from counts of parts of slots and row numbers
-    within a part, so no task sorts a shard.
-
-    Null text: size 1 and checksum 0, like the empty text. Null keys are hashed like any
-    other value. Repeated rows share a slot and each get a place of their own; which of them
-    comes first makes no difference, as they are equal. Texts are read once and never
-    shuffled. Runs jobs when called; the driver sees one number for each slot.
+    A record's slot is a hash of its key and its text's checksum and size, so a group of equal texts spreads.
+    Null text: size 1 and checksum 0, like the empty text. Null keys are hashed like any other value.
     """
-    stages = Stages(docs.sparkSession)
     crc = F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0).cast("long"))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     rows = docs.select(key, size.alias("size"), crc.alias("text_crc32"))
     fine = F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(slots * PARTS))
-    rows = stages.keep(rows.withColumn("_part", fine).withColumn("virtual_slot", F.floor(F.col("_part") / PARTS)), "rows")
+    return stages.keep(rows.withColumn("_part", fine).withColumn("virtual_slot", F.floor(F.col("_part") / PARTS)), "rows")
+
 
-    slot_map = build_map(slot_sizes(rows, slots), shards)
-    parts = rows.groupBy("_part", "virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(slot_map.frame(docs.sparkSession).select("virtual_slot", "shard")), "virtual_slot")
+def place_rows(rows: DataFrame, slot_map: SlotMap, stages: Stages, *, key: str = "doc_id") -> DataFrame:
+    """(key, size, text_crc32, virtual_slot, shard, slot) of slotted rows by a map, of whatever version.
+
+    ``slot`` is the row's place in its shard, gapless from 0, ordered by virtual slot; it comes from counts of
+    parts of slots and row numbers within a part, so no task sorts a shard. Equal rows stand
+    together: they are counted before they are numbered, and written out in blocks of copies.
+    """
+    spark = rows.sparkSession
+    alike = stages.keep(rows.groupBy(key, "size", "text_crc32", "_part", "virtual_slot").agg(F.count(F.lit(1)).alias("_copies")), "alike")
+    shard_of = F.broadcast(slot_map.frame(spark).select("virtual_slot", "shard"))
+    parts = alike.groupBy("_part", "virtual_slot").agg(F.sum("_copies").alias("n")).join(shard_of, "virtual_slot")
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stages.keep(parts.select("_part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")), "parts")
 
-    within = Window.partitionBy("_part").orderBy(key, "text_crc32", "size")
-    numbered = rows.withColumn("_place", F.row_number().over(within) - 1)
-    placed = numbered.join(F.broadcast(parts), "_part")
-    return placed.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("_first") + F.col("_place")).alias("slot")), slot_map
+    within = Window.partitionBy("_part").orderBy(key, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = alike.withColumn("_place", F.coalesce(F.sum("_copies").over(within), F.lit(0)))
+    placed = stages.keep(numbered.join(F.broadcast(parts), "_part"), "placed")
+    copies = written_out(placed, "_copies", "_copy")
+    return copies.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("_first") + F.col("_place") + F.col("_copy") - 1).alias("slot"))
+
+
+def shard_rows(
+    docs: DataFrame, *, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS, slot_map: SlotMap | None = None
+) -> tuple[DataFrame, SlotMap]:
+    """The placement of every row (``place_rows``), and the slot map it follows: the given one, or version 0, which evens out bytes.
+
+    With a map that was edited only the rows of the edited slots change their shard. Repeated rows share
+    a slot and each get a place of their own; which of them comes first makes no difference, as
+    they are equal. Texts are never shuffled. Runs jobs when called; the driver sees one number for each slot.
+    """
+    if slot_map is not None and len(slot_map.shard_of) != slots:
+        raise ValueError(f"the map has {len(slot_map.shard_of)} slots, not {slots}")
+    stages = Stages(docs.sparkSession)
+    rows = slotted_rows(docs, stages, key=key, text=text, slots=slots)
+    slot_map = slot_map or build_map(slot_sizes(rows, slots), shards)
+    return place_rows(rows, slot_map, stages, key=key), slot_map
+
+
+def shard_by_stored_map(docs: DataFrame, path: str, *, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """The placement by the latest map stored under ``path``; where none is, version 0 is built from the rows, stored, and read back."""
+    spark, stages = docs.sparkSession, Stages(docs.sparkSession)
+    rows = slotted_rows(docs, stages, key=key, text=text, slots=slots)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        save_map(spark, build_map(slot_sizes(rows, slots), shards), path)
+    return place_rows(rows, load_map(spark, path), stages, key=key)

@@ -14,8 +14,9 @@ from fieldspan.llm.common import Stages
 DAMPING = 0.8
 #: Share of the seeds' mass that may be left underway when propagation stops.
 REST = 0.02
-#: Units of a page's seed. Scores are whole numbers, so sums do not depend on the order.
-UNIT = 1_000_000
+#: Units of a page's seed. Scores are whole numbers, so sums do not depend on the order. A billion: a hub hands
+#: a unit or more to each of 800 million neighbours, and the pages of a host fit in a long up to as many.
+UNIT = 1_000_000_000
 #: Distrusted less trusted page equivalents, per page of a host, from which the host is blocked.
 THRESHOLD = 0.5
 #: Steps between written tables.
@@ -85,7 +86,7 @@ def propagate(links: DataFrame, seeds: DataFrame, stages: Stages, *, damping: fl
     against them, both in the same joins. A host keeps what arrives and hands on ``damping``
     of it; a host without links onwards keeps all of its own, which only scales the
     scores of its seeds, so nothing has to be sent back to them. The steps are as many as it takes
-    to leave ``rest`` of the mass underway. Mass that a link would round to nothing stops.
+    to leave ``rest`` of the mass underway. A link rounds down, by less than a billionth of a page's seed.
     """
     ways = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
     ways = ways.union(links.select(F.lit("distrust"), "dst", "src", "n"))

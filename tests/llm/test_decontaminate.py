@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldspan.llm.decontaminate import contamination, drop_contaminated, letter_words
 
@@ -61,3 +63,32 @@ def test_empty_tables_and_stage(spark):
     assert not any(r.contaminated for r in contamination(docs, items.limit(0)).collect())
     kept = drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_own_names_as_columns(spark):
+    names = "row n_words hit_spans items _n_words _hit_spans _items item block".split()
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id long, text string")
+    extra = docs.select("*", *[(F.col("doc_id") + i).alias(name) for i, name in enumerate(names)])
+    benchmark = spark.createDataFrame([(7, "four five")], "item_id long, text string")
+    kept = drop_contaminated(extra, benchmark)
+    assert kept.columns == extra.columns
+    (row,) = kept.collect()
+    assert row.doc_id == 1 and all(row[name] == 1 + i for i, name in enumerate(names))
+
+
+def test_index_is_small_and_right_for_many_words():
+    """Windows that several items share, and the bytes that a word takes."""
+    from fieldspan.llm.decontaminate import _index, _item_shingles, letter_words
+
+    rnd = np.random.default_rng(1)
+    items = [[b"w%d" % x for x in rnd.integers(0, 50_000, 2_000)] for _ in range(100)]
+    items.append(items[3][100:150])
+    vocabulary = {w: n for n, w in enumerate(sorted({w for i in items for w in i}), 1)}
+    sought = _item_shingles(items, vocabulary, 10)
+    counts = {length: (codes, rnd.integers(0, 9, len(codes))) for length, codes in sought.items()}
+    (index,) = _index(items, vocabulary, counts, 10)
+    held = sum(a.nbytes for a in (index.shingle, index.offset, index.words, index.starts, index.items))
+    assert held < 80 * 200_000
+    shared = [set(index.items[a:b].tolist()) for a, b in zip(index.starts[:-1], index.starts[1:])]
+    assert sum(x == {3, 100} for x in shared) == 41 and (np.diff(index.shingle) >= 0).all()
+    assert letter_words(b"A b") == [b"a", b"b"]

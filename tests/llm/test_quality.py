@@ -7,7 +7,9 @@ import random
 import numpy as np
 import pytest
 
-from fieldspan.llm.quality import FEATURES, UNIT, drop_poor, features, fit_model, judge, quality_scores
+from pyspark.sql import functions as F
+
+from fieldspan.llm.quality import FEATURES, UNIT, drop_poor, features, fit_documents, fit_model, judge, quality_scores
 
 DOCS, LABELS = "doc_id long, text string, lang string, source string, quality string, host int", "doc_id long, quality int, text string"
 SF_DIR = "/root/testdata/sf0.01"
@@ -35,7 +37,7 @@ def frames(spark, rows, labelled):
 def test_held_out_accuracy_and_posteriors(spark):
     rows = texts(400, 1)
     docs, labels = frames(spark, rows, list(range(150)))
-    judged = judge(docs, labels).collect()
+    judged = judge(docs, labels).select("row.*", F.col("accepted").alias("_accepted"), F.col("evidence").alias("_evidence"), F.col("host_posterior").alias("_host_posterior"), F.col("path_posterior").alias("_path_posterior"), F.col("quality").alias("_quality")).collect()
     assert len(judged) == docs.count()
     held_out = [r for r in judged if r.doc_id is not None and 150 <= r.doc_id < 400]
     assert sum(r._accepted == rows[r.doc_id][1] for r in held_out) >= 0.97 * len(held_out)
@@ -92,3 +94,23 @@ def test_given_labels_held_out(spark):
     held_out = labels.where("doc_id % 2 = 1").select("doc_id", (labels.quality == 1).alias("good"))
     rows = quality_scores(docs, labels.where("doc_id % 2 = 0")).join(held_out, "doc_id").collect()
     assert len(rows) > 100 and sum(r.accepted == r.good for r in rows) >= 0.99 * len(rows)
+
+
+def test_own_names_as_columns(spark):
+    """Every name that the operator uses inside may be a column of the documents, and comes back unchanged."""
+    names = "row evidence host path n good host_n host_good path_n path_good host_strength path_strength site_host site_path host_posterior path_posterior quality accepted x id _good _evidence _quality share".split()
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("Plain words in a sentence. "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("l").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    extra = docs.select("*", *[(F.col("doc_id") + i).alias(name) for i, name in enumerate(names)])
+    kept = drop_poor(extra, labels)
+    assert kept.columns == extra.columns
+    rows = kept.collect()
+    assert len(rows) == 40 and all(r[name] == r.doc_id + i for r in rows for i, name in enumerate(names))
+
+
+def test_repeats_of_a_labelled_document_do_not_push_others_out(spark):
+    docs = spark.createDataFrame([(1, "good words here.")] * 50 + [(2, "x|x|x!!!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = fit_documents(docs, labels, key="doc_id", text="text", label="quality", fit_rows=2)
+    good, bad = model.probability(np.array([features(b"good words here."), features(b"x|x|x!!!")]))
+    assert good > 0.5 > bad

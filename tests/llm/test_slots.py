@@ -4,7 +4,9 @@ import random
 import zlib
 from collections import Counter
 
-from fieldspan.llm.slots import SLOTS, build_map, load_map, rebalance, save_map, shard_rows
+import pytest
+
+from fieldspan.llm.slots import SLOTS, build_map, load_map, rebalance, save_map, shard_by_stored_map, shard_rows
 
 DOCS = "doc_id long, text string, size int, shard int, slot string"
 
@@ -64,3 +66,28 @@ def test_maps_are_versioned(spark, tmp_path):
     save_map(spark, second, str(tmp_path / "maps"))
     assert load_map(spark, str(tmp_path / "maps")) == second
     assert load_map(spark, str(tmp_path / "maps"), 0) == first
+
+
+def test_an_edited_map_moves_only_its_slots(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 900, f"text {i % 900} " * (i % 7)) for i in range(1000)], "doc_id long, text string")
+    path = str(tmp_path / "maps")
+    first = shard_by_stored_map(docs, path, shards=4, slots=64)
+    stored = load_map(spark, path)
+    assert stored.version == 0
+    sizes = [0] * 64
+    for r in first.collect():
+        sizes[r.virtual_slot] += r.size
+    grown = rebalance(stored, sizes, 5)
+    save_map(spark, grown, path)
+    second = shard_by_stored_map(docs, path, slots=64)
+    edited = {x for x in range(64) if grown.shard_of[x] != stored.shard_of[x]}
+    before, after = ({(r.doc_id, r.text_crc32): (r.virtual_slot, r.shard) for r in d.collect()} for d in (first, second))
+    moved = {k for k in before if before[k] != after[k]}
+    assert moved and moved == {k for k, (slot, _) in before.items() if slot in edited} and 4 in {after[k][1] for k in moved}
+    for shard in range(5):
+        places = sorted(r.slot for r in second.where(f"shard = {shard}").collect())
+        assert places == list(range(len(places)))
+    given, same = shard_rows(docs, slots=64, slot_map=grown)
+    assert same is grown and sorted(map(tuple, given.collect())) == sorted(map(tuple, second.collect()))
+    with pytest.raises(ValueError):
+        shard_rows(docs, slots=32, slot_map=grown)

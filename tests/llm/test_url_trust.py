@@ -4,6 +4,10 @@ import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from fieldspan.llm import url_trust
 from fieldspan.llm.url_trust import DAMPING, REST, RULES, THRESHOLD, UNIT, judge_urls
 
 PAGES = "page_id long, url string, html string, host string, path int, rule string, mass int"
@@ -95,3 +99,15 @@ def test_trust_outweighs_distrust(spark):
 def test_no_pages_and_no_links(spark):
     assert judged(spark, []) == []
     assert judged(spark, [(1, "http://x.org/a", "")]) == [(1, "x.org", "/a", None, "allow")]
+
+
+def test_a_hub_hands_its_trust_on(spark):
+    """A hub of 200,000 links: what each neighbour gets is little, but they pass it on."""
+    from fieldspan.llm.common import Stages
+
+    links = spark.range(200_000).select(F.lit("hub").alias("src"), F.concat(F.lit("h"), "id").alias("dst"), F.lit(1).cast("long").alias("n"))
+    onward = spark.range(20_000).select(F.concat(F.lit("h"), (F.col("id") % 4).cast("string")).alias("src"), F.concat(F.lit("t"), F.col("id") % 20).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    seeds = spark.createDataFrame([("trust", "hub", url_trust.UNIT)], "kind string, host string, mass long")
+    scores = {r.host: r.score for r in url_trust.propagate(links.union(onward), seeds, Stages(spark)).where("host in ('h5', 't0', 't19')").collect()}
+    assert scores["h5"] == int(0.8 * url_trust.UNIT / 200_000)
+    assert scores["t0"] == pytest.approx(0.8 * 0.8 * url_trust.UNIT / 200_000 / 5, rel=0.01) and scores["t19"] > 0
