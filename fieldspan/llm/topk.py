@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import Stages, map_arrow
+from fieldspan.llm.common import Stages
+from fieldspan.session import let_workers_import
 
 #: Vectors of a block that one task holds, with its sorted lists.
 BLOCK_ROWS = 16_384
-#: Queries that travel to the tasks together.
+#: Queries of a block.
 QUERY_ROWS = 4_096
 #: Entries of each list that are read before the bound is tested again; doubles from step to step.
 FIRST_STEP = 32
@@ -98,22 +98,24 @@ def _found(query_id: int, ids: list | np.ndarray, scores: list | np.ndarray) ->
     """Scores beyond a long are held at its bound, with the side on which they lie."""
     beyond = [(int(s) > MOST) - (int(s) < LEAST) for s in scores]
     held = [min(max(int(s), LEAST), MOST) for s in scores]
-    columns = [pa.array(np.full(len(ids), query_id)), pa.array(ids, pa.int64()), pa.array(held, pa.int64()), pa.array(beyond, pa.int32())]
+    columns = [pa.array(np.full(len(ids), query_id), pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.int64()), pa.array(beyond, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "beyond"])
 
 
-def _search_block(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of a block for each query of the same dimension; a partition is a block."""
-    ids, rows = [], []
-    for batch in batches:
-        ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-        rows += _matrix(batch.column(1))
-    if not rows:
-        return
-    all_ids = np.concatenate(ids).astype(np.int64)
-    sizes = np.array([len(r) for r in rows])
+_BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int32())])
+
+
+def _search_block(rows: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """The k best of a block of vectors for each of a block of queries of the same length."""
+    all_ids, vectors_of = rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks())
+    queries = [Query(i, v) for i, v in zip(asking.column("id").to_pylist(), _matrix(asking.column("v").combine_chunks()))]
+    return pa.Table.from_batches(list(_searched(all_ids, vectors_of, queries, k)), _BEST)
+
+
+def _searched(all_ids: np.ndarray, rows: list[np.ndarray], queries: list[Query], k: int) -> Iterator[pa.RecordBatch]:
+    sizes = np.array([len(r) for r in rows], np.int64)
     for size in np.unique(sizes):
-        same = [q for q in queries.value if len(q.vector) == size]
+        same = [q for q in queries if len(q.vector) == size]
         if not same:
             continue
         of_size = np.flatnonzero(sizes == size)
@@ -152,32 +154,33 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``is_query`` marks its k best among all other rows.
 
-    Vectors are dealt by a hash into blocks of about ``block_rows``. A task sorts its
+    Vectors are dealt by a hash into blocks of about ``block_rows``, queries into blocks of about
+    ``query_rows``, and each pair of blocks is one group of one plan, whatever the number of either. A group sorts its
     block's dimensions into lists and runs the threshold algorithm for each query; the k
-    best of every block are merged. Queries travel in groups of ``query_rows``, so neither
-    the driver nor a task holds more than a block and a group.
+    best of every block are merged. Nothing passes through the driver, and a task holds one block of each.
 
     Null ids, null vectors and those with null or non-finite components take no part. Products
     that may not fit in a long are compared in Python integers, row by row; a score beyond a long
     among the k best is an error, since the column cannot hold it. Vectors of another length than the query's are no candidates. Repeated ids:
     each row is a candidate, each distinct query row asks once and none of its id's rows
-    answer. Empty vectors score zero. Runs jobs when called: counting rows and reading queries.
+    answer. Empty vectors score zero. Runs jobs when called: writing and counting both sides.
     """
     spark = vectors.sparkSession
     stages = Stages(spark)
     usable = vectors.select(F.col(key).cast("long").alias("id"), whole_components(vector).alias("v"), is_query.alias("asks"))
     usable = stages.keep(usable.where("id is not null and v is not null"), "usable")
     asking = stages.keep(usable.where("asks").select("id", "v").distinct(), "asking")
-    groups = 1 + asking.count() // query_rows
-    blocks = 1 + usable.count() // block_rows
-    dealt = usable.select("id", "v").repartition(blocks, F.xxhash64("id", "v"))
-
-    found = None
-    for g in range(groups):
-        group = asking.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)
-        queries = [Query(r.id, np.array(r.v, np.float64)) for r in group.collect()]
-        best = map_arrow(dealt, partial(_search_block, queries=spark.sparkContext.broadcast(queries), k=k), "query_id long, vec_id long, score long, beyond int")
-        found = best if found is None else found.union(best)
+    groups, blocks = 1 + asking.count() // query_rows, 1 + usable.count() // block_rows
+    let_workers_import(spark)
+
+    def dealt(rows: DataFrame, own: str, parts: int, other: str, others: int) -> GroupedData:
+        """Rows with the number of their block, once for every block of the other side."""
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        placed = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias(own), every)
+        return placed.repartition(groups * blocks, "block", "asked").groupBy("block", "asked")
+
+    pairs = dealt(usable, "block", blocks, "asked", groups).cogroup(dealt(asking, "asked", groups, "block", blocks))
+    found = pairs.applyInArrow(lambda rows, asked: _search_block(rows, asked, k), "query_id long, vec_id long, score long, beyond int")
     place = Window.partitionBy("query_id").orderBy(F.col("beyond").desc(), F.col("score").desc(), "vec_id")
     score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the k best does not fit in a long")).cast("long")).alias("score")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

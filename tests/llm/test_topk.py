@@ -84,3 +84,13 @@ def test_a_score_that_no_long_holds_is_an_error(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0], 1, 1), (1, [1e30, 1.0], 1, 1)], VECTORS)
     with pytest.raises(Exception, match="does not fit in a long"):
         top_k(df, F.col("vec_id") == 0).collect()
+
+
+def test_one_plan_for_many_blocks_of_queries(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rnd.normal(size=4).round(1)]) for i in range(3_000)]
+    df = spark.createDataFrame([(i, v, 1, 1) for i, v in rows], VECTORS)
+    result = top_k(df, F.col("vec_id") % 2 == 0, k=2, block_rows=1_000, query_rows=2)
+    assert result._jdf.queryExecution().analyzed().toString().count("CoGroup") == 1
+    found = {(r.query_id, r["rank"], r.vec_id, r.score) for r in result.collect()}
+    assert len(found) == 3_000 and {x for x in found if x[0] % 100 == 0} == {x for x in brute_force(rows, lambda i: i % 100 == 0, 2)}
