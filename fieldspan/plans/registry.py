@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.plans import analytics, graph, text
+from fieldspan.plans import analytics, filing, graph, text
 
-_MODULES = (graph, text, analytics)
+_MODULES = (graph, text, analytics, filing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
