@@ -18,17 +18,57 @@ DENSITY = 0.3
 #: Files of these names are licence files if they hold a notice at all.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
-# Notices as they stand at the head of files or in licence files.
+# Notices, sentences and whole headers as they stand at the head of files or in licence files.
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License.",
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.",
+    "You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>.",
+)
+_GNU_LICENCES = (
+    ("AGPL-3.0", "GNU Affero General Public License", "3"),
+    ("GPL-2.0", "GNU General Public License", "2"),
+    ("GPL-3.0", "GNU General Public License", "3"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+)
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", _APACHE[0]),
+    ("Apache-2.0", " ".join(_APACHE)),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    *((licence, _GNU[0].format(name=name, version=version)) for licence, name, version in _GNU_LICENCES),
+    *((licence, " ".join(_GNU).format(name=name, version=version)) for licence, name, version in _GNU_LICENCES),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: A tag that names the licence outright, and how a file is known to have one.
+TAG, TAGGED = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", "spdx-license-identifier:"
+
 _BREAKS = "[^a-z0-9]+"
 
 
@@ -83,7 +123,8 @@ def own_notices(
 ) -> DataFrame:
     """(key, licence, score, share) of files with a notice: the best passage of the whole text.
 
-    Passages are lines and paragraphs (between blank lines). Ties go to the longer share, then to the
+    Passages are lines, paragraphs (between blank lines), and the sentences of either, so a notice behind a
+    line of copyright is found; comment marks are no terms. The first SPDX tag is a notice of score 1. Ties go to the longer share, then to the
     smaller licence name. ``share`` is the passage's part of the text's characters. With ``all_terms`` every term of a passage weighs by
     its frequency over all files (runs jobs); without it, terms outside the templates weigh as if in no file,
     which lowers the scores of one notice as files become more.
@@ -95,7 +136,10 @@ def own_notices(
 
     low = F.lower(text)
     passages = F.array_union(F.split(low, "\n"), F.split(low, r"\n[ \t\r]*\n"))
-    near = _near_passages(F.filter(passages, lambda p: p.rlike(pattern)), idf, 1.0 if all_terms else unseen, vectors, similarity)
+    passages = F.filter(passages, lambda p: p.rlike(pattern))
+    sentences = F.flatten(F.transform(passages, lambda p: F.split(p, r"[.!?][ \t\r\n]+")))
+    passages = F.array_union(passages, F.filter(sentences, lambda p: p.rlike(pattern)))
+    near = _near_passages(passages, idf, 1.0 if all_terms else unseen, vectors, similarity)
     found = files.where(low.rlike(pattern)).select(key, F.length(text).alias("chars"), F.explode(near).alias("passage"))
     found = found.withColumn("share", F.length("passage") / F.col("chars")).drop("chars")
     if all_terms:
@@ -119,7 +163,10 @@ def own_notices(
     ]
     scored = sums.select("passage", F.array_max(F.array(*scores)).alias("best")).where(F.col("best.score") >= similarity)
     scored = scored.select("passage", "best.score", F.element_at(F.array(*map(F.lit, names)), 1 - F.col("best.place")).alias("licence"))
-    own = found.join(scored, "passage").groupBy(key).agg(F.min(F.struct(-F.col("score"), -F.col("share"), "licence")).alias("best"))
+    tagged = files.where(low.contains(TAGGED)).select(key, F.regexp_extract(text, TAG, 1).alias("licence"), F.length(F.regexp_extract(text, TAG, 0)).alias("n"), F.length(text).alias("chars"))
+    tagged = tagged.where("licence <> ''").select(key, F.lit(1.0).alias("score"), (F.col("n") / F.col("chars")).alias("share"), "licence")
+    scored = found.join(scored, "passage").select(key, "score", "share", "licence").union(tagged)
+    own = scored.groupBy(key).agg(F.min(F.struct(-F.col("score"), -F.col("share"), "licence")).alias("best"))
     return own.select(key, F.col("best.licence"), (-F.col("best.col1")).alias("score"), (-F.col("best.col2")).alias("share"))
 
 

@@ -10,6 +10,11 @@ from fieldspan.llm.licenses import DENSITY, LICENCE_FILE, SIMILARITY, TEMPLATES,
 FILES = "file_id long, path string, text string, score int, dir string, licence string"
 
 
+def passages_of(low):
+    found = {*low.split("\n"), *re.split(r"\n[ \t\r]*\n", low)}
+    return found | {s for p in found for s in re.split(r"[.!?][ \t\r\n]+", p)}
+
+
 def brute_force(files):
     docs = [set(re.split("[^a-z0-9]+", (t or "").lower())) if t is not None else set() for _, _, t in files]
     n = len(files)
@@ -18,7 +23,7 @@ def brute_force(files):
     own = {}
     for key, _, text in files:
         low = (text or "").lower()
-        for passage in {*low.split("\n"), *re.split(r"\n[ \t\r]*\n", low)}:
+        for passage in passages_of(low):
             terms = Counter(t for t in re.split("[^a-z0-9]+", passage) if t)
             norm = math.sqrt(sum((c * weight(t)) ** 2 for t, c in terms.items()))
             for name, x in TEMPLATES:
@@ -53,7 +58,7 @@ def test_equals_brute_force(spark):
         if i % 5 == 0:
             lines.insert(rnd.randrange(len(lines) + 1), "# " + rnd.choice(TEMPLATES)[1])
         files.append((i, path, "\n".join(lines)))
-    files += [(300, "src/a/LICENSE", "some more words about it all\n" * 30 + "Released under the MIT License."), (301, "COPYING", TEMPLATES[3][1]), (302, None, TEMPLATES[0][1])]
+    files += [(300, "src/a/LICENSE", "some more words about it all\n" * 30 + "Released under the MIT License."), (301, "COPYING", TEMPLATES[5][1]), (302, None, TEMPLATES[0][1])]
     files += [(303, "src//a/x/", "w1"), (304, "", "w1"), (305, "src/a/x/none.py", None), (306, "src/b/empty.py", ""), (307, "deep/" * 200 + "f.py", "w1"), (308, "src/b/wrapped.py", "permission is hereby granted, free of charge,\nto any person obtaining a copy of\nthis software and associated documentation files\n\nw1 w2")]
     files += [(309, "src/b/long.py", "word " * 60_000 + "license version"), (310, "src/b/twice.py", "w1"), (310, "src/b/twice.py", "w1")]
     result = scan(spark.createDataFrame([(*f, 1, "d", "l") for f in files], FILES))
@@ -91,7 +96,7 @@ def test_all_terms_weigh_by_their_files(spark):
     weight = lambda t: math.log((1 + len(files)) / (1 + df[t])) + 1
     expected = {}
     for f in files:
-        for passage in {*f[2].lower().split("\n"), f[2].lower()}:
+        for passage in passages_of(f[2].lower()):
             terms = template_terms(passage)
             norm = math.sqrt(sum((c * weight(t)) ** 2 for t, c in terms.items()))
             for name, x in TEMPLATES:
@@ -102,3 +107,58 @@ def test_all_terms_weigh_by_their_files(spark):
                     expected[f[0]] = min(expected.get(f[0], (9,)), (-cosine, -len(passage) / len(f[2]), name))
     rows = scan(spark.createDataFrame(files, FILES), all_terms=True).where("own_licence is not null").collect()
     assert {r.file_id: (-r.own_score, r.own_licence) for r in rows} == {i: (x[0], x[2]) for i, x in expected.items()} and len(rows) > 30
+
+
+HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2019 Some Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_usual_headers(spark):
+    """Headers as they stand in files, plain and commented, among files without any; and texts that only sound like them."""
+    commented = lambda text, mark: "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    probes = {
+        "GPL-3.0": [HEADER, commented(HEADER, "#"), "/*\n" + commented(HEADER, " *") + " */\nint main;", HEADER.replace("\n", "\r\n")],
+        "GPL-2.0": [HEADER.replace("version 3", "version 2")],
+        "AGPL-3.0": [HEADER.replace("General Public", "Affero General Public")],
+        "Apache-2.0": [APACHE, commented(APACHE, "//"), "# SPDX-License-Identifier: Apache-2.0\nimport os", "// spdx-license-identifier:Apache-2.0"],
+        "MIT": ["Copyright (c) 2021 Jane Doe. Released under the MIT License.", "SPDX-License-Identifier: MIT"],
+        "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"],
+        "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy."],
+        "ISC": ["SPDX-License-Identifier: ISC"],
+        None: ["free software is a program that the public may copy under a license", "SPDX-License-Identifier:", "the GNU project publishes a general license, version by version, and software", "the license", None, ""],
+    }
+    files = [(i, f"d{i}/f.py", text + ("\nimport nothing" if text else "") if text is not None else None, name) for i, (name, text) in enumerate((n, t) for n, ts in probes.items() for t in ts)]
+    rnd = random.Random(3)
+    words = ["the", "of", "and", "to", "in", "with", "is", "that", "under", "this"] + [f"w{k}" for k in range(400)]
+    files += [(1000 + k, f"e{k}/f.py", " ".join(rnd.choice(words) for _ in range(60)), None) for k in range(200)]
+    rows = scan(spark.createDataFrame([(i, p, t, 1, "d", "l") for i, p, t, _ in files], FILES), all_terms=True).collect()
+    found = {r.file_id: r.own_licence for r in rows}
+    assert found == {i: name for i, _, _, name in files}
+
+
+def test_inheritance_with_all_terms(spark):
+    """Nulls, empty, long and repeated rows, licence files by name and by density, when all terms weigh."""
+    files = [(1, "LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "w1"), (3, "a/COPYING", HEADER), (4, "a/b/d.py", None), (5, None, "w1"), (6, "z/q.py", ""), (6, "z/q.py", "")]
+    files += [(7, "a/b/own.py", "x " * 50_000 + "\nLicensed under CC BY-NC 4.0."), (8, "a/b/e.py", "w2"), (9, "k/tag.txt", "SPDX-License-Identifier: ISC"), (10, "k/l/m.py", "w3")]
+    rows = scan(spark.createDataFrame([(*f, 1, "d", "l") for f in files], FILES), all_terms=True).collect()
+    found = sorted({(r.file_id, r.own_licence, r.licence, r.licence_dir) for r in rows})
+    assert len(rows) == len(files) and found == [
+        (1, "MIT", "MIT", None), (2, None, "GPL-3.0", "a"), (3, "GPL-3.0", "GPL-3.0", None), (4, None, "GPL-3.0", "a"), (5, None, None, None), (6, None, "MIT", ""),
+        (7, "CC-BY-NC-4.0", "CC-BY-NC-4.0", None), (8, None, "GPL-3.0", "a"), (9, "ISC", "ISC", None), (10, None, "ISC", "k"),
+    ]
