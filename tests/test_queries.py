@@ -41,3 +41,13 @@ def test_query_on_larger_tables(spark, name):
 def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["expansion_level", "n"] and result.count() > 3
+
+
+def test_classifier_scores(spark):
+    """No SQL twin: every document once, probabilities, and seeds above the rest on average."""
+    rows = {r.family_id: r.score for r in registry.queries()["classifier_scores"](spark, SF_DIR).collect()}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()
+    assert sorted(rows) == sorted(r.doc_id for r in docs) and all(0 <= s <= 1 for s in rows.values())
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("doc_id in (%s)" % ", ".join(map(str, rows))).collect()
+    mean = lambda y: sum(rows[r.doc_id] for r in labels if r.quality == y) / sum(r.quality == y for r in labels)
+    assert mean(1) > mean(0) + 0.3
