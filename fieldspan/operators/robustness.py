@@ -110,15 +110,21 @@ def expand_runs(
     block = materialise(drawn.groupBy(*labels).agg(*bits.collected()))
     seeds = block.filter(F.col("expansion_level") == SEED)
 
-    # Seed side. Rows sharing a code and a set of runs are summed before runs are told apart.
+    # Codes are read by three steps below, and joined where they come from: they are written once, beside the draws of their key
+    # (one per technology), so none of the steps moves them again.
     members = seeds.select(key, "copies", *bits.words)
+    draws = members.groupBy(key).agg(F.collect_list(F.struct("copies", *bits.words)).alias("__draws"))
+    codes = codes.select(key, "publication_date", "code").filter(F.col("code").isNotNull())
+    codes = materialise(codes.join(draws, key, "left"))
+
+    # Seed side. Rows sharing a code and a set of runs are summed before runs are told apart.
     n_patents = (
         members.groupBy(*bits.words).agg(F.sum("copies").alias("copies"))
         .select("copies", F.explode(bits.listed()).alias("run_id"))
         .groupBy("run_id").agg(F.sum("copies").alias("n_seed"))
     )
     seed_counts = (
-        codes.select(key, "code").filter(F.col("code").isNotNull()).join(members, key)
+        codes.filter(F.col("__draws").isNotNull()).select("code", F.inline("__draws"))
         .groupBy("code", *bits.words).agg(F.sum("copies").alias("n"))
         .select("code", "n", F.explode(bits.listed()).alias("run_id"))
         .groupBy("run_id", "code").agg(F.sum("n").alias("n"))
@@ -185,7 +191,8 @@ def members_by_run(members: DataFrame, key: str, runs: Sequence[Run]) -> DataFra
 def patterns_from_members(members: DataFrame, runs: Sequence[Run]) -> DataFrame:
     """(technology, seed_share, runs[], n): how many keys have exactly this set of runs."""
     bits = _Bits(runs)
-    counted = members.groupBy(*bits.words).agg(F.count(F.lit(1)).alias("n"))
+    # Sizes, pairs and batches each read the counted sets; written once, the expansions run once.
+    counted = materialise(members.groupBy(*bits.words).agg(F.count(F.lit(1)).alias("n")))
     sets = counted.select("n", *bits.words, F.inline(bits.members()))
     sets = sets.groupBy(*bits.words, "n", F.col("run_technology").alias("technology"), "seed_share").agg(
         F.array_sort(F.collect_list("run_id")).alias("runs")

@@ -210,6 +210,26 @@ def test_runs_equal_single_expansions(spark, rows):
     assert rows(from_bits, *columns) == rows(from_rows, *columns)
 
 
+def test_runs_read_codes_and_members_once(spark):
+    """Whatever reads the codes, or the counted sets of runs, does not make them anew."""
+    data, publications = graph(spark, 60)
+    labelled = table(spark, [("one", *row) for row in labels(len(data), random.Random(5))], f"technology string, {K} string, expansion_level string")
+    read, counted = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def seen(total):
+        return F.udf(lambda value: (total.add(1), value)[1], "string").asNondeterministic()
+
+    codes = class_pairs(publications, K, "cpc").where("code is not null")
+    runs = r.plan_runs(["one"], [0.9], 3)
+    marked = codes.withColumn("code", seen(read)("code"))
+    members = r.expand_runs(labelled, publications, marked, citation_links(publications, K), K, runs, n_pc=3)
+    members = members.withColumn(K, seen(counted)(K)).where(f"{K} <> ''")
+    patterns = r.patterns_from_members(members, runs)
+    assert r.pair_overlap(patterns).count() == 3 and r.batch_overlap(patterns).count() == 3
+    assert read.value == codes.count()
+    assert counted.value == members.count() > 0
+
+
 def test_overlaps(spark, rows):
     data = [("a", 1), ("a", 2), ("a", 3), ("a", None), ("b", 2), ("b", 3), ("c", 9)]
     df = table(spark, [("t", 0.5, run, k) for run, k in data], f"technology string, seed_share double, run_id string, {K} int")
