@@ -18,6 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from fieldspan.session import map_arrow, materialise
 
 # Defaults of the published feature set-ups.
 MIN_DF, TOP_K = 2, 5000
-#: Terms whose ids and idf may travel to the tasks (64 MB); a larger table is joined instead.
+#: Terms whose ids and idf may travel to the tasks (64 MB); of a larger table the most frequent do, and the others are asked for.
 BROADCAST_TERMS = 1 << 22
+#: Terms of one group of those that are asked for, and the number of texts from which on terms are not told apart by it.
+ASKED_TERMS, MOST_DF = 1 << 17, 1 << 16
 #: Distinct terms that a task counts before it sends them on.
 HELD_TERMS = 250_000
 #: Bits of an id: all ids are positive, so that exceptions can be negative.
@@ -65,10 +68,10 @@ class TermTable:
 
 
 class Known(NamedTuple):
-    """What a task needs of a term table: sorted ids with their idf; without them every term passes with its id."""
+    """What a task needs of a term table: sorted ids with their idf."""
 
-    ids: np.ndarray | None
-    idf: np.ndarray | None
+    ids: np.ndarray
+    idf: np.ndarray
     exceptions: dict[str, int]
     id_bits: int
 
@@ -120,14 +123,29 @@ def fit_terms(train: DataFrame, text: str = "text", min_df: int = MIN_DF, id_bit
     return TermTable(table, n_docs, exceptions, id_bits)
 
 
+def _known(rows: DataFrame, terms: TermTable) -> Known:
+    table = rows.select("id", "idf").toArrow()
+    order = np.argsort(ids := table.column("id").to_numpy())
+    return Known(ids[order], table.column("idf").to_numpy()[order], terms.exceptions, terms.id_bits)
+
+
 def known_terms(spark: SparkSession, terms: TermTable, most: int = BROADCAST_TERMS) -> Known | None:
     """Ids and idf for the tasks, where a count shows that they fit; else None."""
-    rows = terms.table.select("id", "idf")
-    if rows.limit(most + 1).count() > most:
+    if terms.table.select("id").limit(most + 1).count() > most:
         return None
-    table = rows.toArrow()
-    order = np.argsort(ids := table.column("id").to_numpy())
-    return Known(ids[order], table.column("idf").to_numpy()[order], terms.exceptions, terms.id_bits)
+    return _known(terms.table, terms)
+
+
+def frequent_terms(terms: TermTable, most: int) -> tuple[Known, DataFrame, int]:
+    """At most ``most`` terms found in the most texts, for the tasks; the table of all others, and their number."""
+    by_df = terms.table.groupBy(F.least("df", F.lit(MOST_DF)).alias("df")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cut, held = MOST_DF + 1, 0
+    for df, n in sorted(map(tuple, by_df), reverse=True):
+        if held + n > most:
+            break
+        cut, held = df, held + n
+    often = F.least("df", F.lit(MOST_DF)) >= cut
+    return _known(terms.table.where(often), terms), terms.table.where(~often).select("id", "idf"), sum(r.n for r in by_df) - held
 
 
 def count_batch(texts: pa.Array) -> tuple[list[Counter], np.ndarray]:
@@ -136,8 +154,8 @@ def count_batch(texts: pa.Array) -> tuple[list[Counter], np.ndarray]:
     return counted, np.cumsum([0, *map(len, counted)])
 
 
-def look_up(counted: list[Counter], ends: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, id, tf, weight) of all terms that are known; weights of a text have length one."""
+def _numbers(counted: list[Counter], ends: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, id, tf) of all terms."""
     digest, mask, exceptions = xxhash.xxh64_intdigest, (1 << known.id_bits) - 1, known.exceptions
     if exceptions:
         numbers = (exceptions.get(t) or digest(t, 42) & mask for c in counted for t in c)
@@ -145,16 +163,29 @@ def look_up(counted: list[Counter], ends: np.ndarray, known: Known) -> tuple[np.
         numbers = (digest(t, 42) & mask for c in counted for t in c)
     ids = np.fromiter(numbers, np.int64, ends[-1])
     tfs = np.fromiter((n for c in counted for n in c.values()), np.int64, ends[-1])
-    row = np.repeat(np.arange(len(counted)), np.diff(ends))
-    if known.ids is None:
-        return row, ids, tfs, tfs.astype(float)
-    if not len(known.ids):
-        return row[:0], ids[:0], tfs[:0], tfs[:0].astype(float)
-    place = np.searchsorted(known.ids, ids)
-    place[place == len(known.ids)] = 0
-    found = known.ids[place] == ids
-    row, ids, tfs = row[found], ids[found], tfs[found]
-    weights = tfs * known.idf[place[found]]
+    return np.repeat(np.arange(len(counted)), np.diff(ends)), ids, tfs
+
+
+def _place(sorted_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids in a sorted list, and whether they are in it."""
+    if not len(sorted_ids):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    place = np.searchsorted(sorted_ids, ids)
+    place[place == len(sorted_ids)] = 0
+    return place, sorted_ids[place] == ids
+
+
+def look_up(counted: list[Counter], ends: np.ndarray, known: Known, rare: Known | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, id, tf, weight) of all terms that are known, by one table or by either; weights of a text have length one."""
+    row, ids, tfs = _numbers(counted, ends, known)
+    idf, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
+    for table in (known, rare):
+        if table is not None and len(table.ids):
+            place, found = _place(table.ids, ids)
+            idf[found] = table.idf[place[found]]
+            seen |= found
+    row, ids, tfs = row[seen], ids[seen], tfs[seen]
+    weights = tfs * idf[seen]
     lengths = np.sqrt(np.bincount(row, weights * weights, len(counted)))
     return row, ids, tfs, weights / lengths[row]
 
@@ -172,11 +203,56 @@ def _weigh(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*batch.schema.names[:-1], "ids", "tfs", "weights"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their chunk: a chunk is an Arrow batch, so bounded in rows and in bytes."""
+    first = TaskContext.get().partitionId() << 33
+    for n, batch in enumerate(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), first + n)), *batch.columns], ["__chunk", *batch.schema.names])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], known, groups: int) -> Iterator[pa.RecordBatch]:
+    """(group, chunk, ids): ids of a chunk's terms that are not among the known ones, each once."""
+    for batch in batches:
+        chunks, text = batch.columns
+        own, begin = np.unique(chunks.to_numpy(), return_index=True)
+        for chunk, start, end in zip(own, begin, [*begin[1:], len(batch)]):  # staged chunk by chunk, so in order
+            ids = np.unique(_numbers(*count_batch(text[start:end]), known.value)[1])
+            ids = ids[~_place(known.value.ids, ids)[1]]
+            group = np.mod(ids, groups)
+            order = np.argsort(group, kind="stable")
+            groups_here, n = np.unique(group, return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids[order], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(groups_here, pa.int64()), pa.array(np.full(len(n), chunk), pa.int64()), lists], ["group", "__chunk", "ids"])
+
+
+def _answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """(chunk, ids, idfs): of the ids that are asked for, those in the table."""
+    order = np.argsort(known := table.column("id").to_numpy())
+    lists = asked.column("ids").combine_chunks()
+    ids = lists.flatten().to_numpy()
+    place, found = _place(known[order], ids)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[found]
+    values = [ids[found], table.column("idf").to_numpy()[order][place[found]] if len(known) else np.empty(0)]
+    return pa.table([asked.column("__chunk"), *_lists(row, len(lists), *map(pa.array, values))], ["__chunk", "ids", "idfs"])
+
+
+def _weigh_chunk(rows: pa.Table, answers: pa.Table, known) -> pa.Table:
+    """The texts of a chunk, with the known terms and those that were asked for."""
+    ids, idf = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "idfs"))
+    order = np.argsort(ids)
+    texts = rows.column(rows.num_columns - 1).combine_chunks()
+    row, ids, tfs, weights = look_up(*count_batch(texts), known.value, known.value._replace(ids=ids[order], idf=idf[order]))
+    lists = _lists(row, len(texts), pa.array(ids), pa.array(tfs), pa.array(weights))
+    return pa.table([*rows.columns[1:-1], *lists], [*rows.column_names[1:-1], "ids", "tfs", "weights"])
+
+
 def tfidf_terms(df: DataFrame, terms: TermTable, keep: Sequence[str], text: str = "text", most: int = BROADCAST_TERMS) -> DataFrame:
     """(keep..., ids, tfs, weights): tf x idf of the known terms of each text, scaled to length one; unknown terms drop.
 
-    No shuffle while the term table holds at most ``most`` terms. A larger one is joined with the texts' terms,
-    and the rows are put together again. A row without a known term has empty arrays. Counts the table when called.
+    No shuffle while the term table holds at most ``most`` terms. Of a larger one the most frequent terms travel, which
+    make up most of the texts; each chunk of texts asks the rest of the table for its other terms, each once, in
+    one array for each group of terms. The texts are staged and cut into terms twice; no row per text and term moves.
+    A row without a known term has empty arrays. Counts the table when called.
     """
     spark = df.sparkSession
     rows = df.select(*keep, F.col(text).alias("__text"))
@@ -185,15 +261,13 @@ def tfidf_terms(df: DataFrame, terms: TermTable, keep: Sequence[str], text: str
     known = known_terms(spark, terms, most)
     if known is not None:
         return map_arrow(rows, partial(_weigh, known=spark.sparkContext.broadcast(known)), schema)
-    every = spark.sparkContext.broadcast(Known(None, None, terms.exceptions, terms.id_bits))
-    counted = materialise(map_arrow(rows, partial(_weigh, known=every), schema).withColumn("__row", F.monotonically_increasing_id()))
-    single = counted.select("__row", F.inline(F.arrays_zip("ids", "tfs")).alias("id", "tf"))
-    weighed = single.join(terms.table.select("id", "idf"), "id").withColumn("raw", F.col("tf") * F.col("idf"))
-    listed = weighed.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "raw"))).alias("x"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    back = counted.select("__row", *keep).join(listed, "__row", "left")
-    fields = [F.coalesce(F.col(f"x.{c}"), F.array().cast(t)) for c, t in (("id", "array<long>"), ("tf", "array<long>"))]
-    weights = F.coalesce(F.transform("x.raw", lambda x: x / F.col("length")), F.array().cast("array<double>"))
-    return back.select(*keep, fields[0].alias("ids"), fields[1].alias("tfs"), weights.alias("weights"))
+    often, rare, n_rare = frequent_terms(terms, most)
+    known, groups = spark.sparkContext.broadcast(often), -(-n_rare // ASKED_TERMS)
+    chunks = materialise(map_arrow(rows, _cut, f"__chunk long, {kept}, __text string"))
+    asked = map_arrow(chunks.select("__chunk", "__text"), partial(_asked, known=known, groups=groups), "group long, __chunk long, ids array<long>")
+    table = rare.withColumn("group", F.pmod("id", F.lit(groups).cast("long")))
+    answers = asked.groupBy("group").cogroup(table.groupBy("group")).applyInArrow(_answered, "__chunk long, ids array<long>, idfs array<double>")
+    return chunks.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(partial(_weigh_chunk, known=known), schema)
 
 
 def named_terms(weighed: DataFrame, terms: TermTable, key: str) -> DataFrame:

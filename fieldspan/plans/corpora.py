@@ -34,13 +34,13 @@ _SCHEMAS: dict[str, StructType] = {}
 def table(spark: SparkSession, sf_dir: str, name: str, partitions: int = 0) -> DataFrame:
     """A given table; its schema is looked up once, since every look-up is a job.
 
-    With ``partitions`` its rows are dealt into that many, whatever its size.
+    With ``partitions`` its rows are dealt into that many, unless it is stored in as many files.
     """
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
     rows = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return rows.repartition(partitions) if partitions else rows
+    return rows.repartition(partitions) if partitions and len(rows.inputFiles()) < partitions else rows
 
 
 def text_partitions(spark: SparkSession) -> int:

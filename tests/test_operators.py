@@ -359,6 +359,23 @@ def test_terms_of_training_texts_only(spark):
     assert ngrams.tfidf_terms(empty, nothing, ["k"]).where("size(ids) > 0").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_rare_terms_are_asked_for_once_a_chunk(spark, most, monkeypatch):
+    """A large table: no row per text and term, several groups of terms, several rows of one key."""
+    monkeypatch.setattr(ngrams, "ASKED_TERMS", 2)
+    docs = spark.createDataFrame([(None if i % 2 else 1, t) for i, t in enumerate([*TEXTS, *TEXTS, None, ""])], "k int, text string")
+    table = ngrams.fit_terms(docs)
+    few = ngrams.tfidf_terms(docs, table, ["k"], most=most)
+    assert "Generate" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+    def listed(df):
+        return sorted(((r.k or 0, sorted(zip(r.ids, r.tfs, (round(w, 9) for w in r.weights)))) for r in df.collect()), key=repr)
+
+    assert listed(few) == listed(ngrams.tfidf_terms(docs, table, ["k"]))
+    often, rare, n = ngrams.frequent_terms(table, 3)
+    assert len(often.ids) <= 3 and n == rare.count() == table.table.count() - len(often.ids)
+
+
 def test_accents_ligatures_and_syllables():
     assert ngrams.terms_of("\u00c4\u00e9 \ufb01n x yz_1") == ["ae", "fin", "yz_1", "ae fin", "fin yz_1"]
     assert ngrams.bare_text("\uac00") == "\u1100\u1161" and ngrams.bare_text("a\U0001d165b") == "ab"
