@@ -213,9 +213,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked(batches: Iterator[pa.RecordBatch], known, groups: int) -> Iterator[pa.RecordBatch]:
     """(group, chunk, ids): ids of a chunk's terms that are not among the known ones, each once."""
     for batch in batches:
-        chunks, text = batch.columns
-        own, begin = np.unique(chunks.to_numpy(), return_index=True)
-        for chunk, start, end in zip(own, begin, [*begin[1:], len(batch)]):  # staged chunk by chunk, so in order
+        chunks, text = batch.column(0).to_numpy(), batch.column(1)
+        # A chunk's rows lie together; the files of a task come in any order, so its chunks do too.
+        begin = [0, *(np.flatnonzero(np.diff(chunks)) + 1)] if len(batch) else []
+        for start, end in zip(begin, [*begin[1:], len(batch)]):
+            chunk = chunks[start]
             ids = np.unique(_numbers(*count_batch(text[start:end]), known.value)[1])
             ids = ids[~_place(known.value.ids, ids)[1]]
             group = np.mod(ids, groups)

@@ -3,9 +3,11 @@ import json
 import math
 import time
 import uuid
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -376,6 +378,16 @@ def test_rare_terms_are_asked_for_once_a_chunk(spark, most, monkeypatch):
     assert len(often.ids) <= 3 and n == rare.count() == table.table.count() - len(often.ids)
 
 
+def test_chunks_of_a_batch_come_in_any_order():
+    """A task reads files in any order, so the chunks of a batch need not rise."""
+    nothing = ngrams.Known(np.empty(0, np.int64), np.empty(0), {}, ngrams.ID_BITS)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 2, 5]), pa.array(["aa", "bb", "cc", "dd"])], ["__chunk", "__text"])
+    asked = [pa.Table.from_batches([b]) for b in ngrams._asked(iter([batch]), SimpleNamespace(value=nothing), 1)]
+    ids = {t: ngrams._numbers(*ngrams.count_batch(pa.array([t])), nothing)[1][0] for t in ("aa", "bb", "cc", "dd")}
+    got = [(chunk, set(i)) for t in asked for chunk, i in zip(t.column("__chunk").to_pylist(), t.column("ids").to_pylist())]
+    assert got == [(7, {ids["aa"], ids["bb"]}), (2, {ids["cc"]}), (5, {ids["dd"]})]
+
+
 def test_accents_ligatures_and_syllables():
     assert ngrams.terms_of("\u00c4\u00e9 \ufb01n x yz_1") == ["ae", "fin", "yz_1", "ae fin", "fin yz_1"]
     assert ngrams.bare_text("\uac00") == "\u1100\u1161" and ngrams.bare_text("a\U0001d165b") == "ab"
