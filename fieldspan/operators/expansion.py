@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions.draws import draw_exact, fresh_seed, unit_draw
 from fieldspan.functions.predicates import holds_code, in_countries, is_labelled
-from fieldspan.session import bucketed, materialise
+from fieldspan.session import bucketed, materialise, small_shuffles
 
 # The level vocabulary.
 SEED, MANUAL, RANDOM_NEGATIVE, CLOSE_NEGATIVE = "SEED", "ANTISEED-manual", "ANTISEED-AF", "ANTISEED-AUG"
@@ -236,15 +236,17 @@ def citation_frontier(raw: DataFrame, level: int = 1) -> DataFrame:
 
 
 def citation_expansion(raw: DataFrame, links: DataFrame, key: str, kind: str, level: int = 1) -> DataFrame:
-    """Distinct keys one citation away from the round's frontier, in one direction."""
+    """Distinct keys one citation away from the round's frontier, in one direction. Runs when called."""
     start = citation_frontier(raw, level)
     reached = _neighbours(start, links.filter(F.col("kind") == kind), key)
-    return reached.select(key, F.lit(f"L{level}-{kind}").alias("expansion_level"))
+    with small_shuffles(raw.sparkSession):
+        return materialise(reached.select(key, F.lit(f"L{level}-{kind}").alias("expansion_level")))
 
 
 def full_citation_expansion(raw: DataFrame, links: DataFrame | StoredLinks, key: str, level: int = 1) -> DataFrame:
-    """Both directions of one round, in one pass over the links."""
-    return _as_levels(_neighbours(citation_frontier(raw, level), links, key), key, f"L{level}")
+    """Both directions of one round, in one pass over the links. Runs when called."""
+    with small_shuffles(raw.sparkSession):
+        return materialise(_as_levels(_neighbours(citation_frontier(raw, level), links, key), key, f"L{level}"))
 
 
 def reduce_expansion(raw: DataFrame, key: str, depth: int = 2) -> DataFrame:
@@ -297,7 +299,8 @@ def expand_raw(
     if odds is None:
         window = seed_year_window(block, publications, key)
         odds = class_odds(seed_class_freq(block, codes, key), universe_class_freq(codes, publications, window))
-        odds = materialise(top_classes(odds, n_pc))
+        with small_shuffles(labelled.sparkSession):
+            odds = materialise(top_classes(odds, n_pc))
     classes = class_expansion(odds, codes, key, n_pc)
     raw = block.unionByName(classes)
     frontier = citation_frontier(raw)
@@ -321,9 +324,10 @@ def expand(
     odds: DataFrame | None = None,
     depth: int = 2,
 ) -> DataFrame:
-    """The full expansion, reduced to one row per key. Stages the drawn seeds and the chosen codes when called."""
+    """The full expansion, reduced to one row per key. Runs when called: a plan keeps to partitions of a bounded size only while it runs here."""
     raw = expand_raw(labelled, publications, codes, links, key, share, draw_seed, n_pc, odds, depth)
-    return reduce_expansion(raw, key, depth)
+    with small_shuffles(labelled.sparkSession):
+        return materialise(reduce_expansion(raw, key, depth))
 
 
 def close_antiseed(
