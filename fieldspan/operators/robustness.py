@@ -17,7 +17,7 @@ from fieldspan.functions.draws import unit_draw_of
 from fieldspan.functions.predicates import is_labelled
 from fieldspan.operators.expansion import SEED, StoredLinks, follow
 from fieldspan.operators.summary import describe
-from fieldspan.session import materialise
+from fieldspan.session import materialise, small_shuffles
 
 _WORD = 62
 
@@ -79,6 +79,17 @@ class _Bits:
         words = F.array(*self.words)
         return F.filter(self.literal(), lambda r: F.get(words, r["word"]).bitwiseAND(r["bit"]) != 0)
 
+    def by_set_up(self) -> Column:
+        """The part of the set that each technology and share has, as an array of (technology, seed_share, m0, ...)."""
+        masks: dict[tuple[str, float], list[int]] = {}
+        for i, r in enumerate(self.runs):
+            masks.setdefault((r.technology, float(r.share)), [0] * len(self.words))[i // _WORD] |= 1 << (i % _WORD)
+        parts = [
+            F.struct(F.lit(t).alias("technology"), F.lit(s).alias("seed_share"), *[F.col(w).bitwiseAND(F.lit(m).cast("bigint")).alias(w) for w, m in zip(self.words, mask)])
+            for (t, s), mask in masks.items()
+        ]
+        return F.array(*parts)
+
     def listed(self) -> Column:
         """Their ids."""
         return F.transform(self.members(), lambda r: r["run_id"])
@@ -98,7 +109,15 @@ def expand_runs(
 
     ``labelled`` carries a ``technology`` column. The universe is counted once per
     (code, year) for the codes the seeds have, and each run sums its own years.
+    Runs when called, in partitions of a bounded size; the members are staged.
     """
+    with small_shuffles(labelled.sparkSession):
+        return materialise(_members_of_runs(labelled, publications, codes, links, key, runs, n_pc, depth))
+
+
+def _members_of_runs(
+    labelled: DataFrame, publications: DataFrame, codes: DataFrame, links: DataFrame | StoredLinks, key: str, runs: Sequence[Run], n_pc: int, depth: int
+) -> DataFrame:
     bits = _Bits(runs)
     labels = [key, "expansion_level", "technology", "copies"]
     block = labelled.filter(is_labelled() & F.col(key).isNotNull())
@@ -173,10 +192,11 @@ def expand_runs(
 
     rows = block.select(key, *bits.words).unionByName(classes)
     frontier = seeds.select(key, *bits.words).unionByName(classes).groupBy(key).agg(*bits.merged())
-    for _ in range(depth):
+    for level in range(1, depth + 1):
         start = frontier.withColumnRenamed(key, "key")
-        reached = follow(links, start, "inner")
-        frontier = reached.groupBy(F.col("target").alias(key)).agg(*bits.merged())
+        reached = follow(links, start, "inner").select(F.col("target").alias(key), *bits.words)
+        # No round starts from the last one, so its rows are merged with all others, in one shuffle.
+        frontier = reached.groupBy(key).agg(*bits.merged()) if level < depth else reached
         rows = rows.unionByName(frontier)
     return rows.groupBy(key).agg(*bits.merged())
 
@@ -191,13 +211,11 @@ def members_by_run(members: DataFrame, key: str, runs: Sequence[Run]) -> DataFra
 def patterns_from_members(members: DataFrame, runs: Sequence[Run]) -> DataFrame:
     """(technology, seed_share, runs[], n): how many keys have exactly this set of runs."""
     bits = _Bits(runs)
-    # Sizes, pairs and batches each read the counted sets; written once, the expansions run once.
-    counted = materialise(members.groupBy(*bits.words).agg(F.count(F.lit(1)).alias("n")))
-    sets = counted.select("n", *bits.words, F.inline(bits.members()))
-    sets = sets.groupBy(*bits.words, "n", F.col("run_technology").alias("technology"), "seed_share").agg(
-        F.array_sort(F.collect_list("run_id")).alias("runs")
-    )
-    return sets.groupBy("technology", "seed_share", "runs").agg(F.sum("n").alias("n"))
+    # Sizes, pairs and batches each read the patterns; written once, the expansions run once. Each technology and share counts
+    # its own part of a key's set, so what moves are the few sets of runs within those.
+    parts = members.select(F.inline(bits.by_set_up())).where(F.greatest(*[F.col(w) != 0 for w in bits.words], F.lit(False)))
+    counted = materialise(parts.groupBy("technology", "seed_share", *bits.words).agg(F.count(F.lit(1)).alias("n")))
+    return counted.select("technology", "seed_share", F.array_sort(bits.listed()).alias("runs"), "n")
 
 
 def run_patterns(table: DataFrame, key: str, by: Sequence[str] = ("technology", "seed_share")) -> DataFrame:

@@ -280,3 +280,46 @@ def test_stored_links_do_not_move(spark, rows, hub):
         assert rows(inner[0]) == rows(inner[1])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_expansions_run_in_partitions_of_a_bounded_size(spark, monkeypatch):
+    """What an expansion moves runs inside small shuffles, and the session's own numbers come back."""
+    given = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    seen = {}
+
+    def watched(module):
+        run = module.materialise
+
+        def materialise(df):
+            own = {name: spark.conf.get(name) for name in given}
+            seen.setdefault(module, []).append((df.columns, own != given and int(own["spark.sql.shuffle.partitions"])))
+            return run(df)
+
+        monkeypatch.setattr(module, "materialise", materialise)
+
+    watched(x), watched(r)
+    _, publications = graph(spark, 40)
+    labelled = table(spark, [("one", str(i), "SEED") for i in range(9)], f"technology string, {K} string, expansion_level string")
+    args = (publications, class_pairs(publications, K, "cpc"), citation_links(publications, K), K)
+    x.expand(labelled.drop("technology"), *args, n_pc=3)
+    assert "nb_match" in seen[x][-1][0] and seen[x][-1][1] >= 200
+    r.expand_runs(labelled, *args, r.plan_runs(["one"], [0.9], 3), n_pc=3)
+    assert all(partitions >= 200 for _, partitions in seen[r]) and seen[r][-1][0] == [K, "m0"]
+    assert {name: spark.conf.get(name) for name in given} == given
+
+
+def test_sets_of_runs_are_told_apart_where_they_lie(spark, rows, monkeypatch):
+    """One shuffle, of the sets within a technology and share; the ids of every key's runs are not moved."""
+    plans = []
+    monkeypatch.setattr(r, "materialise", lambda df, run=r.materialise: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), run(df))[1])
+    runs = r.plan_runs(["one", "two"], [0.5, 0.9], 20)
+    of_key = [sorted({random.Random(k).randrange(80) for _ in range(k % 7)}) for k in range(60)]
+    places = {run.run_id: i for i, run in enumerate(sorted(runs, key=lambda run: run.run_id))}
+    ids = sorted(places)
+    members = table(spark, [(k, sum(1 << i for i in own if i < 62), sum(1 << i - 62 for i in own if i >= 62)) for k, own in enumerate(of_key)], "k int, m0 long, m1 long")
+    got = r.patterns_from_members(members, runs)
+    columns = ["technology", "seed_share", "runs", "n"]
+    named = {run.run_id: run for run in runs}
+    by_run = table(spark, [(named[ids[i]].technology, named[ids[i]].share, ids[i], k) for k, own in enumerate(of_key) for i in own], "technology string, seed_share double, run_id string, k int")
+    assert rows(got, *columns) == rows(r.run_patterns(by_run, "k"), *columns)
+    assert len(plans) == 1 and plans[0].count("Aggregate") == 1 and "run_id" not in plans[0]
