@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import partial, reduce
 from typing import NamedTuple
@@ -11,6 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from fieldspan.operators.ngrams import (
     BROADCAST_TERMS,
     MIN_DF,
+    MOST_DF,
     TOP_K,
     Known,
     TermTable,
@@ -35,6 +37,8 @@ from fieldspan.session import let_workers_import, map_arrow, materialise, stage
 
 #: Weights of all models that may travel to the tasks at once (numbers of 8 bytes); more models are scored in several passes.
 BROADCAST_WEIGHTS = 1 << 22
+#: Weighed terms, and sums of texts by model, that a task holds where texts are sent to the weights.
+SENT_TERMS, SENT_SUMS = 1 << 22, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -138,20 +142,54 @@ def fit_classifier(
     return TextModel(terms, ids, tuple(parts))
 
 
-def linear_models(weights: DataFrame, terms: TermTable) -> dict[str, TextModel]:
-    """Models by name from given (model_id, term, coefficient); a null term is the intercept. Terms that the table lacks drop."""
-    known = weights.where("term is not null").join(terms.table.select("term", "id"), "term").select("model_id", "id", "coefficient")
+@dataclass(frozen=True, eq=False)
+class LinearModels(Mapping):
+    """Linear models over one term table whose weights stay a table: (id, df, columns, coefficients), one row per term.
+
+    A column is a model's place in ``names``, with the intercepts in ``bias``. A model asked for by its name is gathered.
+    """
+
+    terms: TermTable
+    table: DataFrame
+    names: list[str]
+    bias: np.ndarray
+
+    def __getitem__(self, name: str) -> TextModel:
+        if name not in self.names:
+            raise KeyError(name)
+        column = self.names.index(name)
+        rows = self.table.select("id", F.inline(F.arrays_zip("columns", "coefficients"))).where(F.col("columns") == column).toArrow()
+        order = np.argsort(ids := rows.column("id").to_numpy())
+        return TextModel(self.terms, ids[order], ((rows.column("coefficients").to_numpy()[order][:, None], self.bias[column : column + 1]),))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def linear_models(weights: DataFrame, terms: TermTable) -> LinearModels:
+    """Models by name from given (model_id, term, coefficient); a null term is the intercept. Terms that the table lacks drop.
+
+    Names and intercepts reach the driver, the coefficients are staged, one row per term. Runs when called.
+    """
     intercepts = weights.where("term is null").groupBy("model_id").agg(F.sum("coefficient").alias("bias"))
     bias = {r.model_id: r.bias for r in weights.select("model_id").distinct().join(intercepts, "model_id", "left").collect()}
-    rows = known.toArrow()
-    ids, coefficients = rows.column("id").to_numpy(), rows.column("coefficient").to_numpy()
-    names = np.array(rows.column("model_id").to_pylist(), object)
-    models = {}
-    for name in sorted(bias):
-        own = np.flatnonzero(names == name)
-        own = own[np.argsort(ids[own])]
-        models[name] = TextModel(terms, ids[own], ((coefficients[own][:, None], np.array([bias[name] or 0.0])),))
-    return models
+    names = sorted(bias)
+    columns = weights.sparkSession.createDataFrame(list(enumerate(names)), "column int, model_id string")
+    coefficient = F.coalesce(F.col("coefficient").cast("double"), F.lit(float("nan"))).alias("coefficient")
+    own = weights.where("term is not null").join(F.broadcast(columns), "model_id").select("term", "column", coefficient)
+    own = own.groupBy("term").agg(F.collect_list(F.struct("column", "coefficient")).alias("own")).join(terms.table.select("term", "id", "df"), "term")
+    table = own.select("id", "df", F.col("own.column").alias("columns"), F.col("own.coefficient").alias("coefficients"))
+    return LinearModels(terms, materialise(table), names, np.array([bias[n] or 0.0 for n in names]))
+
+
+class _Names(NamedTuple):
+    """Names and intercepts of linear models, without their table."""
+
+    names: list[str]
+    bias: np.ndarray
 
 
 class _Stack(NamedTuple):
@@ -182,19 +220,26 @@ def _stacked(models: dict[str, TextModel], known: Known | None) -> _Stack:
     return _Stack(known, own, np.append(starts, len(ids)), columns[order], weights[order], at, placed)
 
 
+def _first_sums(stack: _Stack, rows: int, row: np.ndarray, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Text x output: the sums of the first layers, for texts given as (text, id, weight)."""
+    if not len(stack.ids):
+        return np.zeros((rows, stack.width))
+    place = np.searchsorted(stack.ids, ids)
+    place[place == len(stack.ids)] = 0
+    found = stack.ids[place] == ids
+    row, place, values = row[found], place[found], values[found]
+    n = stack.starts[place + 1] - stack.starts[place]
+    entry = np.repeat(stack.starts[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    sums = np.bincount(np.repeat(row, n) * stack.width + stack.columns[entry], np.repeat(values, n) * stack.weights[entry], rows * stack.width)
+    return sums.reshape(rows, stack.width)
+
+
 def _forward(stack: _Stack, rows: int, row: np.ndarray, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """(model, probabilities of class 1) for texts given as (text, id, weight)."""
-    if len(stack.ids):
-        place = np.searchsorted(stack.ids, ids)
-        place[place == len(stack.ids)] = 0
-        found = stack.ids[place] == ids
-        row, place, values = row[found], place[found], values[found]
-        n = stack.starts[place + 1] - stack.starts[place]
-        entry = np.repeat(stack.starts[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        sums = np.bincount(np.repeat(row, n) * stack.width + stack.columns[entry], np.repeat(values, n) * stack.weights[entry], rows * stack.width)
-        sums = sums.reshape(rows, stack.width)
-    else:
-        sums = np.zeros((rows, stack.width))
+    return _outputs(stack, _first_sums(stack, rows, row, ids, values))
+
+
+def _outputs(stack: _Stack, sums: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     for name, own, bias, rest in stack.models:
         out = sums[:, own] + bias
         for weights, offset in rest:
@@ -226,14 +271,145 @@ def _score_weighed(batches: Iterator[pa.RecordBatch], stack) -> Iterator[pa.Reco
         yield from _scored(batch.columns[:-2], batch.schema.names[:-2], found)
 
 
-def ensemble_scores(models: dict[str, TextModel], df: DataFrame, key: str, text: str = "text", most: int = BROADCAST_TERMS, most_weights: int = BROADCAST_WEIGHTS) -> DataFrame:
+def _linear_stack(models: LinearModels | _Names, rows: pa.Table, known: Known | None) -> _Stack:
+    """Rows of a table of linear models, as a stack."""
+    order = np.argsort(ids := rows.column("id").to_numpy())
+    rows = rows.take(pa.array(order)).combine_chunks()
+    columns, coefficients = (pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], pa.list_(kind)) for c, kind in (("columns", pa.int32()), ("coefficients", pa.float64())))
+    starts = np.concatenate(([0], np.cumsum(columns.value_lengths().to_numpy()))).astype(np.int64)
+    placed = [(name, slice(i, i + 1), models.bias[i : i + 1], ()) for i, name in enumerate(models.names)]
+    return _Stack(known, ids[order], starts, columns.flatten().to_numpy(), coefficients.flatten().to_numpy(), len(models.names), placed)
+
+
+def _among(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(sorted_ids, ids)
+    place[place == len(sorted_ids)] = 0
+    return sorted_ids[place] == ids if len(sorted_ids) else np.zeros(len(ids), bool)
+
+
+def _lists_of(row: np.ndarray, rows: int, *values: np.ndarray) -> list[pa.Array]:
+    """List columns of values in the order of their rows."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+
+
+def _begun(batches: Iterator[pa.RecordBatch], stack, asked) -> Iterator[pa.RecordBatch]:
+    """(chunk, row, key, sums, ids, weights): the sums of the weights that travel, and the terms that have others.
+
+    A chunk is an Arrow batch, so bounded. Without a list of terms that have other weights, all the rest may have some.
+    """
+    first, one = TaskContext.get().partitionId() << 33, stack.value
+    for number, batch in enumerate(batches):
+        key, own, weights = batch.columns
+        n = len(batch)
+        row, ids, values = np.repeat(np.arange(n), own.value_lengths().to_numpy()), own.flatten().to_numpy(), weights.flatten().to_numpy()
+        sums = _first_sums(one, n, row, ids, values)
+        rest = ~_among(one.ids, ids) if asked is None else _among(asked.value, ids)
+        lists = _lists_of(row[rest], n, ids[rest], values[rest])
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * one.width, pa.int32()), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first + number)), pa.array(np.arange(n), pa.int32()), key, sums, *lists], ["__chunk", "__row", batch.schema.names[0], "__sums", "ids", "weights"])
+
+
+def _sent(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """(block, chunk, rows, ids, weights): a chunk's weighed terms by the block that has their weights."""
+    for batch in batches:
+        chunks, numbers, own, weights = batch.columns
+        at = np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())
+        chunk, row, ids, values = chunks.to_numpy()[at], numbers.to_numpy()[at], own.flatten().to_numpy(), weights.flatten().to_numpy()
+        block = np.mod(ids, blocks)
+        order = np.lexsort((block, chunk))
+        chunk, block = chunk[order], block[order]
+        begin = np.flatnonzero(np.concatenate(([True], (np.diff(chunk) != 0) | (np.diff(block) != 0)))) if len(ids) else np.empty(0, np.int64)
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(ids))))
+        lists = _lists_of(group, len(begin), row[order], ids[order], values[order])
+        yield pa.RecordBatch.from_arrays([pa.array(block[begin], pa.int64()), pa.array(chunk[begin], pa.int64()), *lists], ["block", "__chunk", "rows", "ids", "weights"])
+
+
+def _block_sums(sent: pa.Table, table: pa.Table, models) -> pa.Table:
+    """(chunk, rows, sums): what a block's weights add to the texts of each chunk."""
+    stack, found = _linear_stack(models.value, table, None), []
+    for chunk, rows, ids, values in zip(*(sent.column(c) for c in ("__chunk", "rows", "ids", "weights"))):
+        own, row = np.unique(rows.values.to_numpy(), return_inverse=True)
+        sums = _first_sums(stack, len(own), row, ids.values.to_numpy(), values.values.to_numpy())
+        found.append((chunk.as_py(), own, sums.ravel()))
+    chunks, rows, sums = zip(*found) if found else ((), (), ())
+    lists = [pa.array(rows, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.float64()))]
+    return pa.table([pa.array(chunks, pa.int64()), *lists], ["__chunk", "rows", "sums"])
+
+
+def _added(begun: pa.Table, parts: pa.Table, models) -> pa.Table:
+    """(model_id, key, score) of a chunk: the sums of the weights that travel and of all blocks."""
+    linear = models.value
+    width, n = len(linear.names), begun.num_rows
+    begun = begun.combine_chunks()
+    place = np.empty(n, np.int64)
+    place[begun.column("__row").to_numpy()] = np.arange(n)
+    sums = np.concatenate([x.flatten().to_numpy() for x in begun.column("__sums").chunks]).reshape(n, width)
+    for rows, own in zip(parts.column("rows"), parts.column("sums")):
+        sums[place[rows.values.to_numpy()]] += own.values.to_numpy().reshape(-1, width)
+    stack = _linear_stack(linear, pa.table({"id": pa.array([], pa.int64()), "columns": pa.array([], pa.list_(pa.int32())), "coefficients": pa.array([], pa.list_(pa.float64()))}), None)
+    key = begun.column(2).combine_chunks()
+    return pa.Table.from_batches(_scored([key], [begun.column_names[2]], _outputs(stack, sums)))
+
+
+def _linear_scores(models: LinearModels, df: DataFrame, key: str, text: str, most: int, most_weights: int) -> DataFrame:
+    """``ensemble_scores`` of models whose weights are a table, of any size.
+
+    At most ``most_weights`` weights, those of the terms found in the most texts, travel to the tasks. For the others the
+    texts' weighed terms are sent to blocks of weights, and the sums of each chunk of texts come back. Texts are weighed once.
+    """
+    spark, terms = df.sparkSession, models.terms
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"model_id string, `{key}` {kind}, score double"
+    if not len(models):
+        return spark.createDataFrame([], schema)
+    known = known_terms(spark, terms, most)
+    level = F.least("df", F.lit(MOST_DF))
+    by_df = models.table.groupBy(level.alias("df")).agg(F.sum(F.size("columns")).alias("n"), F.count(F.lit(1)).alias("terms")).collect()
+    cut, held = MOST_DF + 1, 0
+    for r in sorted(by_df, key=lambda r: -r.df):
+        if held + r.n > most_weights:
+            break
+        cut, held = r.df, held + r.n
+    columns = ["id", "columns", "coefficients"]
+    travelling = _linear_stack(models, models.table.where(level >= cut).select(columns).toArrow(), known)
+    rest, n_rest = models.table.where(level < cut).select(columns), sum(r.n for r in by_df) - held
+    if not n_rest and known is not None:
+        rows = df.select(F.col(key), F.col(text).alias("__text"))
+        return map_arrow(rows, partial(_score_texts, stacks=spark.sparkContext.broadcast([travelling])), schema)
+    weighed = tfidf_terms(df, terms, [key], text, most).select(key, "ids", "weights")
+    stack = spark.sparkContext.broadcast(travelling._replace(known=None))
+    if not n_rest:
+        return map_arrow(weighed, partial(_score_weighed, stack=stack), schema)
+    asked = None
+    if sum(r.terms for r in by_df if r.df < cut) <= most:
+        asked = spark.sparkContext.broadcast(np.sort(rest.select("id").toArrow().column("id").to_numpy()))
+    begun = materialise(map_arrow(weighed, partial(_begun, stack=stack, asked=asked), f"__chunk long, __row int, `{key}` {kind}, __sums array<double>, ids array<long>, weights array<double>"))
+    blocks = -(-n_rest // most_weights)
+    n_texts, n_sent = begun.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    slices = max(1, -(-n_sent // (blocks * SENT_TERMS)), -(-n_texts * len(models) // SENT_SUMS))
+    by = ["block", "slice"]
+    sent = map_arrow(begun.select("__chunk", "__row", "ids", "weights"), partial(_sent, blocks=blocks), "block long, __chunk long, rows array<int>, ids array<long>, weights array<double>")
+    sent = sent.withColumn("slice", F.pmod("__chunk", F.lit(slices).cast("long")))
+    table = rest.withColumn("block", F.pmod("id", F.lit(blocks).cast("long"))).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    # What the tasks need of the models besides the weights.
+    plain = spark.sparkContext.broadcast(_Names(models.names, models.bias))
+    parts = sent.groupBy(*by).cogroup(table.groupBy(*by)).applyInArrow(partial(_block_sums, models=plain), "__chunk long, rows array<int>, sums array<double>")
+    begun = begun.select("__chunk", "__row", key, "__sums")
+    return begun.groupBy("__chunk").cogroup(parts.groupBy("__chunk")).applyInArrow(partial(_added, models=plain), schema)
+
+
+def ensemble_scores(models: Mapping[str, TextModel], df: DataFrame, key: str, text: str = "text", most: int = BROADCAST_TERMS, most_weights: int = BROADCAST_WEIGHTS) -> DataFrame:
     """(model_id, key, score): probability of class 1 by every model, for every row of (key, text).
 
     One scan that cuts each text into terms once: models with the same term table are stacked into one table of
     term x output. Term tables and weights travel to the tasks as long as they are within ``most``
     terms and ``most_weights`` numbers together; what does not fit any more is scored in further passes, and a term
     table that is too large on its own is joined with the texts' terms. Counts the term tables when called.
+    Of ``LinearModels`` as many weights travel as are within ``most_weights``, and the others stay where they are.
     """
+    if isinstance(models, LinearModels):
+        return _linear_scores(models, df, key, text, most, most_weights)
     spark = df.sparkSession
     rows = df.select(F.col(key), F.col(text).alias("__text"))
     schema = f"model_id string, `{key}` {rows.schema[key].dataType.simpleString()}, score double"

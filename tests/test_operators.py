@@ -488,6 +488,36 @@ def test_given_linear_models(spark):
     assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize(("most", "most_weights"), [(1 << 22, 40), (1 << 22, 0), (3, 40), (3, 1 << 22)])
+def test_weights_of_linear_models_stay_a_table(spark, monkeypatch, most, most_weights):
+    """Scores do not depend on what travels, and what reaches the driver does not grow with the weights."""
+    rnd = np.random.default_rng(3)
+    docs = spark.createDataFrame([(None if i == 5 else i % 90, " ".join(f"w{w}" for w in rnd.geometric(0.05, 9)) if i % 11 else None) for i in range(120)], "k int, text string").repartition(3)
+    terms = ngrams.fit_terms(docs, min_df=1)
+    rows = [(f"m{m}", r.term, float(rnd.normal())) for m in range(7) for r in terms.table.orderBy("term").collect() if (m + len(r.term)) % 3]
+    weights = spark.createDataFrame([*rows, *rows[:4], ("m1", None, 0.5), ("only", None, -0.5), ("m2", "unheard", 9.0)], "model_id string, term string, coefficient double")
+    own = {}
+    for m, term, x in [*rows, *rows[:4]]:
+        own[m, term] = own.get((m, term), 0.0) + x
+    expected = []
+    names, idf = [*[f"m{m}" for m in range(7)], "only"], {r.term: r.idf for r in terms.table.collect()}
+    for k, text in docs.collect():
+        n = ngrams.Counter(ngrams.terms_of(text))
+        length = math.sqrt(sum((c * idf[w]) ** 2 for w, c in n.items())) or 1.0
+        for m in names:
+            s = sum(c * idf[w] / length * own.get((m, w), 0.0) for w, c in n.items()) + {"m1": 0.5, "only": -0.5}.get(m, 0.0)
+            expected.append((m, -1 if k is None else k, 1 / (1 + math.exp(-s))))
+    gathered = []
+    monkeypatch.setattr(type(docs), "toArrow", lambda df, run=type(docs).toArrow: (gathered.append(table := run(df)), table)[1])
+    models = classify.linear_models(weights, terms)
+    assert not gathered and sorted(models) == names
+    scores = classify.ensemble_scores(models, docs, "k", most=most, most_weights=most_weights or 1)
+    assert max([t.num_rows for t in gathered if "columns" in t.column_names]) * 4 <= most_weights + 8
+    got = sorted((r.model_id, -1 if r.k is None else r.k, r.score) for r in scores.collect())
+    assert [g[:2] for g in got] == [e[:2] for e in sorted(expected)] and np.allclose([g[2] for g in got], [e[2] for e in sorted(expected)])
+    assert models["only"].ids.tolist() == [] and len(models["m1"].ids) == len({t for m, t in own if m == "m1"})
+
+
 def test_meta_of_a_fitted_model_is_read_back(spark, tmp_path):
     scored = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, 0.6)], "label int, score double")
     metrics = classify.class_metrics(scored)
