@@ -25,6 +25,7 @@ from fieldspan.operators.ngrams import (
     TOP_K,
     Known,
     TermTable,
+    _place,
     anova_f,
     count_batch,
     fit_terms,
@@ -32,6 +33,7 @@ from fieldspan.operators.ngrams import (
     look_up,
     tfidf_terms,
     top_terms,
+    weighed_chunks,
 )
 from fieldspan.session import let_workers_import, map_arrow, materialise, stage
 
@@ -174,8 +176,8 @@ def linear_models(weights: DataFrame, terms: TermTable) -> LinearModels:
 
     Names and intercepts reach the driver, the coefficients are staged, one row per term. Runs when called.
     """
-    intercepts = weights.where("term is null").groupBy("model_id").agg(F.sum("coefficient").alias("bias"))
-    bias = {r.model_id: r.bias for r in weights.select("model_id").distinct().join(intercepts, "model_id", "left").collect()}
+    intercept = F.when(F.col("term").isNull() & F.col("model_id").isNotNull(), F.col("coefficient"))
+    bias = {r.model_id: r.bias for r in weights.groupBy("model_id").agg(F.sum(intercept).alias("bias")).collect()}
     names = sorted(bias)
     columns = weights.sparkSession.createDataFrame(list(enumerate(names)), "column int, model_id string")
     coefficient = F.coalesce(F.col("coefficient").cast("double"), F.lit(float("nan"))).alias("coefficient")
@@ -193,7 +195,10 @@ class _Names(NamedTuple):
 
 
 class _Stack(NamedTuple):
-    """First layers of several models over one term table, as a sparse table of term x output, and what follows them."""
+    """First layers of several models over one term table, as a sparse table of term x output, and what follows them.
+
+    Where most of that table is filled, ``dense`` has it instead of ``starts``, ``columns`` and ``weights``.
+    """
 
     known: Known | None
     ids: np.ndarray
@@ -202,6 +207,7 @@ class _Stack(NamedTuple):
     weights: np.ndarray
     width: int
     models: list[tuple[str, slice, np.ndarray, tuple]]
+    dense: np.ndarray | None = None
 
 
 def _stacked(models: dict[str, TextModel], known: Known | None) -> _Stack:
@@ -224,16 +230,28 @@ def _first_sums(stack: _Stack, rows: int, row: np.ndarray, ids: np.ndarray, valu
     """Text x output: the sums of the first layers, for texts given as (text, id, weight)."""
     if not len(stack.ids):
         return np.zeros((rows, stack.width))
-    place = np.searchsorted(stack.ids, ids)
-    place[place == len(stack.ids)] = 0
-    found = stack.ids[place] == ids
+    place, found = _place(stack.ids, ids)
     row, place, values = row[found], place[found], values[found]
+    if stack.dense is not None:
+        return _dense_sums(stack.dense, rows, row, place, values)
     n = stack.starts[place + 1] - stack.starts[place]
     entry = np.repeat(stack.starts[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
     sums = np.bincount(np.repeat(row, n) * stack.width + stack.columns[entry], np.repeat(values, n) * stack.weights[entry], rows * stack.width)
     return sums.reshape(rows, stack.width)
 
 
+def _dense_sums(dense: np.ndarray, rows: int, row: np.ndarray, place: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if (row[1:] < row[:-1]).any():
+        order = np.argsort(row, kind="stable")
+        row, place, values = row[order], place[order], values[order]
+    sums = np.zeros((rows, dense.shape[1]))
+    ends = np.searchsorted(row, np.arange(rows + 1)).tolist()
+    for n, (a, b) in enumerate(zip(ends, ends[1:])):
+        if a < b:
+            np.dot(values[a:b], dense.take(place[a:b], 0), sums[n])
+    return sums
+
+
 def _forward(stack: _Stack, rows: int, row: np.ndarray, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """(model, probabilities of class 1) for texts given as (text, id, weight)."""
     return _outputs(stack, _first_sums(stack, rows, row, ids, values))
@@ -278,13 +296,17 @@ def _linear_stack(models: LinearModels | _Names, rows: pa.Table, known: Known |
     columns, coefficients = (pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], pa.list_(kind)) for c, kind in (("columns", pa.int32()), ("coefficients", pa.float64())))
     starts = np.concatenate(([0], np.cumsum(columns.value_lengths().to_numpy()))).astype(np.int64)
     placed = [(name, slice(i, i + 1), models.bias[i : i + 1], ()) for i, name in enumerate(models.names)]
-    return _Stack(known, ids[order], starts, columns.flatten().to_numpy(), coefficients.flatten().to_numpy(), len(models.names), placed)
+    width, columns, weights = len(models.names), columns.flatten().to_numpy(), coefficients.flatten().to_numpy()
+    stack = _Stack(known, ids[order], starts, columns, weights, width, placed)
+    if 2 * len(weights) < len(ids) * width or not len(ids):
+        return stack
+    at = np.repeat(np.arange(len(ids)) * width, np.diff(starts)) + columns
+    none = np.empty(0, np.int64)
+    return stack._replace(starts=none, columns=none, weights=none, dense=np.bincount(at, weights, len(ids) * width).reshape(-1, width))
 
 
 def _among(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    place = np.searchsorted(sorted_ids, ids)
-    place[place == len(sorted_ids)] = 0
-    return sorted_ids[place] == ids if len(sorted_ids) else np.zeros(len(ids), bool)
+    return _place(sorted_ids, ids)[1]
 
 
 def _lists_of(row: np.ndarray, rows: int, *values: np.ndarray) -> list[pa.Array]:
@@ -298,16 +320,23 @@ def _begun(batches: Iterator[pa.RecordBatch], stack, asked) -> Iterator[pa.Recor
 
     A chunk is an Arrow batch, so bounded. Without a list of terms that have other weights, all the rest may have some.
     """
-    first, one = TaskContext.get().partitionId() << 33, stack.value
+    first = TaskContext.get().partitionId() << 33
     for number, batch in enumerate(batches):
         key, own, weights = batch.columns
-        n = len(batch)
-        row, ids, values = np.repeat(np.arange(n), own.value_lengths().to_numpy()), own.flatten().to_numpy(), weights.flatten().to_numpy()
-        sums = _first_sums(one, n, row, ids, values)
-        rest = ~_among(one.ids, ids) if asked is None else _among(asked.value, ids)
-        lists = _lists_of(row[rest], n, ids[rest], values[rest])
-        sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * one.width, pa.int32()), pa.array(sums.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first + number)), pa.array(np.arange(n), pa.int32()), key, sums, *lists], ["__chunk", "__row", batch.schema.names[0], "__sums", "ids", "weights"])
+        row = np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())
+        rows = pa.table([pa.array(np.full(len(batch), first + number)), key], ["__chunk", batch.schema.names[0]])
+        yield from _begun_chunk(rows, row, own.flatten().to_numpy(), None, weights.flatten().to_numpy(), stack, asked).to_batches()
+
+
+def _begun_chunk(rows: pa.Table, row: np.ndarray, ids: np.ndarray, tfs: np.ndarray | None, weights: np.ndarray, stack, asked) -> pa.Table:
+    """The same of one chunk, of which (text, id, weight) are given."""
+    one, n = stack.value, rows.num_rows
+    sums = _first_sums(one, n, row, ids, weights)
+    rest = ~_among(one.ids, ids) if asked is None else _among(asked.value, ids)
+    lists = _lists_of(row[rest], n, ids[rest], weights[rest])
+    sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * one.width, pa.int32()), pa.array(sums.ravel()))
+    chunk, key = rows.columns
+    return pa.table([chunk, pa.array(np.arange(n), pa.int32()), key, sums, *lists], ["__chunk", "__row", rows.column_names[1], "__sums", "ids", "weights"])
 
 
 def _sent(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -377,14 +406,21 @@ def _linear_scores(models: LinearModels, df: DataFrame, key: str, text: str, mos
     if not n_rest and known is not None:
         rows = df.select(F.col(key), F.col(text).alias("__text"))
         return map_arrow(rows, partial(_score_texts, stacks=spark.sparkContext.broadcast([travelling])), schema)
-    weighed = tfidf_terms(df, terms, [key], text, most).select(key, "ids", "weights")
     stack = spark.sparkContext.broadcast(travelling._replace(known=None))
     if not n_rest:
+        weighed = tfidf_terms(df, terms, [key], text, most).select(key, "ids", "weights")
         return map_arrow(weighed, partial(_score_weighed, stack=stack), schema)
     asked = None
     if sum(r.terms for r in by_df if r.df < cut) <= most:
         asked = spark.sparkContext.broadcast(np.sort(rest.select("id").toArrow().column("id").to_numpy()))
-    begun = materialise(map_arrow(weighed, partial(_begun, stack=stack, asked=asked), f"__chunk long, __row int, `{key}` {kind}, __sums array<double>, ids array<long>, weights array<double>"))
+    begun_schema = f"__chunk long, __row int, `{key}` {kind}, __sums array<double>, ids array<long>, weights array<double>"
+    if known is None:
+        rows = df.select(F.col(key), F.col(text).alias("__text"))
+        begun = weighed_chunks(rows, terms, most, partial(_begun_chunk, stack=stack, asked=asked), begun_schema)
+    else:
+        weighed = tfidf_terms(df, terms, [key], text, most).select(key, "ids", "weights")
+        begun = map_arrow(weighed, partial(_begun, stack=stack, asked=asked), begun_schema)
+    begun = materialise(begun)
     blocks = -(-n_rest // most_weights)
     n_texts, n_sent = begun.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     slices = max(1, -(-n_sent // (blocks * SENT_TERMS)), -(-n_texts * len(models) // SENT_SUMS))

@@ -14,7 +14,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from fieldspan.functions import copies, countries, predicates
+from fieldspan.functions import copies, countries, predicates, slices
 from fieldspan.operators import annotations, candidates, classify, corpus, ensembles, features, ngrams, stats, summary, training
 from fieldspan.sources import files, schemas
 from fieldspan.streaming.scoring import score_new_files
@@ -398,6 +398,66 @@ def test_ids_are_those_of_the_jvm(spark):
     assert all(r.id == xxhash.xxh64_intdigest(r.term, 42) & (1 << 63) - 1 for r in table.table.collect())
 
 
+ODD_TEXTS = [None, "", "a", "Hello a World_1 x-y zz zz", "\u00c4\u00e9 \ufb01n x yz_1 \u65e5\u672c \u65e5 \u65e5\u672c", "\u00e9 \u1d2c\u1d2c ab ab ab ab", "x" * 40 + " " + "y" * 50 + " x", "\u0130stanbul \u212a\u212a", "ab\x00cd\tef", " lead", "trail ", "\u0663\u0664 ab"]
+
+
+def test_many_slices_are_hashed_as_one_by_one():
+    rnd = np.random.default_rng(5)
+    data = np.concatenate((rnd.integers(0, 256, 500, dtype=np.uint8), np.zeros(slices.PAD, np.uint8)))
+    starts, lengths = rnd.integers(0, 400, 900), np.arange(900) % 100
+    expected = [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(starts, lengths)]
+    assert slices.xxh64(data, starts, lengths).tolist() == expected
+    assert slices.joined(data, starts, lengths).tobytes() == b"".join(data[a : a + n].tobytes() for a, n in zip(starts, lengths))
+    copy = np.concatenate((data, data))
+    assert slices.equal(copy, starts, starts + len(data), lengths)
+    copy[len(data) + starts[99] + 98] ^= 1
+    assert not slices.equal(copy, starts[99:100], starts[99:100] + len(data), lengths[99:100])
+
+
+@pytest.mark.parametrize("clash", [False, True])
+@pytest.mark.parametrize("block", [1, 1 << 17])
+def test_texts_are_counted_in_arrays(monkeypatch, clash, block):
+    """Also where texts end a block, and where all terms have one hash."""
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", block)
+    if clash:
+        monkeypatch.setattr(slices, "xxh64", lambda data, starts, lengths: np.full(len(starts), 7, np.uint64))
+    expected = [[*ngrams.Counter(ngrams.terms_of(t)).items()] for t in ODD_TEXTS]
+    for texts in (pa.array(ODD_TEXTS), pa.array([ngrams._bytes(t) for t in ODD_TEXTS], pa.binary()), pa.array(ODD_TEXTS[:3])):
+        counted, ends = ngrams.count_batch(texts)
+        got = [*zip(counted.terms(), counted.tfs.tolist())]
+        assert [got[a:b] for a, b in zip(ends, ends[1:])] == expected[: len(texts)]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+@pytest.mark.parametrize("held", [1, 9, 1 << 20])
+def test_terms_are_sent_and_added_up_in_arrays(monkeypatch, clash, held):
+    """Rows per group of terms, not per term; a group goes on over batches."""
+    if clash:
+        monkeypatch.setattr(slices, "xxh64", lambda data, starts, lengths: np.full(len(starts), 7, np.uint64))
+    monkeypatch.setattr(ngrams, "SENT_GROUPS", 4)
+    texts = [*ODD_TEXTS, *ODD_TEXTS[3:]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5], pa.string())], ["text"]) for i in range(0, len(texts), 5)]
+    rows = pa.Table.from_batches(ngrams._distinct_terms(iter(batches), held, 63))
+    assert rows.num_rows <= 4 * (len(batches) + 1)
+    batches = rows.sort_by("group").combine_chunks().to_batches(max_chunksize=1)
+    got = pa.Table.from_batches(ngrams._added_up(iter(batches), 2, held, 63)).to_pylist()
+    counts = ngrams.Counter(t for text in texts for t in set(ngrams.terms_of(text)))
+    assert sum(r["df"] for r in got if r["term"] is None) == len(texts)
+    assert {r["term"]: r["df"] for r in got if r["term"] is not None} == {t: n for t, n in counts.items() if n > 1}
+    assert all(r["shared"] == clash for r in got if r["term"] is not None)
+
+
+def test_first_sums_are_made_where_texts_are_weighed(spark, monkeypatch):
+    """A large term table: what is staged for the first sums is made where the texts are weighed."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x{i % 5}") for i in range(40)], "k int, text string")
+    terms = ngrams.fit_terms(docs, min_df=1)
+    weights = spark.createDataFrame([(m, r.term, 0.5) for r in terms.table.collect() for m in "ab"], "model_id string, term string, coefficient double")
+    models, plans = classify.linear_models(weights, terms), []
+    monkeypatch.setattr(classify, "materialise", lambda df, run=classify.materialise: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), run(df))[1])
+    assert classify.ensemble_scores(models, docs, "k", most=3, most_weights=4).count() == 80
+    assert sum("InArrow" in line for line in plans[-1].splitlines()) <= 3 and "tfs" not in plans[-1]
+
+
 def test_counted_candidates_give_the_same_families(spark, pubs, research, rows):
     listed = spark.createDataFrame([("p1",), ("p5",)], "publication_number string")
     long_way = candidates.family_candidates(candidates.all_candidates(research, listed, ["two"], ["A/"]), pubs)
