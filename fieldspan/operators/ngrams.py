@@ -8,6 +8,7 @@ Texts are cut, hashed and counted a block at a time, in arrays: no term is a Pyt
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections import Counter
@@ -41,7 +42,7 @@ BLOCK_BYTES = 1 << 17
 ID_BITS = 63
 
 WORD = re.compile(r"\w\w+")
-#: Whether a byte is part of a word, in a text whose other characters are found apart.
+# Whether a byte is part of a word, in the bytes of a bare text.
 _IN_WORD = np.array([c > 127 or WORD.fullmatch(2 * chr(c)) is not None for c in range(256)])
 # Marks of the basic plane are one table for the engine; those above it would be tried range by range at every character.
 _MARKS, _HIGH_MARKS = (
@@ -64,6 +65,26 @@ def terms_of(text: str | None) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+class _Bare(dict):
+    """What ``bare_text`` makes of a lower-case character, by its number: each is taken apart by itself, and the marks it
+    leaves in another order drop. What is not part of a word is a blank."""
+
+    def __missing__(self, point: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(point))
+        self[point] = "".join(c if WORD.fullmatch(2 * c) else " " for c in parts if not unicodedata.combining(c))
+        return self[point]
+
+
+_BARE = _Bare()
+# The engine finds the runs of characters that are not ASCII; the others need nothing.
+codecs.register_error("fieldspan-bare", lambda e: (e.object[e.start : e.end].translate(_BARE).encode(), e.end))
+
+
+def bare_bytes(text: str | None) -> bytes:
+    """``bare_text`` in UTF-8, where a byte above 127 is always part of a word."""
+    return text.lower().encode("ascii", "fieldspan-bare") if text else b""
+
+
 @dataclass(frozen=True)
 class TermTable:
     """Terms of the texts it was fitted on: (term, id, df, idf), the number of texts, and ids that are not the hash."""
@@ -117,7 +138,12 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     inside = _IN_WORD[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    words = ends - starts > 1
+    sizes = ends - starts
+    if not data.max() < 128:
+        # All but the first byte of a character are between 128 and 191.
+        characters = np.cumsum((data & 0xC0) != 0x80)
+        sizes = characters[ends - 1] - characters[starts] + 1
+    words = sizes > 1
     starts, ends = starts[words], ends[words]
     n = np.diff(np.searchsorted(starts, begin))
     marks = np.zeros(len(data) + 1, np.int8)
@@ -177,16 +203,10 @@ def _counted_one_by_one(data: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     return Counted(data, row[kept], hashes[kept], tfs, starts[kept], lengths[kept])
 
 
-def _bytes(text: str | None) -> bytes:
-    """A text whose words are found byte by byte."""
-    bare = bare_text(text) if text else ""
-    return (bare if bare.isascii() else " ".join(WORD.findall(bare))).encode()
-
-
 def count_batch(texts: pa.Array) -> tuple[Counted, np.ndarray]:
     """Counted terms of every text, and where each text's terms end among all. Texts that are bytes are bare already."""
     parts, block, size, first = [], [], 0, 0
-    for text in map(_bytes, texts.to_pylist()) if pa.types.is_string(texts.type) else texts.to_pylist():
+    for text in map(bare_bytes, texts.to_pylist()) if pa.types.is_string(texts.type) else texts.to_pylist():
         block.append(text)
         size += len(text)
         if size >= BLOCK_BYTES:
@@ -423,7 +443,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the number of their chunk and their bare text: a chunk is an Arrow batch, so bounded in rows and in bytes."""
     first = TaskContext.get().partitionId() << 33
     for n, batch in enumerate(batches):
-        bare = pa.array([_bytes(text.as_py()) for text in batch.column(batch.num_columns - 1)], pa.binary())
+        bare = pa.array([*map(bare_bytes, batch.column(batch.num_columns - 1).to_pylist())], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), first + n)), *batch.columns[:-1], bare], ["__chunk", *batch.schema.names])
 
 
